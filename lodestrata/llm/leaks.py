@@ -57,7 +57,7 @@ class Settings:
     rank: int = 96
     extra: int = 16
     other: float = 2.5
-    close: float = 0.5
+    close: float = 0.45
     shared: int = 6
     gap: float = 1.0
     least: float = 9.5

@@ -24,7 +24,8 @@ def _keep(v: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarra
     first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
     n, value, low = len(v), v[first], np.r_[first[1:], len(v)]
     block = np.r_[-1, np.floor((low[1:] - 1) / max(1.0, step * n))] if len(value) > 1 else np.array([-1.0])
-    last = np.flatnonzero(np.r_[block[1:] != block[:-1], True])
+    heavy = np.diff(np.r_[0, low]) >= max(1.0, step * n)
+    last = np.flatnonzero(np.r_[block[1:] != block[:-1], True] | heavy)
     low, high = low[last], n - first[last]  # numbers <= and >= each kept value
     return value[last], np.diff(np.r_[0, low]), -np.diff(np.r_[high, 0])
 
@@ -67,7 +68,8 @@ def _partition_summaries(scopes: Sequence[tuple[str, tuple[str, ...]]], value: s
 
 
 def compress(d: DataFrame, group: Sequence[str], step: float) -> DataFrame:
-    """Merges the tuples (group, v, up, down) of a group and keeps the first and the last of each block of step * n ranks.
+    """Merges the tuples (group, v, up, down) of a group and keeps the first, the last of each block of step * n ranks and
+    those that hold a block's ranks by themselves, so at most twice 1 / step.
 
     A dropped tuple's up goes to the kept one above it, its down to the kept one below, so both running sums stay
     lower bounds, and a rank between kept values is uncertain by at most a block more.
@@ -76,7 +78,11 @@ def compress(d: DataFrame, group: Sequence[str], step: float) -> DataFrame:
     w = Window.partitionBy(*group).orderBy("v")
     d = d.select("*", F.sum("up").over(w).alias("low"), F.lag("v").over(w).alias("prev"), F.sum("up").over(Window.partitionBy(*group)).alias("n"))
     block = F.when(F.col("prev").isNull(), F.lit(-1)).otherwise(F.floor((F.col("low") - 1) / F.greatest(F.lit(1.0), F.col("n") * step)))
-    b = d.groupBy(*group, block.alias("block")).agg(F.max("v").alias("v"), F.sum("up").alias("up"), F.max_by("down", "v").alias("own"), F.sum("down").alias("all"))
+    d = d.withColumn("block", block)
+    wide = F.col("up") >= F.greatest(F.lit(1.0), F.col("n") * step)
+    d = d.withColumn("keep", F.when(wide | F.coalesce(F.lead("block").over(w) != F.col("block"), F.lit(True)), 1).otherwise(0))
+    d = d.withColumn("block", F.coalesce(F.sum("keep").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    b = d.groupBy(*group, "block").agg(F.max("v").alias("v"), F.sum("up").alias("up"), F.max_by("down", "v").alias("own"), F.sum("down").alias("all"))
     below = F.lead(F.col("all") - F.col("own")).over(Window.partitionBy(*group).orderBy("block"))
     return b.select(*group, "v", "up", (F.col("own") + F.coalesce(below, F.lit(0))).alias("down"))
 
