@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -30,6 +32,18 @@ def build_session(master: str = "local[8]", app: str = "lodestrata", memory: str
     return spark
 
 
+def ship_package(spark: SparkSession, root: str) -> None:
+    """Sends the package to the Python workers, unless they find it by their working directory or PYTHONPATH."""
+    if os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestrata_shipped", False):
+        return
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lodestrata-"), "lodestrata"), "zip", root, "lodestrata")
+    sc.addPyFile(archive)
+    sc._lodestrata_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
