@@ -7,9 +7,11 @@ on either side, so that no task holds a whole source.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,22 +33,24 @@ class Rules:
 
 
 def _chunked(rows: DataFrame, key: str, axes: Sequence[str], limit: float) -> DataFrame:
-    """Rows by chunk, each row of a margin also in the neighbouring chunk; cleaned values as v0, v1, ..."""
+    """Rows by chunk (k, c), each row of a margin also in the neighbouring chunk; v0, v1, ... are null where impossible."""
     at = F.floor(F.col("i") / CHUNK)
     off = F.col("i") - at * CHUNK
     chunks = F.when((off < HALO) & (at > 0), F.array(at, at - 1)).when(off >= CHUNK - HALO, F.array(at, at + 1)).otherwise(F.array(at))
+    fits = [F.abs(F.nanvl(F.col(a).cast("double"), F.lit(float("inf")))) <= limit for a in axes]
+    impossible = F.lit(False)
+    for f in fits:
+        impossible = impossible | F.coalesce(~f, F.lit(False))
     d = rows.where(F.col(key).isNotNull() & F.col("i").isNotNull())
-    d = d.select(F.col(key).alias("k"), F.col("i").cast("long").alias("i"), F.nanvl(F.col("t").cast("double"), F.lit(None)).alias("t"), *(F.col(a).alias(f"r{n}") for n, a in enumerate(axes)))
-    d = d.select("k", "i", "t", *(f"r{n}" for n in range(len(axes))), F.explode(chunks).alias("c")).repartition("k", "c")
-    w = Window.partitionBy("k", "c").orderBy("i")
-    d = d.withColumn("seen", F.lag("i").over(w)).where("seen is null or seen <> i").drop("seen")
-    return d.select("k", "c", "i", "t", *(f"r{n}" for n in range(len(axes))), *(F.when(F.abs(F.nanvl(f"r{n}", F.lit(float("inf")))) <= limit, F.col(f"r{n}").cast("double")).alias(f"v{n}") for n in range(len(axes))))
+    d = d.select(F.col(key).alias("k"), F.col("i").cast("long").alias("i"), F.nanvl(F.col("t").cast("double"), F.lit(None)).alias("t"), *(F.when(f, F.col(a).cast("double")).alias(f"v{n}") for n, (a, f) in enumerate(zip(axes, fits))), impossible.alias("impossible"))
+    return d.select("k", "i", "t", *(f"v{n}" for n in range(len(axes))), "impossible", F.explode(chunks).alias("c")).repartition("k", "c")
 
 
 def normal_behaviour(d: DataFrame, n_axes: int) -> DataFrame:
     """Per (k, c): spread of the noise, resolution, chance of a repeat and median time step, of the chunk's source and hour."""
     w = Window.partitionBy("k", "c").orderBy("i")
     vs = [f"v{n}" for n in range(n_axes)]
+    d = d.select("k", "c", "i", "t", *vs, F.lag("i").over(w).alias("seen")).where("seen is null or seen <> i")
     d = d.select("k", "c", "t", *vs, F.lag(F.struct("t", *vs)).over(w).alias("p"), F.lag(F.struct("t", *vs), 2).over(w).alias("q"), F.lead(F.struct(*vs)).over(w).alias("x"), F.min("t").over(Window.partitionBy("k", "c")).alias("from"))
     hour = F.coalesce(F.floor(F.col("from") / 3600), F.lit(-1))
     aggs = [F.count("*").alias("n"), F.percentile_approx(F.when(F.col("t") > F.col("p.t"), F.col("t") - F.col("p.t")), 0.5, 1000).alias("dt")]
@@ -71,6 +75,108 @@ def normal_behaviour(d: DataFrame, n_axes: int) -> DataFrame:
     return chunks.join(stats, ["k", "hour"]).select("k", "c", *out)
 
 
+class _Series:
+    """The known readings of one axis in order, with neighbours inside their chunk."""
+
+    def __init__(self, v: np.ndarray, t: np.ndarray, g: np.ndarray, dt: np.ndarray):
+        self.v, self.t, self.g, self.dt = v, t, g, dt
+
+    def shift(self, a: np.ndarray, by: int) -> np.ndarray:
+        """The value by places before (after, if negative), NaN beyond the chunk."""
+        out = np.full(len(a), np.nan)
+        if abs(by) < len(a):
+            if by > 0:
+                out[by:] = np.where(self.g[by:] == self.g[:-by], a[:-by], np.nan)
+            else:
+                out[:by] = np.where(self.g[:by] == self.g[-by:], a[-by:], np.nan)
+        return out
+
+    def near(self, a: int, b: int) -> np.ndarray:
+        """Whether the readings at places a and b around each exist with no time gap between them; unknown times count as near."""
+        va, vb = (self.v if x == 0 else self.shift(self.v, -x) for x in (a, b))
+        ta, tb = (self.t if x == 0 else self.shift(self.t, -x) for x in (a, b))
+        with np.errstate(invalid="ignore"):
+            return ~np.isnan(va) & ~np.isnan(vb) & ~(tb - ta > (b - a + 3) * self.dt)
+
+    def change(self, a: int) -> np.ndarray:
+        """The change from place a to the next, 0 across a gap."""
+        va, vb = (self.v if x == 0 else self.shift(self.v, -x) for x in (a, a + 1))
+        return np.where(self.near(a, a + 1), np.abs(vb - va), 0.0)
+
+
+def _spikes(s: _Series, sd: np.ndarray, rules: Rules) -> np.ndarray:
+    n = len(s.v)
+    at = {j: s.shift(s.v, -j) for j in range(-3, 6) if j}
+    at[0] = s.v
+    change = {j: s.change(j) for j in (-3, -2, 0, 1, 2, 3, 4)}
+    before = np.maximum(change[-2], change[-3])
+    code = np.zeros(n, np.int8)
+    with np.errstate(invalid="ignore"):
+        for size in (1, 2, 3):  # of several that hold, the longest
+            sign = np.sign(s.v - at[-1])
+            away = np.minimum.reduce([sign * (at[b] - at[e]) for b in range(size) for e in (-1, size)])
+            move = np.maximum.reduce([before, change[size], change[size + 1]])
+            code[s.near(-1, size) & (away > np.maximum(rules.fence * sd, rules.movement * move))] = size
+        # beside a gap or the end of the source one neighbour has to do, against twice the allowance
+        left = s.near(-1, 0) & s.near(-2, -1) & (at[-1] != at[-2]) & ~s.near(0, 1) & (np.abs(s.v - at[-1]) > 2 * np.maximum(rules.fence * sd, rules.movement * before))
+        right = s.near(0, 1) & s.near(1, 2) & (at[1] != at[2]) & ~s.near(-1, 0) & (np.abs(s.v - at[1]) > 2 * np.maximum(rules.fence * sd, rules.movement * np.maximum(change[1], change[2])))
+    code[(code == 0) & (left | right)] = 1
+    c = code.astype(float)
+    with np.errstate(invalid="ignore"):
+        return (code >= 1) | (s.shift(c, 1) >= 2) | (s.shift(c, 2) >= 3)
+
+
+def _run_lengths(v: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """For each place the length of the run of equal values it lies in."""
+    if not len(v):
+        return np.zeros(0, np.int64)
+    run = np.cumsum(np.r_[True, (v[1:] != v[:-1]) | (g[1:] != g[:-1])]) - 1
+    return np.bincount(run)[run]
+
+
+def _judge(n_axes: int, clock: bool, rules: Rules):
+    def judge(d: pd.DataFrame) -> pd.DataFrame:
+        k, c, i = d["k"].to_numpy(), d["c"].to_numpy(), d["i"].to_numpy()
+        new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
+        once = new | np.r_[True, i[1:] != i[:-1]]
+        g = np.cumsum(new)[once]
+        d = d[once]
+        t, dt, n = d["t"].to_numpy(float), d["dt"].to_numpy(float), len(d)
+        spike, stuck, bad_clock = (np.zeros(n, bool) for _ in range(3))
+        for a in range(n_axes):
+            v = d[f"v{a}"].to_numpy(float)
+            at = np.flatnonzero(~np.isnan(v))
+            if not len(at):
+                continue
+            spike[at] |= _spikes(_Series(v[at], t[at], g[at], dt[at]), d[f"sd_v{a}"].to_numpy(float)[at], rules)
+            need = np.minimum(rules.most_run, np.maximum(rules.least_run, np.ceil(rules.run_factor * d[f"long_v{a}"].to_numpy(float)[at])))
+            stuck[at] |= _run_lengths(v[at], g[at]) >= need
+        if clock:
+            at = np.flatnonzero(~np.isnan(t))
+            bad_clock[at] = (_run_lengths(t[at], g[at]) >= rules.same_t) | np.r_[False, (t[at][1:] < t[at][:-1]) & (g[at][1:] == g[at][:-1])][: len(at)]
+        impossible = d["impossible"].to_numpy(bool)
+        core = d["c"].to_numpy() == d["i"].to_numpy() // CHUNK
+        out = pd.DataFrame({"k": d["k"].to_numpy(), "i": d["i"].to_numpy(), "impossible": impossible, "spike": spike, "stuck": stuck, "clock": bad_clock})
+        return out[core & (impossible | spike | stuck | bad_clock)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            if not len(b):
+                continue
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            k, c = b["k"].to_numpy(), b["c"].to_numpy()
+            last = np.flatnonzero((k != k[-1]) | (c != c[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            held = b.iloc[cut:]  # the rest of its chunk may follow
+            if cut:
+                yield judge(b.iloc[:cut])
+        if held is not None:
+            yield judge(held)
+
+    return run
+
+
 def implausible(rows: DataFrame, axes: Sequence[str], limit: float, clock: bool, key: str = "session_id", rules: Rules = Rules()) -> DataFrame:
     """(key, i, reasons) of the rows of rows(key, i, t, axes) that cannot be real.
 
@@ -80,68 +186,12 @@ def implausible(rows: DataFrame, axes: Sequence[str], limit: float, clock: bool,
     set, 'clock' (t below that of the row before in i, or shared by rules.same_t rows in succession).
     Exact copies of a row count once; nulls are no cases and are skipped as neighbours; rows without key or i are
     left out; sources of a few rows have no spikes or stuck values. Empty input gives an empty result.
+    The judgement needs each axis' neighbours without its nulls, so it runs over sorted Arrow batches of chunks.
     """
-    n_axes = len(axes)
-    vs = [f"v{n}" for n in range(n_axes)]
     d = _chunked(rows, key, axes, limit)
-    stats = normal_behaviour(d, n_axes)
-    over = "over (partition by k, c order by i)"
-    cols = [F.expr(f"count(v{n}) {over}").alias(f"at{n}") for n in range(n_axes)]
-    for n in range(n_axes):
-        pack = f"case when v{n} is not null then struct(v{n} as v, t as t) end"
-        cols += [F.expr(f"lag({pack}, {j}) ignore nulls {over}").alias(f"p{n}_{j}") for j in (1, 2, 3)]
-        cols += [F.expr(f"lead({pack}, {j}) ignore nulls {over}").alias(f"n{n}_{j}") for j in (1, 2, 3, 4, 5)]
-    if clock:
-        cols += [F.expr(f"lag(t, {j}) ignore nulls {over}").alias(f"tp{j}") for j in range(1, rules.same_t)]
-        cols += [F.expr(f"lead(t, {j}) ignore nulls {over}").alias(f"tn{j}") for j in range(1, rules.same_t)]
-    d = d.select("*", *cols).join(stats, ["k", "c"], "left")
-
-    def near(a: str, b: str, steps: int) -> str:
-        """b follows a by no more than so many usual time steps; unknown times count as near."""
-        return f"coalesce({b}.t - {a}.t <= {steps + 3} * dt, {b}.v is not null and {a}.v is not null)"
-
-    codes, starts = [], []
-    for n in range(n_axes):
-        p, x = [None, *(f"p{n}_{j}" for j in (1, 2, 3))], [None, *(f"n{n}_{j}" for j in (1, 2, 3, 4, 5))]
-        change = lambda a, b: f"case when {near(a, b, 1)} then abs({b}.v - {a}.v) else 0 end"
-        before = [change(p[2], p[1]), change(p[3], p[2])]
-        cases = []
-        for size in (3, 2, 1):
-            block = [f"v{n}", *(f"{x[j]}.v" for j in range(1, size))]
-            right = x[size]
-            sign = f"signum(v{n} - {p[1]}.v)"
-            away = ", ".join(f"{sign} * ({b} - {e}.v)" for b in block for e in (p[1], right))
-            after = [change(right, x[size + 1]), change(x[size + 1], x[size + 2])] if size < 4 else []
-            move = f"greatest({', '.join(before + after)})"
-            cases.append(f"when {near(p[1], right, size + 1)} and least({away}) > greatest({rules.fence} * sd_v{n}, {rules.movement} * {move}) then {size}")
-        # beside a gap or the end of the source one neighbour has to do, against twice the allowance
-        for e, f, g, moves in ((p[1], p[2], x[1], before), (x[1], x[2], p[1], [change(x[1], x[2]), change(x[2], x[3])])):
-            here = f"struct(v{n} as v, t as t)"
-            first, second = (e, here) if e == p[1] else (here, e)
-            side, far = (near(first, second, 1), near(here, g, 1) if e == p[1] else near(g, here, 1))
-            inner = near(f, e, 1) if e == p[1] else near(e, f, 1)
-            cases.append(f"when {side} and {inner} and {e}.v <> {f}.v and not coalesce({far}, false) and abs(v{n} - {e}.v) > 2 * greatest({rules.fence} * sd_v{n}, {rules.movement} * greatest({', '.join(moves)})) then 1")
-        codes.append(F.expr(f"case when v{n} is not null then case {' '.join(cases)} else 0 end end").alias(f"code{n}"))
-        starts.append(F.expr(f"case when {p[1]}.v is null or {p[1]}.v <> v{n} then at{n} end").alias(f"s{n}"))
-        starts.append(F.expr(f"case when {x[1]}.v is null or {x[1]}.v <> v{n} then at{n} end").alias(f"e{n}"))
-    if clock:
-        back = "coalesce(t < tp1, false)"
-        spans = [[*(f"tp{j}" for j in range(1, m + 1)), *(f"tn{j}" for j in range(1, rules.same_t - m))] for m in range(rules.same_t)]
-        same = " or ".join("coalesce(" + " and ".join(f"{s} = t" for s in span) + ", false)" for span in spans)
-        bad_clock = F.expr(f"t is not null and ({back} or {same})").alias("bad_clock")
-    else:
-        bad_clock = F.lit(False).alias("bad_clock")
-    limits = [F.expr(f"least({rules.most_run}, greatest({rules.least_run}, ceil({rules.run_factor} * long_v{n})))").alias(f"need{n}") for n in range(n_axes)]
-    impossible = " or ".join(f"isnan(r{n}) or abs(r{n}) > {limit}" for n in range(n_axes))
-    d = d.select("k", "c", "i", *vs, *(f"at{n}" for n in range(n_axes)), *codes, *starts, *limits, bad_clock, F.expr(f"coalesce({impossible}, false)").alias("impossible"))
-    cols = []
-    for n in range(n_axes):
-        cols += [F.expr(f"lag(code{n}, {j}) ignore nulls {over}").alias(f"code{n}_{j}") for j in (1, 2)]
-        cols.append(F.expr(f"max(s{n}) {over}").alias(f"first{n}"))
-    d = d.select("*", *cols)
-    d = d.select("*", *(F.expr(f"min(e{n}) over (partition by k, c order by i desc)").alias(f"last{n}") for n in range(n_axes)))
-    spike = " or ".join(f"(v{n} is not null and (code{n} >= 1 or code{n}_1 >= 2 or code{n}_2 >= 3))" for n in range(n_axes))
-    stuck = " or ".join(f"(v{n} is not null and last{n} - first{n} + 1 >= need{n})" for n in range(n_axes))
-    why = F.array_compact(F.array(F.when(F.col("impossible"), F.lit("impossible")), F.when(F.expr(spike), F.lit("spike")), F.when(F.expr(stuck), F.lit("stuck")), F.when(F.col("bad_clock"), F.lit("clock"))))
-    d = d.where(F.col("c") == F.floor(F.col("i") / CHUNK)).select(F.col("k").alias(key), "i", why.alias("reasons"))
-    return d.where(F.size("reasons") > 0)
+    stats = normal_behaviour(d, len(axes))
+    d = d.join(stats, ["k", "c"], "left").sortWithinPartitions("k", "c", "i")
+    kind = dict(d.dtypes)["k"]
+    found = d.mapInPandas(_judge(len(axes), clock, rules), f"k {kind}, i long, impossible boolean, spike boolean, stuck boolean, clock boolean")
+    why = F.array_compact(F.array(*(F.when(F.col(c), F.lit(c)) for c in ("impossible", "spike", "stuck", "clock"))))
+    return found.select(F.col("k").alias(key), "i", why.alias("reasons"))
