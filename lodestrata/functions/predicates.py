@@ -28,8 +28,10 @@ def where(field: str, op: str, value: Any) -> Column:
     if op == "ne":
         return ~c.eqNullSafe(F.lit(value))
     if op in ("in", "not_in"):
-        values: Sequence[Any] = list(value)
-        hit = F.coalesce(c.isin(values), F.lit(None in values)) if values else F.lit(False)
+        values: Sequence[Any] = [v for v in value if v is not None]
+        hit = F.coalesce(c.isin(values), F.lit(False)) if values else F.lit(False)
+        if None in value:
+            hit = hit | c.isNull()
         return hit if op == "in" else ~hit
     if op in ("gt", "lt"):
         return F.coalesce(_there(c, not isinstance(value, str)) & (c > value if op == "gt" else c < value), F.lit(False))

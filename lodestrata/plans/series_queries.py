@@ -158,10 +158,10 @@ def ts_phase_normalize(spark, d):
     return S.phase_normalize(events(spark, d), KEY, ORDER, "value", 16).select("user_id", "k", F.round("value", 5).alias("value"))
 
 
-@query(f"s AS (SELECT *, CASE WHEN t - lag(t) OVER {W} > 7200 THEN 1 ELSE 0 END AS new FROM e), g AS (SELECT *, CAST(sum(new) OVER {W} AS BIGINT) AS session FROM s) SELECT user_id, session, count(*) AS n, round(max(t) - min(t), 4) AS duration, max(value) AS peak, arg_max(event_id, (value, -t)) AS peak_event, round(avg(value), 6) AS mean FROM g GROUP BY 1, 2")
+@query(f"s AS (SELECT *, CASE WHEN t - lag(t) OVER {W} > 7200 THEN 1 ELSE 0 END AS new FROM e), g AS (SELECT *, CAST(sum(new) OVER {W} AS BIGINT) AS session FROM s) SELECT user_id, session, count(*) AS n, round(max(t) - min(t), 4) AS duration, max(value) AS peak, arg_max(event_id, (value, -t)) AS peak_event, round(avg(value), 9) AS mean FROM g GROUP BY 1, 2")
 def ts_session_features(spark, d):
     e = S.sessions(events(spark, d), KEY, ORDER, 7200.0).groupBy("user_id", "session")
-    return e.agg(F.count("*").alias("n"), F.round(F.max("t") - F.min("t"), 4).alias("duration"), F.max("value").alias("peak"), F.max_by("event_id", F.struct("value", -F.col("t"))).alias("peak_event"), F.round(F.avg("value"), 6).alias("mean"))
+    return e.agg(F.count("*").alias("n"), F.round(F.max("t") - F.min("t"), 4).alias("duration"), F.max("value").alias("peak"), F.max_by("event_id", F.struct("value", -F.col("t"))).alias("peak_event"), F.round(F.avg("value"), 9).alias("mean"))
 
 
 @query(f"SELECT event_id FROM (SELECT event_id, row_number() OVER {W} AS rn FROM e) WHERE rn % 2 = 1")

@@ -31,9 +31,9 @@ def rounded(d: DataFrame, keys: list[str], digits: int, *names: str) -> DataFram
     return d.select(*keys, *(F.round(n, digits).alias(n) for n in names))
 
 
-@query("SELECT name, count(f.value) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END, 6) AS sd, round(median(value), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS max FROM f GROUP BY name")
+@query("SELECT name, count(f.value) AS n, round(avg(value), 9) AS mean, round(CASE WHEN count(value) = 1 THEN 0 ELSE stddev_samp(value) END, 9) AS sd, round(median(value), 9) AS median, round(quantile_cont(value, 0.95), 9) AS p95, round(max(value), 9) AS max FROM f GROUP BY name")
 def stats_summary(spark, d):
-    return rounded(R.summary(metrics(spark, d), ["name"], "value"), ["name", "n"], 6, "mean", "sd", "median", "p95", "max")
+    return rounded(R.summary(metrics(spark, d), ["name"], "value"), ["name", "n"], 9, "mean", "sd", "median", "p95", "max")
 
 
 @query("SELECT subject, name, round(quantile_cont(value, 0.25), 9) AS p25, round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.75), 9) AS p75 FROM f GROUP BY 1, 2")
@@ -42,10 +42,10 @@ def stats_percentile_bands(spark, d):
     return q.select("subject", "name", *(F.round(F.col("q")[k], 9).alias(n) for k, n in enumerate(("p25", "p50", "p75"))))
 
 
-@query("c AS (SELECT subject, name, avg(value) AS mean FROM f GROUP BY 1, 2) SELECT name, count(*) AS cases, round(avg(mean), 6) AS mean_of_means FROM c GROUP BY 1")
+@query("c AS (SELECT subject, name, avg(value) AS mean FROM f GROUP BY 1, 2) SELECT name, count(*) AS cases, round(avg(mean), 9) AS mean_of_means FROM c GROUP BY 1")
 def stats_case_means(spark, d):
     c = metrics(spark, d).groupBy("subject", "name").agg(F.avg(R.finite("value")).alias("mean")).where("mean is not null")
-    return c.groupBy("name").agg(F.count("*").alias("cases"), F.round(F.avg("mean"), 6).alias("mean_of_means"))
+    return c.groupBy("name").agg(F.count("*").alias("cases"), F.round(F.avg("mean"), 9).alias("mean_of_means"))
 
 
 _WM = "g AS (SELECT l_returnflag AS k, l_extendedprice AS v, sum(l_quantity) AS w FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2), r AS (SELECT k, v, sum(w) OVER (PARTITION BY k ORDER BY v) AS run, sum(w) OVER (PARTITION BY k) AS tot FROM g), c AS (SELECT k, min(v) AS center FROM r WHERE run >= tot / 2 GROUP BY k)"
@@ -114,11 +114,11 @@ def stats_bootstrap_ci(spark, d):
     return b.select("n_regionkey", "n", F.round("mean", 4).alias("mean"), F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
 
 
-@query("s AS (SELECT swing_id, name, value, unnest([kind, kind || ':' || validity, CASE WHEN confidence < 0.5 THEN 'unsure' END]) AS stratum FROM f) SELECT stratum, name, count(*) AS n, round(avg(value), 6) AS mean FROM s WHERE stratum IS NOT NULL GROUP BY 1, 2")
+@query("s AS (SELECT swing_id, name, value, unnest([kind, kind || ':' || validity, CASE WHEN confidence < 0.5 THEN 'unsure' END]) AS stratum FROM f) SELECT stratum, name, count(*) AS n, round(avg(value), 9) AS mean FROM s WHERE stratum IS NOT NULL GROUP BY 1, 2")
 def stats_overlapping_strata(spark, d):
     m = metrics(spark, d).where(R.finite("value").isNotNull())
     s = R.strata(m, [F.col("kind"), F.concat("kind", F.lit(":"), "validity"), F.when(F.col("confidence") < 0.5, F.lit("unsure"))])
-    return s.groupBy("stratum", "name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return s.groupBy("stratum", "name").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("mean"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, CAST(grouping(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), (o_orderstatus, o_orderpriority), ())", "")
@@ -141,25 +141,25 @@ def stats_decay(spark, d):
     return R.decay(table(spark, d, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_totalprice").select("o_custkey", F.round("decay", 4).alias("decay"))
 
 
-@query(f"r AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v, row_number() OVER {_O} AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, round(0.5 * pow(0.9::DOUBLE, max(n)) + sum((1 - 0.9::DOUBLE) * pow(0.9::DOUBLE, n - r) * v), 9) AS score FROM r GROUP BY 1", "z AS (SELECT 1)")
+@query(f"r AS (SELECT o_custkey, CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v, row_number() OVER {_O} AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, round(0.6::DOUBLE * pow(0.9::DOUBLE, max(n)) + sum((1 - 0.9::DOUBLE) * pow(0.9::DOUBLE, n - r) * v), 9) AS score FROM r GROUP BY 1", "z AS (SELECT 1)")
 def stats_ema(spark, d):
     o = table(spark, d, "orders").withColumn("won", F.when(F.col("o_orderstatus") == "F", 1.0).otherwise(0.0))
-    return R.ema(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "won").select("o_custkey", F.round("score", 9).alias("score"))
+    return R.ema(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "won", start=0.6).select("o_custkey", F.round("score", 9).alias("score"))
 
 
-@query("SELECT event_type, count(*) AS n, CAST(count_if(value >= 50) AS BIGINT) AS ok, round(count_if(value >= 50) / count(*), 6) AS success, round(avg(value), 6) AS mean FROM events GROUP BY 1", "")
+@query("SELECT event_type, count(*) AS n, CAST(count_if(value >= 50) AS BIGINT) AS ok, round(count_if(value >= 50) / count(*), 6) AS success, round(avg(value), 9) AS mean FROM events GROUP BY 1", "")
 def stats_task_metrics(spark, d):
-    e = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") >= 50).alias("ok"), F.round(F.avg("value"), 6).alias("mean"))
+    e = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") >= 50).alias("ok"), F.round(F.avg("value"), 9).alias("mean"))
     return e.select("event_type", "n", "ok", F.round(F.coalesce(F.try_divide("ok", "n"), F.lit(0.0)), 6).alias("success"), "mean")
 
 
-@query("r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, count(*) AS n, round(avg(value), 6) AS recent FROM r WHERE r <= 10 GROUP BY 1", "z AS (SELECT 1)")
+@query("r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) SELECT user_id, count(*) AS n, round(avg(value), 9) AS recent FROM r WHERE r <= 10 GROUP BY 1", "z AS (SELECT 1)")
 def stats_trend(spark, d):
     """Means of the last ten of each user: the window is the feature."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 10").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("recent"))
+    return table(spark, d, "events").withColumn("r", F.row_number().over(w)).where("r <= 10").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("recent"))
 
 
 @query("a AS (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1) SELECT user_id, v[CAST(floor((len(v) - 1) * 0.95::DOUBLE) AS BIGINT) + 1] AS p95_lower FROM a", "z AS (SELECT 1)")
@@ -245,11 +245,11 @@ def rules_findings(spark, d):
     return m.select("swing_id", "name", F.concat_ws("_", "name", "side").alias("code"), F.round(F.col("value") - F.col("bound"), 6).alias("excess"))
 
 
-@query("s AS (SELECT swing_id, f.name, greatest(0.0::DOUBLE, 1 - greatest(p25 - value, value - p75, 0.0::DOUBLE) / (2 * greatest(p75 - p25, 1e-9))) AS s FROM f JOIN ideal_bands b ON b.name = f.name) SELECT swing_id, count(*) AS n, round(avg(s), 6) AS score FROM s GROUP BY 1")
+@query("s AS (SELECT swing_id, f.name, greatest(0.0::DOUBLE, 1 - greatest(p25 - value, value - p75, 0.0::DOUBLE) / (2 * greatest(p75 - p25, 1e-9))) AS s FROM f JOIN ideal_bands b ON b.name = f.name) SELECT swing_id, count(*) AS n, round(avg(s), 9) AS score FROM s GROUP BY 1")
 def report_reference_score(spark, d):
     b = F.broadcast(table(spark, d, "ideal_bands").select("name", "p25", "p75"))
     m = metrics(spark, d).where(R.finite("value").isNotNull()).join(b, "name")
-    return m.groupBy("swing_id").agg(F.count("*").alias("n"), F.round(F.avg(R.band_score(F.col("value"), F.col("p25"), F.col("p75"))), 6).alias("score"))
+    return m.groupBy("swing_id").agg(F.count("*").alias("n"), F.round(F.avg(R.band_score(F.col("value"), F.col("p25"), F.col("p75"))), 9).alias("score"))
 
 
 @query("""p AS (SELECT l_orderkey, sum(l_quantity) AS quantity, sum(l_extendedprice) AS price, max(l_discount) AS discount FROM lineitem GROUP BY 1)

@@ -113,12 +113,12 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     c = decode(bytes(data))
                 except (CaptureError, UnicodeDecodeError) as e:
-                    rows.append({"path": p, "error": str(e)})
+                    rows.append({**dict.fromkeys([*names, "accel", "motion"]), "path": p, "error": str(e)})
                     continue
                 accel = [{"i": i, "t": t, "x": x, "y": y, "z": z} for i, (t, (x, y, z)) in enumerate(zip(c.pop("accel_t"), c.pop("accel")))]
                 motion = [{"i": i, "t": t, **dict(zip(MOTION_NAMES, r))} for i, (t, r) in enumerate(zip(c.pop("motion_t"), c.pop("motion")))]
                 rows.append({"path": p, **c, "error": None, "accel": accel, "motion": motion})
-            yield pd.DataFrame(rows, columns=[*names, "accel", "motion"])
+            yield pd.DataFrame(rows, columns=[*names, "accel", "motion"], dtype=object)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     return files.mapInPandas(run, f"{HEADER_FIELDS}, accel {ACCEL_FIELDS}, motion {MOTION_FIELDS}")
