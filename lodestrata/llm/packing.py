@@ -61,12 +61,43 @@ def price_best(lengths: np.ndarray, value: np.ndarray, demand: np.ndarray, capac
     return out
 
 
+def _complete(chosen: list, lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list, int]:
+    """(patterns, number of containers from chosen): chosen configurations as far as the demand goes, then the rest, longest first."""
+    left = demand.copy()
+    patterns: list[tuple[tuple[tuple[int, int], ...], int]] = []
+    for key, amount in chosen:
+        n = min(amount, *(int(left[j]) // k for j, k in key))
+        if n > 0:
+            patterns.append((key, n))
+            for j, k in key:
+                left[j] -= k * n
+    by_lp = sum(n for _, n in patterns)
+    while left.any():
+        room, key = capacity, []
+        at = len(lengths) - 1
+        while at >= 0 and room >= lengths[0]:
+            at = min(at, int(np.searchsorted(lengths, room, "right")) - 1)
+            while at >= 0 and not left[at]:
+                at -= 1
+            if at < 0:
+                break
+            k = min(int(left[at]), room // int(lengths[at]))
+            key.append((at, k))
+            room -= k * int(lengths[at])
+            at -= 1
+        n = min(int(left[j]) // k for j, k in key)
+        patterns.append((tuple(key), n))
+        for j, k in key:
+            left[j] -= k * n
+    return patterns, by_lp
+
+
 def solve(histogram: dict[int, int], capacity: int, rounds: int = 256, rate: float = 4.0, part: float = 0.5) -> Plan:
     """The plan for a histogram {length: number}, lengths from 1 to capacity; empty for none.
 
     Each round prices lengths by exp(-rate * covered share), takes the best configuration and adds part of what the
     scarcest of its lengths allows to the fractional solution. Rounding down leaves items over; they are filled in, longest
-    first, from the histogram. lower_bound is the best value of the dual met on the way.
+    first, from the histogram; where that alone needs fewer containers, as for few items it may, it is the plan. lower_bound is the best value of the dual met on the way.
     """
     if not histogram:
         return Plan(*(np.zeros(0, np.int64) for _ in range(3)), 0, 0, 0.0)
@@ -88,33 +119,17 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = 256, rate: flo
         covered[j] += a * amount / demand[j]
         if covered.min() >= 1.0:
             break
-    left = demand.copy()
-    patterns: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    # fullest configurations first, none beyond what is left of its lengths
+    # no configuration more often than its most covered length allows, so that together they fit the demand
+    lp = []
     for key, amount in sorted(x.items(), key=lambda kv: -sum(int(lengths[j]) * n for j, n in kv[0])):
-        n = min(int(amount), *(int(left[j]) // k for j, k in key))
-        if n > 0:
-            patterns.append((key, n))
-            for j, k in key:
-                left[j] -= k * n
-    by_lp = sum(n for _, n in patterns)
-    while left.any():
-        room, key = capacity, []
-        at = len(lengths) - 1
-        while at >= 0 and room >= lengths[0]:
-            at = min(at, int(np.searchsorted(lengths, room, "right")) - 1)
-            while at >= 0 and not left[at]:
-                at -= 1
-            if at < 0:
-                break
-            k = min(int(left[at]), room // int(lengths[at]))
-            key.append((at, k))
-            room -= k * int(lengths[at])
-            at -= 1
-        n = min(int(left[j]) // k for j, k in key)
-        patterns.append((tuple(key), n))
-        for j, k in key:
-            left[j] -= k * n
+        over = max(1.0, max(covered[j] for j, _ in key))
+        if int(amount / over):
+            lp.append((key, int(amount / over)))
+    patterns, by_lp = _complete(lp, lengths, demand, capacity)
+    # the same from nothing, in case the demand is too small for the fractions to count
+    plain, none = _complete([], lengths, demand, capacity)
+    if sum(n for _, n in plain) < sum(n for _, n in patterns):
+        patterns, by_lp = plain, none
     rank, rows, base = np.zeros(len(lengths), np.int64), [], 0
     for key, n in patterns:
         for j, k in key:

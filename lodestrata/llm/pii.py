@@ -21,6 +21,8 @@ LEXICON = "/opt/tokenizers/word_bpe_49k.json"
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("аеорсхуіјѕһԁԛԝкмтвнАВЕКМНОРСТХУІЈЅοαενρτυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyijshdqwkmtbhABEKMHOPCTXYIJSoaevptuikABEZHIKMNOPTYX"))
+# Characters without width, hyphens and spaces.
+INVISIBLE, HYPHENS, SPACES = "\u200b\u200c\u200d\u2060\ufeff\u00ad", "\u2010\u2011\u2012\u2013\u2212", "\u00a0\u2007\u2009\u202f"
 # Words for digits.
 DIGITS = {w: str(n) for n, words in enumerate(("zero oh null zéro", "one eins un", "two zwei deux", "three drei trois", "four vier quatre", "five fünf cinq", "six sechs", "seven sieben sept", "eight acht huit", "nine neun neuf")) for w in words.split()}
 _DIGIT = "|".join(sorted(DIGITS, key=len, reverse=True))
@@ -97,50 +99,51 @@ def common_words(path: str) -> frozenset[str]:
     return _words[path]
 
 
-def normalise(text: str) -> tuple[str, list[int] | None]:
-    """The rewritten text and, for each of its characters and its end, the place in the source; None where nothing moved."""
-    moved = False
-    if text.isascii():
-        out, at = text, None
-    else:
-        chars, at = [], []
+def normalise(text: str) -> tuple[str, list[int] | None, list[int] | None]:
+    """The rewritten text and where each of its characters begins and ends in the source; None where nothing moved."""
+    at = to = None
+    out = text
+    if not text.isascii():
+        chars, at, to = [], [], []
         for i, c in enumerate(text):
             if c < "\x80":
                 r = c
             elif c in LOOKALIKES:
                 r = LOOKALIKES[c]
-            elif c in "​‌‍⁠﻿­":
+            elif c in INVISIBLE:
                 r = ""
-            elif c in "‐‑‒–−":
+            elif c in HYPHENS:
                 r = "-"
-            elif c in "   ":
+            elif c in SPACES:
                 r = " "
             elif "！" <= c <= "～" and c not in "，：；（）！？":
                 r = unicodedata.normalize("NFKC", c)
             else:
                 r = c
-            moved = moved or len(r) != 1
             chars.append(r)
             at += [i] * len(r)
+            to += [i + 1] * len(r)
         out = "".join(chars)
-        at = [*at, len(text)] if moved else None
+        if len(out) == len(text):
+            at = to = None
     for rule, put in ((AT, "@"), (AT_WORD, "@"), (DOT, "."), (SPELLED, None)):
         hits = list(rule.finditer(out))
-        if rule is AT or rule is DOT:  # plain words count only in an address that has both
+        if rule is AT or rule is DOT:  # plain words count only in capitals or brackets
             hits = [h for h in hits if h.group().strip()[0] in "[({<" or h.group().strip().isupper()]
         if not hits:
             continue
-        at = at or list(range(len(out) + 1))
-        parts, places, last = [], [], 0
+        at, to = at or list(range(len(out))), to or list(range(1, len(out) + 1))
+        parts, begins, ends, last = [], [], [], 0
         for h in hits:
             new = put if put else "".join(DIGITS[w.lower()] for w in re.findall(r"\w+", h.group()))
             parts += [out[last : h.start()], new]
-            places += at[last : h.start()] + [at[h.start()]] * len(new)
+            begins += at[last : h.start()] + [at[h.start()]] * len(new)
+            ends += to[last : h.start()] + [to[h.end() - 1]] * len(new)
             last = h.end()
         parts.append(out[last:])
-        places += at[last:]
-        out, at = "".join(parts), places
-    return out, at
+        at, to = begins + at[last:], ends + to[last:]
+        out = "".join(parts)
+    return out, at, to
 
 
 def _person(s: str, words: frozenset[str], cued: bool) -> bool:
@@ -161,7 +164,7 @@ def find(text: str | None, lexicon: str = LEXICON) -> list[tuple[str, int, int]]
     if not text:
         return []
     words = common_words(lexicon)
-    out, at = normalise(text)
+    out, at, to = normalise(text)
     taken: list[tuple[int, int]] = []
     found: list[tuple[str, int, int]] = []
 
@@ -169,7 +172,7 @@ def find(text: str | None, lexicon: str = LEXICON) -> list[tuple[str, int, int]]
         if any(a < y and x < b for x, y in taken):
             return False
         taken.append((a, b))
-        found.append((kind, at[a] if at else a, at[b - 1] + 1 if at else b))
+        found.append((kind, at[a] if at else a, to[b - 1] if to else b))
         return True
 
     if "@" in out:
