@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import estimators as E
+from lodestrata.operators import segmentation, trajectory
 from lodestrata.session import Workspace, table
-from lodestrata.sources import source_code
+from lodestrata.sources import source_code, synthetic
 from lodestrata.streaming import cues
 
 QUERIES: dict = {}
@@ -45,6 +46,26 @@ def traj_lever_arm(spark, d):
     return E.lever_arm(_motion(spark, d), ["session_id"], "t", GYRO, ACCEL)
 
 
+@query()
+def seg_phases(spark, d):
+    """Phases and features of every session."""
+    return segmentation.segment_groups(_motion(spark, d), ["session_id"], "t", GYRO, ACCEL)
+
+
+@query()
+def traj_hybrid(spark, d):
+    return trajectory.trajectory_groups(_motion(spark, d), ["session_id"], "t", GYRO, ACCEL)
+
+
+@query()
+def bench_events(spark, d):
+    """Errors of the four phases, in milliseconds, over synthetic swings with known phases."""
+    s = synthetic.swings(spark, 24)
+    g = segmentation.segment_groups(s, ["swing_id"], "t", ["gx", "gy", "gz"], ["ax", "ay", "az"])
+    at = s.groupBy("swing_id").agg(F.max("t").alias("end"))
+    return g.join(at, "swing_id").select("swing_id", "source", "confidence", "address", "top", "impact", "finish")
+
+
 @query("""WITH x AS (SELECT l_returnflag, l_quantity, l_extendedprice, l_discount FROM lineitem)
 SELECT l_returnflag, count(*) AS n, round(avg(l_quantity), 6) AS mean_q, round(covar_pop(l_quantity, l_extendedprice), 3) AS cov_qp, round(covar_pop(l_quantity, l_discount), 6) AS cov_qd, round(covar_pop(l_discount, l_discount), 8) AS cov_dd FROM x GROUP BY 1""")
 def vec_covariance(spark, d):
