@@ -48,6 +48,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores, for work in Python on a scan of few files.
+
+    A scan that has as many partitions by itself, as any large one, is left as it is.
+    """
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":  # it has a shuffle already
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if plan.toRdd().getNumPartitions() < cores else df
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by a hash of their keys, over a number of partitions that is not reduced where the data is small: for work that is heavy for its size."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
     sc = spark.sparkContext
