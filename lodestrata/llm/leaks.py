@@ -20,6 +20,8 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import spread
+
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(dict(zip("аеорсхуіјѕһԁԛԝкмтвнοαενρτυικАВЕКМНОРСТХУІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyijshdqwkmtbhoaevptuikABEKMHOPCTXYIJSABEZHIKMNOPTYX")))
@@ -149,7 +151,7 @@ def document_frequency(docs: DataFrame, items: Items, text: str = "text") -> tup
                 df.update(set(words(t)) & vocabulary.keys())
         yield pd.DataFrame({"term": [-1, *(vocabulary[w] for w in df)], "n": [n, *df.values()]})
 
-    counts = docs.select(F.col(text).alias("t")).mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = spread(docs.select(F.col(text).alias("t"))).mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(len(vocabulary))
     for term, n in ((r[0], r[1]) for r in counts):
         if term >= 0:
@@ -193,7 +195,7 @@ def latent_space(docs: DataFrame, items: Items, s: Settings, text: str = "text",
                 z += np.frombuffer(x)
         yield pd.DataFrame({"z": [z.tobytes()]})
 
-    parts = docs.select(F.col(text).alias("t")).mapInPandas(sketch, "z binary").repartition(fan_in).mapInPandas(add, "z binary").coalesce(4).mapInPandas(add, "z binary")
+    parts = spread(docs.select(F.col(text).alias("t"))).mapInPandas(sketch, "z binary").repartition(fan_in).mapInPandas(add, "z binary").coalesce(4).mapInPandas(add, "z binary")
     z = sum((np.frombuffer(r[0]).reshape(v, k) for r in parts.collect()), np.zeros((v, k)))
     p = np.concatenate([_passages(np.where(o, t, -1), s.item_stride, s)[1] for t, o in zip(items.tokens, items.own)])
     own = _dense(p, _weights(p, items.idf, s.other)[0], v)
@@ -300,4 +302,4 @@ def find_leaks(docs: DataFrame, eval_items: DataFrame, settings: Settings = Sett
             rows = [(i, *hit) for i, t in zip(b["doc_id"], b["t"]) for hit in _near(t, held.value, s)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
 
-    return docs.where("doc_id is not null").select("doc_id", F.col(text).alias("t")).mapInPandas(run, schema)
+    return spread(docs.where("doc_id is not null").select("doc_id", F.col(text).alias("t"))).mapInPandas(run, schema)

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import Workspace
+from lodestrata.session import Workspace, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern by which byte-level BPE of this vocabulary splits a text.
@@ -154,7 +154,7 @@ def token_counts(docs: DataFrame, id_col: str, text: str, vocabulary: str) -> Da
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["t"]]})
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t")).mapInPandas(run, f"doc_id {kind}, n_tokens long")
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("t"))).mapInPandas(run, f"doc_id {kind}, n_tokens long")
 
 
 def pieces(counts: DataFrame, capacity: int) -> DataFrame:

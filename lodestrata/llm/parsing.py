@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import grammars, lexing
 from lodestrata.llm.lexing import Part
+from lodestrata.session import by_key, spread
 
 CHUNK_CHARS = 32768
 _PARTS = "array<struct<entry:string,state:string,closed:string,left:string,bad:boolean,again:boolean>>"
@@ -24,7 +25,7 @@ def language_column(path: Column) -> Column:
 def latest_files(files: DataFrame) -> DataFrame:
     """(file_path, content, parsed_at) of the last indexing of each file."""
     last = F.max_by(F.struct("content", "parsed_at"), F.struct(F.col("parsed_at"), F.md5("content")))
-    return files.where("file_path is not null").groupBy("file_path").agg(last.alias("f")).select("file_path", "f.content", "f.parsed_at")
+    return by_key(files.where("file_path is not null"), "file_path").groupBy("file_path").agg(last.alias("f")).select("file_path", "f.content", "f.parsed_at")
 
 
 def checked_files(files: DataFrame) -> DataFrame:
@@ -61,8 +62,8 @@ def checked_files(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file_path", "parsed_at", "content", "language", "valid", "stage"])
 
     d = files.where("file_path is not null").select("file_path", F.col("parsed_at").cast("timestamp_ntz").alias("parsed_at"), "content", language_column(F.col("file_path")).alias("language"), F.md5(F.coalesce("content", F.lit(""))).alias("digest"))
-    d = d.mapInPandas(cut, f"file_path string, parsed_at timestamp_ntz, digest string, language string, no int, piece string, parts {_PARTS}")
-    d = d.groupBy("file_path", "parsed_at", "digest", "language").agg(F.collect_list(F.struct("no", "piece", "parts")).alias("pieces"))
+    d = spread(d).mapInPandas(cut, f"file_path string, parsed_at timestamp_ntz, digest string, language string, no int, piece string, parts {_PARTS}")
+    d = by_key(d, "file_path").groupBy("file_path", "parsed_at", "digest", "language").agg(F.collect_list(F.struct("no", "piece", "parts")).alias("pieces"))
     return d.mapInPandas(decide, "file_path string, parsed_at timestamp_ntz, content string, language string, valid boolean, stage string")
 
 

@@ -16,6 +16,8 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import spread
+
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 LEXICON = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -250,4 +252,4 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
 
     kind = dict(docs.dtypes)[id_col]
     d = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"))
-    return d.mapInPandas(run, f"__id {kind}, spans {SPAN}, redacted string").withColumnRenamed("__id", id_col)
+    return spread(d).mapInPandas(run, f"__id {kind}, spans {SPAN}, redacted string").withColumnRenamed("__id", id_col)
