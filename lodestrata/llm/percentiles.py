@@ -19,15 +19,14 @@ LEVELS = (256, 16, 1)
 BATCH_ROWS = 200_000
 
 
-def _keep(v: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(v, up, down) of sorted values, thinned to blocks of step * n ranks; every up and down moves to a kept neighbour."""
-    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-    n, value, low = len(v), v[first], np.r_[first[1:], len(v)]
-    block = np.r_[-1, np.floor((low[1:] - 1) / max(1.0, step * n))] if len(value) > 1 else np.array([-1.0])
-    heavy = np.diff(np.r_[0, low]) >= max(1.0, step * n)
-    last = np.flatnonzero(np.r_[block[1:] != block[:-1], True] | heavy)
-    low, high = low[last], n - first[last]  # numbers <= and >= each kept value
-    return value[last], np.diff(np.r_[0, low]), -np.diff(np.r_[high, 0])
+def _keep(v: np.ndarray, count: np.ndarray, step: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(v, up, down) of distinct sorted values with their numbers, thinned to blocks of step * n ranks; every up and down moves to a kept neighbour."""
+    low = np.cumsum(count)
+    n = low[-1]
+    block = np.r_[-1, np.floor((low[1:] - 1) / max(1.0, step * n))]
+    last = np.flatnonzero(np.r_[block[1:] != block[:-1], True] | (count >= max(1.0, step * n)))
+    low, high = low[last], n - low[last] + count[last]  # numbers <= and >= each kept value
+    return v[last], np.diff(np.r_[0, low]), -np.diff(np.r_[high, 0])
 
 
 def _partition_summaries(scopes: Sequence[tuple[str, tuple[str, ...]]], value: str, step: float):
@@ -35,12 +34,21 @@ def _partition_summaries(scopes: Sequence[tuple[str, tuple[str, ...]]], value: s
 
     def of(pdf: pd.DataFrame, part: int) -> Iterator[pd.DataFrame]:
         for scope, cols in scopes:
-            order = pdf.sort_values([*cols, value], na_position="first")
-            for key, g in order.groupby(list(cols), sort=False, dropna=False):
-                v, up, down = _keep(g[value].to_numpy(), step)
-                key = key if isinstance(key, tuple) else (key,)
-                row = dict(zip(cols, key))
-                yield pd.DataFrame({"scope": scope, **{c: row.get(c) for c in names}, "part": part, "v": v, "up": up, "down": down}, index=range(len(v)))
+            g = pdf.groupby([*cols, value], sort=True, dropna=False).size().reset_index(name="up")
+            code = g.groupby(list(cols), sort=False, dropna=False).ngroup().to_numpy()
+            up, v = g["up"].to_numpy(), g[value].to_numpy()
+            total = np.bincount(code, weights=up)
+            # groups of fewer than 1 / step values keep all of them, the others are thinned one by one
+            wide = np.flatnonzero(total * step > 1)
+            keep, down = ~np.isin(code, wide), up.copy()
+            rows = np.arange(len(g))
+            for k in wide:
+                at = rows[code == k]
+                kept, a, b = _keep(v[at], up[at], step)
+                at = at[np.searchsorted(v[at], kept)]
+                keep[at], up[at], down[at] = True, a, b
+            out = g.loc[keep, list(cols)]
+            yield pd.DataFrame({"scope": scope, **{c: out[c] if c in cols else None for c in names}, "part": part, "v": v[keep], "up": up[keep], "down": down[keep]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0
