@@ -25,6 +25,8 @@ LEXICON = "/opt/tokenizers/word_bpe_49k.json"
 LOOKALIKES = dict(zip("аеорсхуіјѕһԁԛԝкмтвнАВЕКМНОРСТХУІЈЅοαενρτυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyijshdqwkmtbhABEKMHOPCTXYIJSoaevptuikABEZHIKMNOPTYX"))
 # Characters without width, hyphens and spaces.
 INVISIBLE, HYPHENS, SPACES = "\u200b\u200c\u200d\u2060\ufeff\u00ad", "\u2010\u2011\u2012\u2013\u2212", "\u00a0\u2007\u2009\u202f"
+HIDDEN = re.compile(f"[{INVISIBLE}]")
+ONE_TO_ONE = str.maketrans({**LOOKALIKES, **dict.fromkeys(HYPHENS, "-"), **dict.fromkeys(SPACES, " "), **{chr(c): unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF01, 0xFF5F) if chr(c) not in "，：；（）！？"}})
 # Words for digits.
 DIGITS = {w: str(n) for n, words in enumerate(("zero oh null zéro", "one eins un", "two zwei deux", "three drei trois", "four vier quatre", "five fünf cinq", "six sechs", "seven sieben sept", "eight acht huit", "nine neun neuf")) for w in words.split()}
 _DIGIT = "|".join(sorted(DIGITS, key=len, reverse=True))
@@ -70,6 +72,7 @@ ADDRESSES = [
 # Names. Phrases before and after which a person stands, words that end names of places and groups.
 BEFORE = r"(?:\b(?:Hi|Hello|Dear|Hallo|Bonjour|Liebe[r]?|Cher|Chère|[Cc]c|CC|[Aa]sk(?: for)?|reviewed by|approved by|written by|signed by|[Aa]ccording to|fitting with|meeting with|[Cc]all with|chart of|report of|[Ss]ince|visitors,|[Tt]hanks,|[Rr]egards,|[Cc]heers,|Best,|[Cc]ontact|aufgenommen von|Aufgenommen von|geprüft von|Geprüft von|Grüße,|Gruß,|bitte an|geht an|[Ll]aut|[Cc]ontactez|suivie? par|[Cc]ordialement,|bracelet à|[Ss]elon|[Mm]erci,)[ \t]+|(?:Signed-off-by|Co-authored-by|Reviewed-by|[Cc]oach|[Pp]layer|[Rr]eporter|[Aa]uthor|[Nn]ame|[Tt]rainer|[Ss]pieler|[Jj]oueur)\"?[:=][ \t]*\"?|\"subject\": ?\"|(?:(?m:^)|(?<=\s))--[ \t]*\r?\n|\|[ \t]+)"
 AFTER = r"(?=[ \t]+(?:wants|habite|changed|moved|wrote|called|asked|said|wohnt|schrieb|a écrit|and a friend|capture is)\b)"
+DOING = re.compile(r"[ \t](?:wants|habite|changed|moved|wrote|called|asked|said|wohnt|schrieb|a écrit|and a friend|capture is)\b")
 PLACES = frozenset("lab coach range links green hollow seven four iron hybrid box lane road street avenue st apt club team park course school center centre bay hill lake north south east west tarn driver putter wedge".split())
 _TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme|Mlle)\.?[ \t]+)?"
 _CAP, _LOW, _UP = r"\p{Lu}[\p{Ll}'’]+", r"\p{Ll}[\p{Ll}'’]+", r"\p{Lu}{3,}"
@@ -78,7 +81,8 @@ PERSON = (
     rf"|{_CAP}[ \t](?:\p{{Lu}}\.[ \t]?)?{_UP}(?:-{_UP})?|{_UP}[ \t](?:\p{{Lu}}\.[ \t]?)?{_UP}(?:-{_UP})?|{_CAP}(?:-{_CAP})?,[ \t]{_CAP})"
 )
 LOWER = rf"(?:{_LOW}[ \t](?:\p{{Ll}}\.[ \t]?)?{_LOW}(?:-{_LOW})?|\p{{Ll}}\.[ \t]?{_LOW}(?:-{_LOW})?|{_LOW},[ \t]{_LOW})"
-CUED = re.compile(rf"{BEFORE}{_TITLE}(?P<name>{PERSON}|{LOWER})(?![\p{{L}}\d@])")
+CUE = re.compile(BEFORE)
+CUED = re.compile(rf"{_TITLE}(?P<name>{PERSON}|{LOWER})(?![\p{{L}}\d@])")
 NEXT = re.compile(rf"(?:,[ \t]+|[ \t]+(?:and|und|et|&)[ \t]+){_TITLE}(?P<name>{PERSON}|{LOWER})(?![\p{{L}}\d@])")
 LED = re.compile(rf"(?:(?<![\p{{L}}\d.@-]){_TITLE}(?P<name>{PERSON})|(?:(?m:^)|(?<=[.!?:;][ \t])|(?<=- ))(?P<name>{LOWER})){AFTER}|(?<=\b[Tt]he )(?P<name>{LOWER})(?= capture\b)")
 WHOLE = re.compile(rf"{PERSON}|{LOWER}")
@@ -106,29 +110,16 @@ def normalise(text: str) -> tuple[str, list[int] | None, list[int] | None]:
     at = to = None
     out = text
     if not text.isascii():
-        chars, at, to = [], [], []
-        for i, c in enumerate(text):
-            if c < "\x80":
-                r = c
-            elif c in LOOKALIKES:
-                r = LOOKALIKES[c]
-            elif c in INVISIBLE:
-                r = ""
-            elif c in HYPHENS:
-                r = "-"
-            elif c in SPACES:
-                r = " "
-            elif "！" <= c <= "～" and c not in "，：；（）！？":
-                r = unicodedata.normalize("NFKC", c)
-            else:
-                r = c
-            chars.append(r)
-            at += [i] * len(r)
-            to += [i + 1] * len(r)
-        out = "".join(chars)
-        if len(out) == len(text):
-            at = to = None
+        out = text.translate(ONE_TO_ONE)
+        if HIDDEN.search(out):
+            at = [i for i, c in enumerate(text) if c not in INVISIBLE]
+            to = [i + 1 for i in at]
+            out = HIDDEN.sub("", out)
+    low = out.lower()
+    some_at, some_dot = any(x in low for x in ("at)", "at]", "at}", "at>")) or " AT " in out, any(x in low for x in ("dot)", "dot]", "dot}", "dot>", " dot "))
     for rule, put in ((AT, "@"), (AT_WORD, "@"), (DOT, "."), (SPELLED, None)):
+        if rule is AT and not some_at or (rule is AT_WORD or rule is DOT) and not some_dot:
+            continue
         hits = list(rule.finditer(out))
         if rule is AT or rule is DOT:  # plain words count only in capitals or brackets
             hits = [h for h in hits if h.group().strip()[0] in "[({<" or h.group().strip().isupper()]
@@ -197,7 +188,10 @@ def find(text: str | None, lexicon: str = LEXICON) -> list[tuple[str, int, int]]
             a += h.end()
         return a, b
 
-    for m in CUED.finditer(out, overlapped=True):
+    for cue in CUE.finditer(out):
+        m = CUED.match(out, cue.end())
+        if not m:
+            continue
         a, b = trim(*m.span("name"))
         while True:
             if WHOLE.fullmatch(out[a:b]) and _person(out[a:b], words, True):
@@ -206,11 +200,18 @@ def find(text: str | None, lexicon: str = LEXICON) -> list[tuple[str, int, int]]
             if not n or not _person(n.group("name"), words, True):
                 break
             a, b = n.span("name")
-    for rule, cued in ((LED, True), (FREE, False)):
-        for m in rule.finditer(out, overlapped=True):
+    for verb in DOING.finditer(out):  # a name ends right before
+        for m in LED.finditer(out, max(0, verb.start() - 80), verb.end(), overlapped=True):
             a, b = trim(*m.span("name"))
-            if WHOLE.fullmatch(out[a:b]) and _person(out[a:b], words, cued):
+            if WHOLE.fullmatch(out[a:b]) and _person(out[a:b], words, True):
                 take("name", a, b)
+    for m in FREE.finditer(out, overlapped=True):
+        a, b = m.span("name")
+        if "," not in m.group() and out[a:b].rsplit(" ", 1)[-1].rsplit("-", 1)[-1].lower() in words:
+            continue
+        a, b = trim(a, b)
+        if WHOLE.fullmatch(out[a:b]) and _person(out[a:b], words, False):
+            take("name", a, b)
     if re.search(r"\p{Han}", out):
         for rule in HAN:
             for m in rule.finditer(out):
