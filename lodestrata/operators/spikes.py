@@ -53,7 +53,8 @@ def normal_behaviour(d: DataFrame, n_axes: int) -> DataFrame:
     d = d.select("k", "c", "i", "t", *vs, F.lag("i").over(w).alias("seen")).where("seen is null or seen <> i")
     d = d.select("k", "c", "t", *vs, F.lag(F.struct("t", *vs)).over(w).alias("p"), F.lag(F.struct("t", *vs), 2).over(w).alias("q"), F.lead(F.struct(*vs)).over(w).alias("x"), F.min("t").over(Window.partitionBy("k", "c")).alias("from"))
     hour = F.coalesce(F.floor(F.col("from") / 3600), F.lit(-1))
-    aggs = [F.count("*").alias("n"), F.percentile_approx(F.when(F.col("t") > F.col("p.t"), F.col("t") - F.col("p.t")), 0.5, 1000).alias("dt")]
+    # a chunk lies in one hour, that of its first reading; an hour has few chunks
+    aggs = [F.collect_set("c").alias("chunks"), F.count("*").alias("n"), F.percentile_approx(F.when(F.col("t") > F.col("p.t"), F.col("t") - F.col("p.t")), 0.5, 1000).alias("dt")]
     for v in vs:
         p, q, x = F.col(f"p.{v}"), F.col(f"q.{v}"), F.col(f"x.{v}")
         aggs += [
@@ -71,8 +72,7 @@ def normal_behaviour(d: DataFrame, n_axes: int) -> DataFrame:
         chance = F.greatest(F.col(f"again_{v}") / F.greatest(F.col(f"runs_{v}"), F.lit(1)), F.lit(1e-3))
         stats = stats.withColumn(f"long_{v}", F.when(chance < 0.98, 1 + F.log(F.greatest("n", F.lit(2))) / -F.log(chance)).otherwise(float("inf")))
         out += [f"sd_{v}", f"long_{v}"]
-    chunks = d.groupBy("k", "c").agg(F.first(hour).alias("hour"))
-    return chunks.join(stats, ["k", "hour"]).select("k", "c", *out)
+    return stats.select("k", F.explode("chunks").alias("c"), *out)
 
 
 class _Series:
