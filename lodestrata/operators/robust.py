@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,54 @@ def bootstrap_ci(d: DataFrame, keys: Sequence[str], value: str, order: str, resa
     return base.join(ci, list(keys)).select(*keys, "n", "mean", F.when(F.col("n") == 1, F.col("mean")).otherwise(F.col("q")[0]).alias("lo"), F.when(F.col("n") == 1, F.col("mean")).otherwise(F.col("q")[1]).alias("hi"))
 
 
+# Multipliers of a 32-bit integer mixer; below 2**31, so that SQL's 64-bit integers hold the products.
+MIX = (569420461, 1935289751)
+SEED_STEP = 1640531527
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A mixer of 32-bit numbers held as 64-bit ones; different numbers stay different."""
+    for shift, by in zip((16, 15), MIX):
+        x = ((x ^ (x >> shift)) * by) & 0xFFFFFFFF
+    return x ^ (x >> 15)
+
+
+def bootstrap_mean_ci(d: DataFrame, keys: Sequence[str], value: str, order: str, resamples: int = 2000, seed: int = 12345, block: int = 1 << 17, part: int = 50) -> DataFrame:
+    """(keys, n, mean, lo, hi): percentile bootstrap of the mean, rows drawn with replacement; the bounds are the mean for one value.
+
+    Draw i of resample b is row mixed(mixed(i) ^ mixed(b * SEED_STEP + seed)) mod n, rows counted by order, then value. A
+    task has one block of a group's values and part of the resamples; it repeats the draws and sums those in its block.
+    """
+    w = Window.partitionBy(*keys).orderBy(order, "__v")
+    d = d.where(finite(value).isNotNull()).select(*keys, order, F.col(value).cast("double").alias("__v"))
+    d = d.select(*keys, "__v", (F.row_number().over(w) - 1).cast("long").alias("__i"), F.count("*").over(Window.partitionBy(*keys)).alias("__n"))
+    blocks = d.groupBy(*keys, "__n", F.floor(F.col("__i") / block).alias("__k")).agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("__a"))
+    tasks = blocks.select(*keys, "__n", "__k", F.col("__a.__v").alias("__a"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(part))).alias("__b"))
+    kinds = dict(d.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                v, n, low = np.asarray(r["__a"], dtype=np.float64), int(r["__n"]), int(r["__k"]) * block
+                b = np.arange(r["__b"], min(r["__b"] + part, resamples), dtype=np.int64)
+                per = mixed((b * SEED_STEP + seed) & 0xFFFFFFFF)
+                total = np.zeros(len(b))
+                for at in range(0, n, block):
+                    i = mixed(np.arange(at, min(at + block, n), dtype=np.int64) & 0xFFFFFFFF)
+                    for k in range(len(b)):
+                        x = mixed(i ^ per[k]) % n - low
+                        total[k] += v[x if n <= block else x[(x >= 0) & (x < len(v))]].sum()
+                yield pd.DataFrame({**{c: [r[c]] * len(b) for c in keys}, "__b": b, "__t": total})
+
+    spark = d.sparkSession
+    spread = tasks.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys, "__k", "__b")
+    sums = spread.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "__b long", "__t double"]))
+    base = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("__v").alias("mean"))
+    means = sums.groupBy(*keys, "__b").agg(F.sum("__t").alias("__t")).join(base, list(keys)).select(*keys, (F.col("__t") / F.col("n")).alias("__m"))
+    ci = means.groupBy(*keys).agg(F.percentile("__m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return base.join(ci, list(keys)).select(*keys, "n", "mean", F.when(F.col("n") == 1, F.col("mean")).otherwise(F.col("q")[0]).alias("lo"), F.when(F.col("n") == 1, F.col("mean")).otherwise(F.col("q")[1]).alias("hi"))
+
+
 def strata(d: DataFrame, labels: Sequence[Column]) -> DataFrame:
     """Each row once for each of its labels that is not null: overlapping strata."""
     return d.withColumn("stratum", F.explode(F.array_compact(F.array(*labels))))

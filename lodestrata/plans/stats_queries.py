@@ -114,6 +114,26 @@ def stats_bootstrap_ci(spark, d):
     return b.select("n_regionkey", "n", F.round("mean", 4).alias("mean"), F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
 
 
+def _mixed_sql(x: str, src: str, out: str) -> str:
+    """CTEs that replace column x of src by its mixed number."""
+    a, b = R.MIX
+    return f"""{out}_1 AS (SELECT * REPLACE ((xor({x}, {x} >> 16) * {a}) & 4294967295 AS {x}) FROM {src}), {out}_2 AS (SELECT * REPLACE ((xor({x}, {x} >> 15) * {b}) & 4294967295 AS {x}) FROM {out}_1),
+{out} AS (SELECT * REPLACE (xor({x}, {x} >> 15) AS {x}) FROM {out}_2)"""
+
+
+@query(f"""d AS (SELECT o_orderpriority AS k, CAST(o_totalprice AS DOUBLE) AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey, o_totalprice) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WHERE isfinite(CAST(o_totalprice AS DOUBLE))),
+i0 AS (SELECT k, n, i AS x FROM d), {_mixed_sql('x', 'i0', 'ix')},
+b0 AS (SELECT CAST(range AS BIGINT) AS b, CAST((range * {R.SEED_STEP} + 12345) & 4294967295 AS BIGINT) AS y FROM range(2000)), {_mixed_sql('y', 'b0', 'bx')},
+p0 AS (SELECT k, n, b, xor(x, y) AS x FROM ix, bx), {_mixed_sql('x', 'p0', 'px')},
+m AS (SELECT px.k, b, avg(d.v) AS m FROM px JOIN d ON d.k IS NOT DISTINCT FROM px.k AND d.i = px.x % px.n GROUP BY 1, 2),
+q AS (SELECT k, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY k)
+SELECT g.k AS o_orderpriority, g.n, round(g.mean, 4) AS mean, round(q.lo, 3) AS lo, round(q.hi, 3) AS hi FROM (SELECT k, count(*) AS n, avg(v) AS mean FROM d GROUP BY k) g JOIN q USING (k)""", "z AS (SELECT 1)")
+def stats_bootstrap_orders(spark, d):
+    """Intervals of the mean price of the orders of each priority, from 2000 resamples drawn with replacement."""
+    b = R.bootstrap_mean_ci(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", "o_orderkey")
+    return b.select("o_orderpriority", "n", F.round("mean", 4).alias("mean"), F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
+
+
 @query("s AS (SELECT swing_id, name, value, unnest([kind, kind || ':' || validity, CASE WHEN confidence < 0.5 THEN 'unsure' END]) AS stratum FROM f) SELECT stratum, name, count(*) AS n, round(avg(value), 9) AS mean FROM s WHERE stratum IS NOT NULL GROUP BY 1, 2")
 def stats_overlapping_strata(spark, d):
     m = metrics(spark, d).where(R.finite("value").isNotNull())
