@@ -37,27 +37,28 @@ class Plan:
 
 
 def price_best(lengths: np.ndarray, value: np.ndarray, demand: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration (index of length: number) of greatest value that fits; none is used more than demand has."""
-    best = np.zeros(capacity + 1)
-    take = np.full(capacity + 1, -1)
-    for c in range(int(lengths[0]), capacity + 1):
-        m = int(np.searchsorted(lengths, c, "right"))
-        got = best[c - lengths[:m]] + value[:m]
-        j = int(got.argmax())
-        if got[j] > best[c - 1]:
-            best[c], take[c] = got[j], j
-        else:
-            best[c] = best[c - 1]
+    """The configuration (index of length: number) of greatest value that fits and takes no length more often than demand has it."""
+    best, spare = np.zeros(capacity + 1), np.empty(capacity + 1)
+    items: list[tuple[int, int]] = []
+    for j in np.flatnonzero((demand > 0) & (value > 0)):
+        n, k = min(int(demand[j]), capacity // int(lengths[j])), 1
+        while n > 0:  # 1, 2, 4, ... of a length and what is left make every number of it
+            k = min(k, n)
+            items.append((int(j), k))
+            n, k = n - k, k * 2
+    took = np.zeros((len(items), capacity + 1), dtype=bool)
+    for t, (j, k) in enumerate(items):
+        w = k * int(lengths[j])
+        got = np.add(best[: capacity + 1 - w], k * value[j], out=spare[: capacity + 1 - w])
+        np.greater(got, best[w:], out=took[t, w:])
+        np.maximum(got, best[w:], out=best[w:])
     out: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        j = take[c]
-        if j < 0:
-            c -= 1
-            continue
-        if out.get(j, 0) < demand[j]:
-            out[j] = out.get(j, 0) + 1
-        c -= int(lengths[j])
+    for t in range(len(items) - 1, -1, -1):
+        if took[t, c]:
+            j, k = items[t]
+            out[j] = out.get(j, 0) + k
+            c -= k * int(lengths[j])
     return out
 
 
@@ -95,37 +96,33 @@ def _complete(chosen: list, lengths: np.ndarray, demand: np.ndarray, capacity: i
 def solve(histogram: dict[int, int], capacity: int, rounds: int = 256, rate: float = 4.0, part: float = 0.5) -> Plan:
     """The plan for a histogram {length: number}, lengths from 1 to capacity; empty for none.
 
-    Each round prices lengths by exp(-rate * covered share), takes the best configuration and adds part of what the
-    scarcest of its lengths allows to the fractional solution. Rounding down leaves items over; they are filled in, longest
-    first, from the histogram; where that alone needs fewer containers, as for few items it may, it is the plan. lower_bound is the best value of the dual met on the way.
+    Each round prices lengths by exp(-rate * covered share) and takes the best configuration of what is left, in whole
+    containers: part of what the scarcest of its lengths allows, all of it after that many rounds, at least one. It ends
+    when every length is covered, or after four more rounds a length; what is left then is filled in longest first. Where
+    longest first alone needs fewer containers, it is the plan and lp_containers is 0. The containers cover every length,
+    so they are a primal solution; lower_bound is the best value of the dual met on the way, from prices tried on the
+    whole demand, and the linear program's value lies between them.
     """
     if not histogram:
         return Plan(*(np.zeros(0, np.int64) for _ in range(3)), 0, 0, 0.0)
     lengths = np.array(sorted(histogram), dtype=np.int64)
     demand = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    covered, x = np.zeros(len(lengths)), {}
-    bound = float((lengths * demand).sum()) / capacity
-    for _ in range(rounds):
-        value = lengths / capacity * np.exp(-rate * covered)
-        c = price_best(lengths, value, demand, capacity)
-        if not c:
+    left, chosen = demand.copy(), []
+    bound = float((lengths * demand).sum()) / capacity  # the dual with prices in proportion to the lengths
+    for r in range(rounds + 4 * len(lengths)):
+        if not left.any():
             break
+        value = lengths / capacity * np.exp(-rate * (1 - left / demand))
+        if r and r % rounds == 0:
+            whole = price_best(lengths, value, demand, capacity)
+            bound = max(bound, float((value * demand).sum()) / sum(float(value[j]) * n for j, n in whole.items()))
+        c = price_best(lengths, value, left, capacity)
         j, a = np.array(list(c)), np.array(list(c.values()))
-        worth = float((value[j] * a).sum())
-        bound = max(bound, float((value * demand).sum()) / worth) if (a <= demand[j]).all() and worth > 0 and (demand[j] >= capacity // lengths[j]).all() else bound
-        amount = part * float((demand[j] / a).min())
-        key = tuple(sorted(c.items()))
-        x[key] = x.get(key, 0.0) + amount
-        covered[j] += a * amount / demand[j]
-        if covered.min() >= 1.0:
-            break
-    # no configuration more often than its most covered length allows, so that together they fit the demand
-    lp = []
-    for key, amount in sorted(x.items(), key=lambda kv: -sum(int(lengths[j]) * n for j, n in kv[0])):
-        over = max(1.0, max(covered[j] for j, _ in key))
-        if int(amount / over):
-            lp.append((key, int(amount / over)))
-    patterns, by_lp = _complete(lp, lengths, demand, capacity)
+        most = int((left[j] // a).min())
+        n = max(1, int(part * most)) if r < rounds else most
+        chosen.append((tuple(sorted(c.items())), n))
+        left[j] -= a * n
+    patterns, by_lp = _complete(chosen, lengths, demand, capacity)
     # the same from nothing, in case the demand is too small for the fractions to count
     plain, none = _complete([], lengths, demand, capacity)
     if sum(n for _, n in plain) < sum(n for _, n in patterns):
