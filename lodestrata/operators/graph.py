@@ -127,6 +127,26 @@ class PropertyGraph:
             seen = seen.unionByName(frontier)
         return seen
 
+    def shortest_paths(self, start: DataFrame, end: DataFrame, depth: int, direction: str = "out", rels: Sequence[str] | None = None, ws: Workspace | None = None) -> DataFrame:
+        """(start, end, length, path): for each start(id) and each end(id) within depth edges the shortest path, as node ids from start to end.
+
+        Breadth first from every start by itself; of paths equally short the lexicographically least. It is found along
+        the way, as its beginning is the least path to the node before. Starts and ends that are no nodes are left out.
+        """
+        ws = ws or Workspace(self.nodes.sparkSession)
+        nodes = self.nodes.select("id").distinct()
+        steps = self.steps(direction, rels).join(nodes.withColumnRenamed("id", "b"), "b", "left_semi")
+        first = nodes.join(start.select("id").distinct(), "id", "left_semi")
+        seen = frontier = ws.save(first.select(F.col("id").alias("start"), "id", F.lit(0).alias("length"), F.array("id").alias("path")), "s0")
+        for k in range(1, depth + 1):
+            nxt = frontier.join(steps, frontier["id"] == steps["a"]).select("start", F.col("b").alias("id"), "path")
+            nxt = nxt.join(seen.select("start", "id"), ["start", "id"], "left_anti").groupBy("start", "id").agg(F.min("path").alias("path"))
+            frontier = ws.save(nxt.select("start", "id", F.lit(k).alias("length"), F.concat("path", F.array("id")).alias("path")), f"s{k}")
+            if frontier.isEmpty():
+                break
+            seen = seen.unionByName(frontier)
+        return seen.join(end.select("id").distinct(), "id", "left_semi").select("start", F.col("id").alias("end"), "length", "path")
+
     def closure(self, rels: Sequence[str], ws: Workspace | None = None) -> DataFrame:
         """(src, dst): every pair joined by a path of the relations, by doubling; cycles end it as nothing new appears."""
         ws = ws or Workspace(self.nodes.sparkSession)

@@ -131,6 +131,18 @@ def graph_shortest_path(spark, d):
     return g.distances(g.select("class").where("name", "starts_with", "Warm").ids(), 9, "both", ["extends", "imports"])
 
 
+@query(f"""st AS (SELECT DISTINCT s.a, s.b FROM ({_BOTH}) s JOIN nodes n ON n.id = s.b),
+pw AS (SELECT DISTINCT id AS start, id, 0 AS len, [id] AS path FROM nodes WHERE label = 'class'
+UNION ALL SELECT w.start, st.b, w.len + 1, min(list_append(w.path, st.b)) FROM pw w JOIN st ON st.a = w.id WHERE w.len < 9 GROUP BY w.start, st.b, w.len),
+least AS (SELECT start, id, min(len) AS len FROM pw GROUP BY 1, 2)
+SELECT start, id AS "end", CAST(len AS INTEGER) AS length, path FROM pw JOIN least USING (start, id, len) WHERE id IN (SELECT id FROM nodes WHERE label = 'class')""", recursive=True)
+def graph_find_path(spark, d):
+    """The least of the shortest paths from each class to each class, at most ten nodes, over inheritance and imports."""
+    g = graph(spark, d)
+    classes = g.select("class").ids()
+    return g.shortest_paths(classes, classes, 9, "both", ["extends", "imports"])
+
+
 @query("""e AS (SELECT DISTINCT src, dst FROM edges WHERE rel IN ('extends', 'imports')),
 c AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON e.src = c.dst) SELECT * FROM c""", recursive=True)
 def graph_transitive_closure(spark, d):
