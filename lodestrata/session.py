@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -67,11 +68,14 @@ def by_key(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (tests), a temporary one."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one if all runs in one process, as in tests; a cluster must name one."""
     sc = spark.sparkContext
     at = sc.getCheckpointDir()
     if at is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestrata-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestrata-"))
         at = sc.getCheckpointDir()
     return at
 
@@ -89,6 +93,20 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def split(self, df: DataFrame, name: str, flag: str) -> tuple[DataFrame, DataFrame]:
+        """The rows where flag holds and those where it does not, without the flag, written once; drop() takes name/flag=true or name/flag=false."""
+        path = f"{self.base}/{name}"
+        df.write.mode("overwrite").partitionBy(flag).parquet(path)
+        schema = df.drop(flag).schema
+        return tuple(self._part(f"{path}/{flag}={x}", schema) for x in ("true", "false"))
+
+    def _part(self, path: str, schema) -> DataFrame:
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
     def drop(self, name: str) -> None:
         self._delete(f"{self.base}/{name}")
 

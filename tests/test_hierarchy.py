@@ -80,3 +80,18 @@ def test_long_chain_and_broad_parent(spark):
 
 def test_empty(spark):
     assert H.nested_sets(links(spark, [])).count() == 0
+
+
+def test_chain_of_ten_thousand(spark):
+    n = 10_000
+    d = spark.range(n).selectExpr("'h' as hierarchy", "concat('c', id) as node_id", "case when id > 0 then concat('c', id - 1) end as parent_id")
+    rows = H.nested_sets(H.parent_links(d)).collect()
+    assert len(rows) == n and all(r["root_id"] == "c0" for r in rows)
+    assert all(int(r["node_id"][1:]) == r["depth"] == r["pre_lo"] and r["size"] == n - r["depth"] for r in rows)
+
+
+def test_one_parent_of_ninety_percent(spark):
+    d = spark.range(20_000).selectExpr("'h' as hierarchy", "cast(id as string) as node_id", "case when id = 0 then null when id % 10 > 0 then '0' else cast(id - 10 as string) end as parent_id")
+    got = H.nested_sets(H.parent_links(d))
+    assert got.where("depth < 0").count() == 0 and got.where("node_id = '0'").first()["size"] == 20_000
+    assert got.select("pre_lo").distinct().count() == 20_000
