@@ -6,15 +6,16 @@ looked up; a construct the grammars do not know makes a file invalid.
 
 from __future__ import annotations
 
-import ast
+import re
 import sys
 import warnings
 
-import regex as re
-
-from lodestrata.llm.lexing import SCRIPT, tokenize
+from lodestrata.llm.lexing import _JS, _REGEX, _TEMPLATE, SCRIPT, _is_value, tokenize
 
 END = "\0"
+_JSX = re.compile(_JS.pattern + "|(?P<less><)")
+#: Frames of a descent that a token may need.
+FRAMES = 24
 
 
 class Bad(Exception):
@@ -919,6 +920,7 @@ class Go(Parser):
 
     def __init__(self, text: str, language: str):
         super().__init__(text, language)
+        self.no_type: set[int] = set()
         # a line end after these ends a statement
         t, k = [], []
         for i, s in enumerate(self.t[:-3]):
@@ -1044,6 +1046,17 @@ class Go(Parser):
             self.type()
 
     def type(self) -> None:
+        """A type; where one has failed before, on another path, it is not tried again."""
+        at = self.i
+        if at in self.no_type:
+            raise Bad("type")
+        try:
+            self.any_type()
+        except Bad:
+            self.no_type.add(at)
+            raise
+
+    def any_type(self) -> None:
         s = self.t[self.i]
         if s == "*":
             self.i += 1
@@ -1346,11 +1359,28 @@ class Java(Parser):
             self.got("static")
             self.qualified(star=True)
             self.need(";")
+        main = loose = False
         while self.t[self.i] != END:
             if self.got(";"):
                 continue
             self.modifiers()
-            self.type_declaration()
+            if self.is_type_declaration():
+                self.type_declaration()
+                continue
+            # members without a class, which a file with a main method may have
+            loose = True
+            self.type_params()
+            if not self.got("void"):
+                self.type()
+            main = main or (self.t[self.i] == "main" and self.t[self.i + 1] == "(")
+            self.name()
+            if self.t[self.i] == "(":
+                self.method_rest()
+            else:
+                self.declarators()
+                self.need(";")
+        if loose and not main:
+            raise Bad("declaration")
 
     def qualified(self, star: bool = False) -> None:
         self.name()
@@ -1950,28 +1980,35 @@ def _python_statements(text: str) -> list[str]:
     return [text[a:b] for a, b in zip(starts, [*starts[1:], n])]
 
 
-def python_valid(text: str) -> bool:
-    """Each statement at the left margin by the interpreter's own grammar."""
+def python_valid(text: str) -> bool | None:
+    """Each statement at the left margin by the interpreter's own compiler; None where it is nested too deep for that."""
     text = text.removeprefix("﻿")
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         for s in _python_statements(text):
             try:
-                ast.parse(s)
+                compile(s, "file", "exec", dont_inherit=True)
             except (SyntaxError, ValueError):
                 return False
             except (RecursionError, MemoryError):
-                continue
+                return None
     return True
 
 
-def valid(text: str, language: str) -> bool:
-    """Whether a text with paired brackets is valid in a language; one without statements is."""
+def valid(text: str, language: str, jsx: bool = False) -> bool | None:
+    """Whether a text with paired brackets is valid in a language; one without statements is.
+
+    jsx: elements of markup are allowed where a value is. Descents are as deep as the text needs, whatever its nesting;
+    None is for Python files that the interpreter itself cannot decide on.
+    """
     if language == "python":
         return python_valid(text)
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
+    if jsx and (text := jsx_as_arrays(text)) is None:
+        return False
+    limit = sys.getrecursionlimit()
     try:
         p = {"go": Go, "java": Java}.get(language, Script)(text, language)
+        sys.setrecursionlimit(max(limit, 10_000 + FRAMES * len(p.t)))
         if p.t[0] != END:
             p.file()
         return True
@@ -1979,8 +2016,159 @@ def valid(text: str, language: str) -> bool:
         return False
     except KeyError:  # a bracket without its pair
         return False
-    except RecursionError:
-        return True
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+# ---------------------------------------------------------------- markup in scripts
+
+_TAG_NAME = re.compile(r"[A-Za-z_$][\w$]*(?:[-:.][\w$]+)*")
+_GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\s+[\w$])")
+_OPENS = re.compile(r"<\s*[A-Za-z_$>]")
+_SPACE = re.compile(r"(?:\s|/\*[\s\S]*?\*/|//[^\n]*)*")
+
+
+def _code(text: str, at: int) -> tuple[int, str]:
+    """From a place to the brace that closes what it lies in, or to the end: that place, and the code with arrays for elements."""
+    out, copied, last, value, depth, n = [], at, at, False, 0, len(text)
+    while at < n:
+        m = _JSX.search(text, at)
+        if not m:
+            break
+        at, kind = m.end(), m.lastgroup
+        if kind == "b":
+            b = m.group()
+            depth += 1 if b in "([{" else -1
+            if depth < 0:
+                return m.start(), "".join([*out, text[copied : m.start()]])
+            value = b in ")]"
+        elif kind == "q" and m.group() == "/*":
+            value = _is_value(text[last : m.start()], value)
+            at = text.find("*/", at) + 2
+            if at < 2:
+                raise Bad("comment")
+        elif kind == "q":
+            while (e := _TEMPLATE.match(text, at)) and e.group(1) == "${":
+                end, inner = _code(text, e.end())
+                out += [text[copied : e.end()], inner]
+                copied, at = end, end + 1
+            if not e:
+                raise Bad("template")
+            at, value = e.end(), True
+        elif kind == "line":
+            value = _is_value(text[last : m.start()], value)
+        elif kind == "slash":
+            value = _is_value(text[last : m.start()], value)
+            r = None if value else _REGEX.match(text, m.start())
+            at, value = (r.end(), True) if r else (at, False)
+        elif kind == "less":
+            if not _is_value(text[last : m.start()], value) and _OPENS.match(text, m.start()) and not _GENERIC.match(text, m.start()):
+                end, new = _element(text, m.start())
+                out += [text[copied : m.start()], new]
+                copied, at, value = end, end, True
+            else:
+                value = False
+        else:
+            value = True
+        last = at
+    return n, "".join([*out, text[copied:]])
+
+
+def _element(text: str, at: int) -> tuple[int, str]:
+    """The end of the element that begins at a place, and an array of the expressions it holds."""
+    out, begin = ["["], at
+
+    def code(at: int, child: bool) -> int:
+        end, inner = _code(text, at + 1)
+        if not text.startswith("}", end):
+            raise Bad("brace")
+        s, close = _SPACE.match(inner).end(), "\n" if "//" in inner else ""
+        if s == len(inner):
+            if not child:
+                raise Bad("attribute")
+            out.append("\n" * inner.count("\n"))
+        elif inner.startswith("...", s):
+            out.append(f"{inner}{close},")
+        else:
+            out.append(f"({inner}{close}),")
+        return end + 1
+
+    def space(at: int) -> int:
+        end = _SPACE.match(text, at).end()
+        out.append("\n" * text.count("\n", at, end))
+        return end
+
+    def tag(at: int) -> tuple[int, str]:
+        m = _TAG_NAME.match(text, at)
+        return (m.end(), m.group()) if m else (at, "")
+
+    at, name = tag(space(at + 1) if text[at + 1 : at + 2].isspace() else at + 1)
+    while name:
+        at = space(at)
+        c = text[at : at + 1]
+        if c == "/" or c == ">":
+            break
+        if c == "{":
+            if not text[_SPACE.match(text, at + 1).end() :].startswith("..."):
+                raise Bad("attribute")
+            at = code(at, False)
+            continue
+        end, attribute = tag(at)
+        if not attribute:
+            raise Bad("attribute")
+        at = space(end)
+        if text[at : at + 1] == "=":
+            at = space(at + 1)
+            c = text[at : at + 1]
+            if c == "{":
+                at = code(at, False)
+            elif c in ("'", '"'):
+                end = text.find(c, at + 1)
+                if end < 0:
+                    raise Bad("attribute")
+                out.append("\n" * text.count("\n", at, end))
+                at = end + 1
+            elif c == "<":
+                at, inner = _element(text, at)
+                out.append(inner + ",")
+            else:
+                raise Bad("attribute")
+    if name and text.startswith("/", at):
+        if not text.startswith(">", at := space(at + 1)):
+            raise Bad("tag")
+        return at + 1, "".join([*out, "]"])
+    if not text.startswith(">", at):
+        raise Bad("tag")
+    at += 1
+    while True:
+        m = _CHILD.search(text, at)
+        if not m or m.group() in (">", "}"):
+            raise Bad("child")
+        out.append("\n" * text.count("\n", at, m.start()))
+        at = m.start()
+        if m.group() == "{":
+            at = code(at, True)
+        elif m.group() == "<":
+            at, inner = _element(text, at)
+            out.append(inner + ",")
+        else:
+            end, close = tag(space(at + 2))
+            end = space(end)
+            if close != name or not text.startswith(">", end):
+                raise Bad(f"end of {text[begin : begin + 10]}")
+            return end + 1, "".join([*out, "]"])
+
+
+_CHILD = re.compile(r"</|[<{}>]")
+
+
+def jsx_as_arrays(text: str) -> str | None:
+    """A script with each element of markup replaced by an array of the expressions it holds; None where one is not well-formed."""
+    try:
+        end, out = _code(text, 0)
+    except Bad:
+        return None
+    return out + text[end:]
 
 
 assert set(SCRIPT) == {"javascript", "typescript"}

@@ -7,13 +7,13 @@ the composition is associative, so a file may be cut anywhere and put together i
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from functools import reduce
-
-import regex as re
+from functools import lru_cache, reduce
 
 # Extensions of the languages.
-EXTENSIONS = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "go": "go", "java": "java"}
+EXTENSIONS = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "tsx": "typescript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "go": "go", "java": "java"}
+CHUNK_CHARS = 4096
 PAIRS = {")": "(", "]": "[", "}": "{"}
 SCRIPT = ("javascript", "typescript")
 
@@ -24,12 +24,13 @@ def language_of(path: str | None) -> str | None:
 
 # ---------------------------------------------------------------- chunks
 
-_PY = re.compile(r"#[^\n]*|(?:[rRbBuUfFtT]{0,2})(?P<q>'''|\"\"\")|[rRbBuUfFtT]{0,2}(?:'(?:[^'\\\n]|\\[\s\S])*'|\"(?:[^\"\\\n]|\\[\s\S])*\")|(?P<open>['\"])|(?P<b>[()\[\]{}])|\w+")
-_C_LINE, _STR, _CHR = r"//[^\n]*", r"\"(?:[^\"\\\n]|\\[\s\S])*\"", r"'(?:[^'\\\n]|\\[\s\S])*'"
-_GO = re.compile(rf"{_C_LINE}|(?P<q>/\*|`)|{_STR}|{_CHR}|(?P<open>['\"])|(?P<b>[()\[\]{{}}])|\w+")
-_JAVA = re.compile(rf"{_C_LINE}|(?P<q>/\*|\"\"\")|{_STR}|{_CHR}|(?P<open>['\"])|(?P<b>[()\[\]{{}}])|\w+")
+_C_LINE, _STR, _CHR = r"//[^\n]*", r"\"(?:[^\"\\\n]|\\[\s\S])*+\"", r"'(?:[^'\\\n]|\\[\s\S])*+'"
+_PY = re.compile(rf"#[^\n]*|(?P<q>'''|\"\"\")|{_STR}|{_CHR}|(?P<open>['\"])|(?P<b>[()\[\]{{}}])")
+_GO = re.compile(rf"{_C_LINE}|(?P<q>/\*|`)|{_STR}|{_CHR}|(?P<open>['\"])|(?P<b>[()\[\]{{}}])")
+_JAVA = re.compile(rf"{_C_LINE}|(?P<q>/\*|\"\"\")|{_STR}|{_CHR}|(?P<open>['\"])|(?P<b>[()\[\]{{}}])")
 REGEX = r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*"
-_JS = re.compile(rf"{_C_LINE}|(?P<q>/\*|`)|{_STR}|{_CHR}|(?P<open>['\"])|(?P<b>[()\[\]{{}}])|(?P<re>{REGEX})|(?P<w>[\w$]+)|(?P<s>[^\s\w])")
+_JS = re.compile(rf"(?P<line>{_C_LINE})|(?P<q>/\*|`)|{_STR}|{_CHR}|(?P<open>['\"])|(?P<b>[()\[\]{{}}])|(?P<slash>/)")
+_REGEX, _LAST_WORD = re.compile(REGEX), re.compile(r"[\w$]+$")
 _RULES = {"python": _PY, "go": _GO, "java": _JAVA, "javascript": _JS, "typescript": _JS}
 _ENDS = {"'''": re.compile(r"(?:[^\\']|\\[\s\S]|'(?!''))*+'''"), '"""': re.compile(r'(?:[^\\"]|\\[\s\S]|"(?!""))*+"""'), "/*": re.compile(r"[\s\S]*?\*/")}
 _GO_RAW, _TEMPLATE = re.compile(r"[^`]*`"), re.compile(r"(?:[^\\`$]|\\[\s\S]|\$(?!\{))*+(`|\$\{)")
@@ -49,9 +50,19 @@ class Part:
     again: bool = False
 
 
+def _is_value(between: str, value: bool) -> bool:
+    """Whether a value ends before a slash, by the words and operators since the last bracket or string."""
+    between = between.rstrip()
+    if not between:
+        return value
+    w = _LAST_WORD.search(between)
+    return bool(w) and w.group() not in BEFORE_VALUE
+
+
 def scan(text: str, language: str, state: str = "code") -> Part:
+    """Lexes a text from a state; only strings, comments, brackets and, in scripts, slashes are looked at."""
     rule, script = _RULES[language], language in SCRIPT
-    at, n, value = 0, len(text), state == "value"
+    at, n, value, last = 0, len(text), state == "value", 0
     state = "code" if value else state
     closed, left, bad = [], [], False
     while at < n:
@@ -60,48 +71,50 @@ def scan(text: str, language: str, state: str = "code") -> Part:
             m = end.match(text, at)
             if not m:
                 return Part(state, "".join(closed), "".join(left), bad)
-            at = m.end()
-            if script and state == "`" and m.group(1) == "${":
-                left.append("$")
-            value, state = state != "/*", "code"
+            at = last = m.end()
+            if state == "`":
+                value = True
+                if script and m.group(1) == "${":
+                    left.append("$")
+                    value = False
+            state = "code"
             continue
         m = rule.search(text, at)
         if not m:
             break
-        at = m.end()
-        if m.group("q"):
-            state = m.group("q")
-        elif m.group("open"):
-            bad = True
-        elif b := m.group("b"):
+        at, kind = m.end(), m.lastgroup
+        if kind == "b":
+            b = m.group()
             if b in "([{":
                 left.append(b)
                 value = False
-            elif not left:
-                closed.append(b)
-                value = b != "}"
-            elif left[-1] == "$" and b == "}":
-                left.pop()
-                state = "`"
-            elif left[-1] == PAIRS[b]:
-                left.pop()
-                value = b != "}"
             else:
-                bad = True
-                left.pop()
-        elif script:
-            if m.group("re") is not None:
-                if value:  # a division after all
-                    at = m.start() + 1
-                    value = False
+                value = b != "}"
+                if not left:
+                    closed.append(b)
+                elif left[-1] == "$" and b == "}":
+                    left.pop()
+                    state = "`"
                 else:
-                    value = True
-            elif m.group("w"):
-                value = m.group("w") not in BEFORE_VALUE
-            elif m.group("s"):
-                value = False
-            elif not m.group().startswith("//"):
-                value = True
+                    bad = bad or left[-1] != PAIRS[b]
+                    left.pop()
+        elif kind is None:  # a string, or a comment outside scripts
+            value = True
+        elif kind == "q":
+            state = m.group()
+            if script and state == "/*":
+                value = _is_value(text[last : m.start()], value)
+        elif kind == "open":
+            bad = True
+        elif kind == "line":
+            value = _is_value(text[last : m.start()], value)
+        else:
+            value = _is_value(text[last : m.start()], value)
+            r = None if value else _REGEX.match(text, m.start())
+            at, value = (r.end(), True) if r else (m.start() + 1, False)
+        last = at
+    if script and state == "code":
+        value = _is_value(text[last:], value)
     return Part("value" if script and value and state == "code" else state, "".join(closed), "".join(left), bad)
 
 
@@ -134,7 +147,7 @@ def balanced(maps: list[dict[str, Part]], language: str, text: str | None = None
     return p.state in ("code", "value") and not (p.closed or p.left or p.bad)
 
 
-def chunks(text: str, size: int = 32768) -> list[str]:
+def chunks(text: str, size: int = CHUNK_CHARS) -> list[str]:
     """The text cut at line ends into pieces of about size characters."""
     out, at = [], 0
     while at < len(text):
@@ -168,17 +181,26 @@ class Tokens:
 
 _OPS_C = r">=|<<=?|=>|==+|!==?|&&=?|\|\|=?|\?\?=?|\?\.(?!\d)|\*\*=?|\+\+|--|->|::|:=|<-|<=|\.\.\.|&\^=?|[-+*/%&|^!~=<>?:;,.()\[\]{}@]=?(?<![>=?:;,.()\[\]{}@~]=)|[-+*/%&|^!~=<>?:;,.()\[\]{}@]"
 _NUM = r"(?:0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)[a-zA-Z]?"
+_WORD = r"(?:[^\W\d]|\$)[\w$]*+"
+_COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
+
+
+def _token_rule(blank: str, word: str, number: str, string: str, template: str = "") -> re.Pattern:
+    """Blanks and the token after them; l is a line end with the blank lines that follow."""
+    return re.compile(rf"[{blank}]*+(?:(?P<w>{word})|(?P<n>{number})|(?P<s>{string})|{template}(?P<c>{_COMMENT})|(?P<o>{_OPS_C})|(?P<l>\n[\n{blank}]*+)|\Z|(?P<x>.))")
+
+
 _TOKEN = {
-    "javascript": re.compile(rf"(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<s>{_STR}|{_CHR})|(?P<n>(?<![\w$]){_NUM}n?)|(?P<w>#?[\p{{L}}_$][\p{{L}}\p{{N}}_$‌‍]*)|(?P<t>`)|(?P<o>{_OPS_C})|(?P<l>\n)|[ \t\r\f\v ﻿]+|(?P<x>.)"),
-    "go": re.compile(rf"(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<s>{_STR}|{_CHR}|`[^`]*`)|(?P<n>{_NUM}i?)|(?P<w>[\p{{L}}_][\p{{L}}\p{{N}}_]*)|(?P<o>{_OPS_C})|(?P<l>\n)|[ \t\r﻿]+|(?P<x>.)"),
-    "java": re.compile(rf"(?P<c>//[^\n]*|/\*[\s\S]*?\*/)|(?P<s>\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|{_STR}|{_CHR})|(?P<n>{_NUM}[lLfFdD]?)|(?P<w>[\p{{L}}_$][\p{{L}}\p{{N}}_$]*)|(?P<o>{_OPS_C})|(?P<l>\n)|[ \t\r\f﻿]+|(?P<x>.)"),
+    "javascript": _token_rule(" \t\r\f\v\u00a0\ufeff", "#?(?:[^\\W\\d]|[$])[\\w$\u200c\u200d]*+", rf"(?<![\w$]){_NUM}n?", f"{_STR}|{_CHR}", "(?P<t>`)|"),
+    "go": _token_rule(" \t\r\ufeff", r"[^\W\d]\w*+", f"{_NUM}i?", f"{_STR}|{_CHR}|`[^`]*+`"),
+    "java": _token_rule(" \t\r\f\ufeff", _WORD, f"{_NUM}[lLfFdD]?", rf"\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|{_STR}|{_CHR}"),
 }
 _TOKEN["typescript"] = _TOKEN["javascript"]
-_REGEX = re.compile(REGEX)
 
 
+@lru_cache(maxsize=1)
 def tokenize(text: str, language: str) -> Tokens:
-    """Tokens of a text in one of the languages with braces."""
+    """Tokens of a text in one of the languages with braces; those of the last text are kept, as its grammar and its headers both need them."""
     rule, script = _TOKEN[language], language in SCRIPT
     out = Tokens([], [], [], [], [], [])
     k, t, a, z, nl = out.kind, out.text, out.start, out.end, out.newline
@@ -203,43 +225,54 @@ def tokenize(text: str, language: str) -> Tokens:
             braces.append(1)
         return m.end()
 
+    match = rule.match
     while at < n:
-        m = rule.match(text, at)
+        m = match(text, at)
         kind = m.lastgroup
-        at, b = m.end(), at
-        if kind is None:
+        if kind == "w":
+            k.append("w")
+            t.append(m.group("w"))
+            b, at = m.span("w")
+            a.append(b)
+            z.append(at)
+            nl.append(line)
+            line = False
             continue
+        if kind is None:
+            break
+        b, at = m.span(kind)
         if kind == "l":
             line = True
         elif kind == "c":
             out.comments.append((b, at))
-            line = line or "\n" in m.group()
+            line = line or text.find("\n", b, at) >= 0
         elif kind == "t":
             at = template(b, at)
         elif kind == "x":
             out.bad = True
-            put("x", m.group(), b, at)
-        else:
-            s = m.group()
-            if kind == "o":
-                if script and s in ("/", "/="):
-                    last = k[-1] if k else ""
-                    value = last in ("n", "s", "t", "r") or (last == "w" and t[-1] not in BEFORE_VALUE) or (last == "o" and t[-1] in (")", "]", "}"))
-                    if not value and (r := _REGEX.match(text, b)):
-                        at = r.end()
-                        put("r", "/r", b, at)
+            put("x", m.group(kind), b, at)
+        elif kind == "o":
+            s = m.group(kind)
+            if script and s in ("/", "/="):
+                last = k[-1] if k else ""
+                value = last in ("n", "s", "t", "r") or (last == "w" and t[-1] not in BEFORE_VALUE) or (last == "o" and t[-1] in (")", "]", "}"))
+                if not value and (r := _REGEX.match(text, b)):
+                    at = r.end()
+                    put("r", "/r", b, at)
+                    continue
+            if braces:
+                if s == "{":
+                    braces[-1] += 1
+                elif s == "}":
+                    braces[-1] -= 1
+                    if not braces[-1]:
+                        braces.pop()
+                        put("o", "}`", b, at)
+                        at = template(b, at)
                         continue
-                if braces:
-                    if s == "{":
-                        braces[-1] += 1
-                    elif s == "}":
-                        braces[-1] -= 1
-                        if not braces[-1]:
-                            braces.pop()
-                            put("o", "}`", b, at)
-                            at = template(b, at)
-                            continue
-            put(kind, s if kind in "wo" else {"s": '"', "n": "0"}[kind], b, at)
+            put("o", s, b, at)
+        else:
+            put(kind, '"' if kind == "s" else "0", b, at)
     if braces:
         out.bad = True
     return out

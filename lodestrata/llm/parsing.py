@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,9 +11,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import grammars, lexing
 from lodestrata.llm.lexing import Part
-from lodestrata.session import by_key, spread
+from lodestrata.session import spread
 
-CHUNK_CHARS = 32768
 _PARTS = "array<struct<entry:string,state:string,closed:string,left:string,bad:boolean,again:boolean>>"
 
 
@@ -22,54 +22,76 @@ def language_column(path: Column) -> Column:
     return F.coalesce(*(F.when(ext == k, F.lit(v)) for k, v in lexing.EXTENSIONS.items()))
 
 
-def latest_files(files: DataFrame) -> DataFrame:
-    """(file_path, content, parsed_at) of the last indexing of each file."""
-    last = F.max_by(F.struct("content", "parsed_at"), F.struct(F.col("parsed_at"), F.md5("content")))
-    return by_key(files.where("file_path is not null"), "file_path").groupBy("file_path").agg(last.alias("f")).select("file_path", "f.content", "f.parsed_at")
+def has_markup(path: str) -> bool:
+    return path.lower().endswith(("jsx", "tsx"))
 
 
-def checked_files(files: DataFrame) -> DataFrame:
-    """(file_path, parsed_at, content, language, valid, stage) of each distinct row of files(file_path, parsed_at, content).
+def examine(text: str, language: str, path: str) -> tuple[dict[str, Part], bool | None]:
+    """(map, grammar) of a whole file: its chunks' maps composed, and whether its statements are valid, asked only where its brackets pair."""
+    markup = has_markup(path)
+    lexed = text
+    if markup:  # text between tags is no code; what is not well-formed there is left for the grammar
+        lexed = grammars.jsx_as_arrays(text)
+        if lexed is None:
+            return {"code": Part("code", bad=True)}, False
+    whole = reduce(lexing.compose, (lexing.chunk_map(c, language, k == 0) for k, c in enumerate(lexing.chunks(lexed))))
+    if whole["code"].again:  # a chunk ends inside a template's code: its text is read as one
+        whole = {"code": lexing.scan(lexed, language)}
+    return whole, grammars.valid(lexed, language) if lexing.balanced([whole], language) else None
 
-    Files are cut into chunks of lines, each summarised where it lies as a map of lexer states with its brackets; the
-    maps of a file are composed, and a file whose brackets pair and that ends in code goes through the grammar of its
-    language. valid is null for unknown extensions and null contents; an empty or comment-only file is valid. stage
-    names what decided: 'lexical', 'grammar' or 'none'. Rows without file_path are left out.
-    """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def file_maps(files: DataFrame) -> DataFrame:
+    """(file_path, parsed_at, digest, language, no, parts, grammar) where the texts lie: maps of lexer states without any text."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, at, digest, text, language in zip(b["file_path"], b["parsed_at"], b["digest"], b["content"], b["language"]):
-                pieces = lexing.chunks(text, CHUNK_CHARS) if text is not None else [None]
-                for no, piece in enumerate(pieces):
-                    m = lexing.chunk_map(piece, language, no == 0) if piece is not None and language else {}
-                    rows.append((path, at, digest, language, no, piece, [{"entry": e, **p.__dict__} for e, p in m.items()]))
-            yield pd.DataFrame(rows, columns=["file_path", "parsed_at", "digest", "language", "no", "piece", "parts"])
+                m, grammar = examine(text, language, path) if text is not None and language else ({}, None)
+                rows.append((path, at, digest, language, 0, [{"entry": e, **p.__dict__} for e, p in m.items()], grammar))
+            yield pd.DataFrame(rows, columns=["file_path", "parsed_at", "digest", "language", "no", "parts", "grammar"])
 
-    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, at, language, pieces in zip(b["file_path"], b["parsed_at"], b["language"], b["pieces"]):
-                pieces = sorted({p["no"]: p for p in pieces}.values(), key=lambda p: p["no"])
-                text = None if pieces[0]["piece"] is None else "".join(p["piece"] for p in pieces)
-                if text is None or not language:
-                    rows.append((path, at, text, language, None, "none"))
-                    continue
-                maps = [{x["entry"]: Part(x["state"], x["closed"], x["left"], x["bad"], x["again"]) for x in p["parts"]} for p in pieces]
-                paired = lexing.balanced(maps, language, text)
-                rows.append((path, at, text, language, bool(paired and grammars.valid(text, language)), "grammar" if paired else "lexical"))
-            yield pd.DataFrame(rows, columns=["file_path", "parsed_at", "content", "language", "valid", "stage"])
-
-    d = files.where("file_path is not null").select("file_path", F.col("parsed_at").cast("timestamp_ntz").alias("parsed_at"), "content", language_column(F.col("file_path")).alias("language"), F.md5(F.coalesce("content", F.lit(""))).alias("digest"))
-    d = spread(d).mapInPandas(cut, f"file_path string, parsed_at timestamp_ntz, digest string, language string, no int, piece string, parts {_PARTS}")
-    d = by_key(d, "file_path").groupBy("file_path", "parsed_at", "digest", "language").agg(F.collect_list(F.struct("no", "piece", "parts")).alias("pieces"))
-    return d.mapInPandas(decide, "file_path string, parsed_at timestamp_ntz, content string, language string, valid boolean, stage string")
+    return spread(versions(files)).mapInPandas(run, f"file_path string, parsed_at timestamp_ntz, digest string, language string, no int, parts {_PARTS}, grammar boolean")
+
+
+def versions(files: DataFrame) -> DataFrame:
+    """(file_path, parsed_at, content, language, digest) of the rows that have a path."""
+    return files.where("file_path is not null").select("file_path", F.col("parsed_at").cast("timestamp_ntz").alias("parsed_at"), "content", language_column(F.col("file_path")).alias("language"), F.md5(F.coalesce("content", F.lit(""))).alias("digest"))
+
+
+def checked_files(files: DataFrame) -> DataFrame:
+    """(file_path, parsed_at, digest, language, valid, stage) of each distinct row of files(file_path, parsed_at, content).
+
+    Files are cut into chunks of lines, each summarised as a map of lexer states with its brackets. Maps are composed where
+    the text lies, and the statements of a file whose brackets pair go through the grammar of its language there; texts
+    are never shuffled. What partitions have of a file is composed in turn. valid is null for unknown extensions, null
+    contents and Python nested too deep for the interpreter; an empty or comment-only file is valid. stage names what
+    decided: 'lexical', 'grammar', 'depth' or 'none'. Rows without file_path are left out.
+    """
+
+    @F.pandas_udf("boolean")
+    def paired(language: pd.Series, pieces: pd.Series) -> pd.Series:
+        out = []
+        for lang, ps in zip(language, pieces):
+            maps = [{x["entry"]: Part(x["state"], x["closed"], x["left"], x["bad"], x["again"]) for x in p["parts"]} for p in sorted(ps, key=lambda p: p["no"])]
+            out.append(None if lang is None or not all(maps) else lexing.balanced(maps, lang))
+        return pd.Series(out, dtype=object)
+
+    d = file_maps(files).groupBy("file_path", "parsed_at", "digest", "language").agg(F.collect_set(F.struct("no", "parts")).alias("pieces"), F.min("grammar").alias("grammar"))
+    d = d.select("file_path", "parsed_at", "digest", "language", paired("language", "pieces").alias("paired"), "grammar")
+    valid = F.when(~F.col("paired"), False).when(F.col("paired"), F.col("grammar"))
+    stage = F.when(F.col("paired").isNull(), "none").when(~F.col("paired"), "lexical").when(F.col("grammar").isNull(), "depth").otherwise("grammar")
+    return d.select("file_path", "parsed_at", "digest", "language", valid.alias("valid"), stage.alias("stage"))
+
+
+def last_version() -> Column:
+    """What orders the versions of a file: the last indexing, by content where two are of one time."""
+    return F.struct(F.coalesce("parsed_at", F.lit("0001-01-01").cast("timestamp_ntz")), "digest")
 
 
 def invalid_rates(files: DataFrame, checked: DataFrame) -> DataFrame:
     """(repo, language, n_files, n_invalid, share) over distinct files with a known language; a null repo is a group."""
     repo = files.where("file_path is not null").groupBy("file_path").agg(F.max_by("repo", "parsed_at").alias("repo"))
-    last = checked.where("valid is not null").groupBy("file_path").agg(F.max_by(F.struct("language", "valid"), F.coalesce("parsed_at", F.lit("0001-01-01").cast("timestamp_ntz"))).alias("c"))
+    last = checked.where("valid is not null").groupBy("file_path").agg(F.max_by(F.struct("language", "valid"), last_version()).alias("c"))
     d = last.join(repo, "file_path", "left").groupBy("repo", F.col("c.language").alias("language"))
     return d.agg(F.count("*").alias("n_files"), F.count_if(~F.col("c.valid")).alias("n_invalid")).withColumn("share", F.col("n_invalid") / F.col("n_files"))

@@ -15,9 +15,8 @@ EPS = 0.0025
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    last = F.max_by("valid", F.coalesce("parsed_at", F.lit("0001-01-01").cast("timestamp_ntz")))
     checked = parsing.checked_files(table(spark, d, "files")).where("valid is not null")
-    return checked.groupBy("file_path").agg(last.alias("valid")).where("not valid").select("file_path")
+    return checked.groupBy("file_path").agg(F.max_by("valid", parsing.last_version()).alias("valid")).where("not valid").select("file_path")
 
 
 def p1_files(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +29,7 @@ def p1_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _documented(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.function_docs(parsing.checked_files(parsing.latest_files(table(spark, d, "files"))))
+    return docpairs.function_docs(table(spark, d, "files"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +38,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each documented function with its code, its documentation and what the symbol table has of it."""
-    files = parsing.latest_files(table(spark, d, "files")).select("file_path", "content")
+    files = parsing.versions(table(spark, d, "files")).groupBy("file_path").agg(F.max_by("content", parsing.last_version()).alias("content"))
     s = table(spark, d, "symbols").where("node_type <> 'class'").groupBy("file_path", "name").agg(F.max("node_type").alias("kind"), F.max("signature").alias("signature"))
     p = _documented(spark, d).join(files, "file_path").join(s, ["file_path", "name"], "left")
     code = F.array_join(F.slice(F.split("content", "\n"), F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1))), "\n")

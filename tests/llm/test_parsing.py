@@ -69,3 +69,30 @@ def test_operator(spark):
     assert parsing.checked_files(f.limit(0)).count() == 0
 
 
+
+
+def decided(path, text):
+    language = lexing.language_of(path)
+    m, grammar = parsing.examine(text, language, path)
+    return grammar if lexing.balanced([m], language) else False
+
+
+@pytest.mark.parametrize("depth", [4_000, 30_000])
+def test_depth_is_no_excuse(depth):
+    a, z = "(" * depth, ")" * depth
+    for path, text in (("a.js", "x = {};"), ("a.go", "package a\nvar x = {}\n"), ("A.java", "class A {{ int x = {}; }}")):
+        assert decided(path, text.format(f"{a}1{z}")) is True
+        assert decided(path, text.format(f"{a}1 1{z}")) is False
+    assert decided("a.py", f"x = {a}1{z}\n") is False  # the interpreter refuses it
+
+
+def test_markup():
+    ok = ['const A = ({a}) => <div className="x" {...p} onClick={() => f(`q ${b}`)}>it\'s {a ? <b>x</b> : null} {/* c */} <Foo.Bar/> <></></div>;\nexport default A\n', "x = a < b ? c : d\n"]
+    bad = ["const a = <div>;", "const a = <a></b>;", "const a = <a b={}/>;", "const a = <a b={1 2}/>;", "const a = <a>{x y}</a>", "const a = <a"]
+    assert all(decided("a.jsx", t) is True for t in ok) and not any(decided("a.jsx", t) for t in bad)
+    assert decided("b.tsx", "const f = <T,>(x: T) => x;\nfunction B(p: {a: number}) { return (\n<ul>{xs.map((x) => <li key={x}>{x < 3 ? 'a' : `b`}</li>)}</ul>) }\nconst n: Array<number> = y as Foo<Bar>;") is True
+
+
+@pytest.mark.parametrize(("path", "text", "valid"), [("A.java", "void main() { f(); }\nint f() { return 1; }", True), ("A.java", "int x = 1;\n", False), ("a.py", "return 1\n", False), ("a.py", "def f(a, a): pass\n", False), ("a.py", "break\n", False), ("a.py", "from __future__ import annotations\nx = 1\n", True), ("a.py", "async def f():\n    await x\n", True)])
+def test_more_verdicts(path, text, valid):
+    assert decided(path, text) is valid
