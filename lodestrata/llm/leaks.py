@@ -20,14 +20,14 @@ import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import spread
+from lodestrata.session import Workspace, spread
 
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans(dict(zip("аеорсхуіјѕһԁԛԝкмтвнοαενρτυικАВЕКМНОРСТХУІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyijshdqwkmtbhoaevptuikABEKMHOPCTXYIJSABEZHIKMNOPTYX")))
 WORD = re.compile(r"[\p{L}\p{M}\p{Nd}]+")
 ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
-MARKUP = re.compile(r"</?[A-Za-z][^<>\n]{0,40}>|&[a-z]{2,6};|\\[nrt]")
+MARKUP = re.compile(r"</?[A-Za-z][^<>\n]*>|&[a-z]{2,6};|\\[nrt]")
 #: Passages weighted at a time, which bounds the memory of a task.
 SLICE = 2048
 INVISIBLE = re.compile("[​-‏­⁠﻿]")
@@ -49,20 +49,23 @@ def words(text: str | None) -> list[str]:
 @dataclass(frozen=True)
 class Settings:
     """window, doc_stride, item_stride: passages in words; least_terms: item words a passage needs; rank, extra: of the
-    SVD and its oversampling; other: weight of words the items do not have; close: cosine from which a passage is a candidate; shared: length in words of a
-    wording that makes it stock if two items have it; gap: price of a word left out, put in or changed; least: score of a leak."""
+    SVD and its oversampling; other: weight of words the items do not have; known: share of its weight that the items' words must have; close: cosine in the latent space from which a passage is a candidate; shared: length in words of a
+    wording that makes it stock if two items have it; gap: price of a word left out, put in or changed; least: score of a leak;
+    most_items: items that go to every task at most."""
 
     window: int = 14
     doc_stride: int = 3
-    item_stride: int = 3
+    item_stride: int = 5
     least_terms: int = 4
-    rank: int = 96
-    extra: int = 16
+    rank: int = 160
+    extra: int = 32
     other: float = 2.5
-    close: float = 0.45
+    known: float = 0.5
+    close: float = 0.65
     shared: int = 6
     gap: float = 1.0
     least: float = 9.5
+    most_items: int = 20_000
     seed: int = 7
 
 
@@ -78,11 +81,15 @@ class Items:
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     passage_item: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
+    has: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), bool))
 
 
 def prepare(items: DataFrame, s: Settings) -> Items:
     """Items by id, their words as numbers and which words count: those outside wording that two items share."""
-    rows = sorted((r[0], r[1]) for r in items.select("item_id", "text").where("item_id is not null").distinct().collect())
+    held = items.select("item_id", "text").where("item_id is not null and text is not null").distinct().limit(s.most_items + 1).collect()
+    if len(held) > s.most_items:
+        raise ValueError(f"more than {s.most_items} evaluation items; search them in parts")
+    rows = sorted((r[0], r[1]) for r in held)
     texts = [words(t) for _, t in rows]
     seen: dict[tuple[str, ...], set[int]] = {}
     for k, w in enumerate(texts):
@@ -100,7 +107,7 @@ def prepare(items: DataFrame, s: Settings) -> Items:
 
 
 def _coded(text: str | None, vocabulary: dict[str, int]) -> np.ndarray:
-    return np.array([vocabulary.get(w, -1) for w in words(text)], dtype=np.int64)
+    return np.array([vocabulary.get(w, -1) for w in words(text)], dtype=np.int32)
 
 
 def _passages(t: np.ndarray, stride: int, s: Settings, weigh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -136,30 +143,46 @@ def _dense(p: np.ndarray, w: np.ndarray, terms: int) -> np.ndarray:
 
 
 def _latent(p: np.ndarray, w: np.ndarray, basis: np.ndarray) -> np.ndarray:
-    return np.einsum("nw,nwk->nk", w, basis[p], optimize=True)
+    """The passages in the latent space, as vectors of length one."""
+    x = np.einsum("nw,nwk->nk", w.astype(np.float32), basis[p], optimize=True)
+    return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-9)
 
 
-def document_frequency(docs: DataFrame, items: Items, text: str = "text") -> tuple[int, np.ndarray]:
-    """The number of documents and, for each word of the items, of documents that have it; partitions are counted first."""
-    vocabulary = items.vocabulary
+def coded_documents(docs: DataFrame, items: Items, s: Settings, text: str = "text") -> DataFrame:
+    """(doc_id, words, term, n) in one pass over the texts: the words of each document as numbers, where a passage has enough
+    of the items' words; and, with a null doc_id, numbers of documents by word, of all documents at -1, counted per partition."""
+    vocabulary, names = items.vocabulary, ["doc_id", "words", "term", "n"]
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, df = 0, Counter()
+        n, df = 0, np.zeros(len(vocabulary), np.int64)
         for b in batches:
             n += len(b)
-            for t in b["t"]:
-                df.update(set(words(t)) & vocabulary.keys())
-        yield pd.DataFrame({"term": [-1, *(vocabulary[w] for w in df)], "n": [n, *df.values()]})
-
-    counts = spread(docs.select(F.col(text).alias("t"))).mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df = np.zeros(len(vocabulary))
+            rows = []
+            for i, t in zip(b["doc_id"], b["t"]):
+                c = _coded(t, vocabulary)
+                df[np.unique(c[c >= 0])] += 1
+                if len(_passages(c, s.doc_stride, s)[0]):
+                    rows.append((i, c.tobytes(), None, None))
+            yield pd.DataFrame(rows, columns=names)
+        some = np.flatnonzero(df)
+        yield pd.DataFrame({"doc_id": None, "words": None, "term": np.r_[-1, some], "n": np.r_[n, df[some]]}, columns=names)
+
+    d = docs.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col(text)).alias("t"))
+    return spread(d).mapInPandas(run, f"doc_id {kind}, words binary, term int, n long")
+
+
+def document_frequency(coded: DataFrame, items: Items) -> tuple[int, np.ndarray]:
+    """The number of documents and, for each word of the items, of documents that have it."""
+    counts = coded.where("term is not null").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    df = np.zeros(len(items.vocabulary))
     for term, n in ((r[0], r[1]) for r in counts):
         if term >= 0:
             df[term] = n
     return sum(r[1] for r in counts if r[0] == -1), df
 
 
-def latent_space(docs: DataFrame, items: Items, s: Settings, text: str = "text", fan_in: int = 32) -> np.ndarray:
+def latent_space(coded: DataFrame, items: Items, s: Settings, fan_in: int = 32) -> np.ndarray:
     """The leading right singular vectors of the passage matrix A (words x rank), from one pass.
 
     Each partition sketches A'A times a random matrix; the sketches, of fixed size, are added up in two steps, and the
@@ -167,20 +190,20 @@ def latent_space(docs: DataFrame, items: Items, s: Settings, text: str = "text",
     """
     v, k = len(items.vocabulary), min(len(items.vocabulary), s.rank + s.extra)
     omega = np.random.default_rng(s.seed).standard_normal((v, k)).astype(np.float32)
-    vocabulary, idf = items.vocabulary, items.idf
+    idf = items.idf
 
     def add_to(z: np.ndarray, p: np.ndarray) -> None:
         for at in range(0, len(p), SLICE):
             q = p[at : at + SLICE]
             w, share = _weights(q, idf, s.other)
-            a = _dense(q[share >= s.close], w[share >= s.close], v)
+            a = _dense(q[share >= s.known], w[share >= s.known], v)
             z += a.T @ (a @ omega)
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         z, held, rows = np.zeros((v, k)), [], 0
         for b in batches:
-            for t in b["t"]:
-                held.append(_passages(_coded(t, vocabulary), s.window, s)[1])
+            for t in b["words"]:
+                held.append(_passages(np.frombuffer(t, np.int32), s.window, s)[1])
                 if (rows := rows + len(held[-1])) >= SLICE:
                     add_to(z, np.concatenate(held))
                     held, rows = [], 0
@@ -195,7 +218,7 @@ def latent_space(docs: DataFrame, items: Items, s: Settings, text: str = "text",
                 z += np.frombuffer(x)
         yield pd.DataFrame({"z": [z.tobytes()]})
 
-    parts = spread(docs.select(F.col(text).alias("t"))).mapInPandas(sketch, "z binary").repartition(fan_in).mapInPandas(add, "z binary").coalesce(4).mapInPandas(add, "z binary")
+    parts = spread(coded.where("words is not null").select("words")).mapInPandas(sketch, "z binary").repartition(fan_in).mapInPandas(add, "z binary").coalesce(4).mapInPandas(add, "z binary")
     z = sum((np.frombuffer(r[0]).reshape(v, k) for r in parts.collect()), np.zeros((v, k)))
     p = np.concatenate([_passages(np.where(o, t, -1), s.item_stride, s)[1] for t, o in zip(items.tokens, items.own)])
     own = _dense(p, _weights(p, items.idf, s.other)[0], v)
@@ -239,8 +262,13 @@ def align(d: np.ndarray, t: np.ndarray, own: np.ndarray, gap: float) -> tuple[fl
     return best
 
 
-def _near(text: str | None, items: Items, s: Settings) -> list[tuple[int, float, int, int]]:
-    t = _coded(text, items.vocabulary)
+def _reach(d: np.ndarray, has: np.ndarray, gap: float) -> float:
+    """The most that an alignment of a stretch can score: each word the item has counts one, any other costs gap."""
+    run = np.cumsum(np.where(has[d], 1.0, -gap))
+    return float((run - np.minimum.accumulate(np.r_[0.0, run[:-1]])).max()) if len(run) else 0.0
+
+
+def _near(t: np.ndarray, items: Items, s: Settings) -> list[tuple[int, float, int, int]]:
     starts, p = _passages(t, s.doc_stride, s)
     if not len(starts):
         return []
@@ -248,37 +276,39 @@ def _near(text: str | None, items: Items, s: Settings) -> list[tuple[int, float,
     for part in range(0, len(starts), SLICE // 4):
         q = p[part : part + SLICE // 4]
         w, share = _weights(q, items.idf, s.other)
-        w = w.astype(np.float32)
-        some = np.flatnonzero(share >= s.close)
+        some = np.flatnonzero(share >= s.known)
         if not len(some):
             continue
         row, col = np.nonzero(_latent(q[some], w[some], items.basis) @ items.latent.T >= s.close)
-        for k, at in zip(items.passage_item[col], starts[part + some[row]]):
-            found.setdefault(int(k), []).append(int(at))
+        pairs = np.unique(items.passage_item[col] * len(starts) + part + some[row])
+        for k, at in zip((pairs // len(starts)).tolist(), starts[pairs % len(starts)].tolist()):
+            found.setdefault(k, []).append(at)
     out = []
     for k, places in found.items():
-        places = sorted(set(places))
         best, lo = (0.0, 0, 0), 0
         while lo < len(places):  # stretches of the document around the candidates, each aligned once
             hi = lo
             while hi + 1 < len(places) and places[hi + 1] - places[hi] <= 2 * s.window:
                 hi += 1
             a, b = max(0, places[lo] - s.window), places[hi] + 2 * s.window
+            lo = hi + 1
+            if _reach(t[a:b], items.has[k], s.gap) < max(s.least, best[0]):
+                continue
             got = align(t[a:b], items.tokens[k], items.own[k], s.gap)
             if got[0] > best[0]:
                 best = (got[0], got[1] + a, got[2] + a)
-            lo = hi + 1
         if best[0] >= s.least:
             out.append((items.ids[k], best[0], best[1], best[2]))
     return out
 
 
-def find_leaks(docs: DataFrame, eval_items: DataFrame, settings: Settings = Settings(), text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, eval_items: DataFrame, settings: Settings = Settings(), text: str = "text", ws: Workspace | None = None) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word): every document that carries a passage of an item.
 
-    Three passes over whole texts: document frequencies, the sketch of the SVD, candidates with their alignment; only
-    counts and sketches of fixed size move. Null and empty texts carry nothing; copies of a document are cases each;
-    no items or no words of their own give an empty result. The items are taken to be a bounded held-out set.
+    One pass over whole texts turns them into numbers of words; the sketch of the SVD and the candidates with their
+    alignment read those. Only counts and sketches of fixed size move. Null and empty texts carry nothing; copies of a
+    document are cases each; no items or no words of their own give an empty result. The items are a bounded held-out
+    set: more than settings.most_items are refused.
     """
     s = settings
     items = prepare(eval_items, s)
@@ -286,20 +316,25 @@ def find_leaks(docs: DataFrame, eval_items: DataFrame, settings: Settings = Sett
     schema = f"doc_id {kind}, item_id {dict(eval_items.dtypes)['item_id']}, score double, first_word int, last_word int"
     if not items.vocabulary:
         return spark.createDataFrame([], schema)
-    n, df = document_frequency(docs, items, text)
+    coded = (ws or Workspace(spark)).save(coded_documents(docs, items, s, text), "coded")
+    n, df = document_frequency(coded, items)
     items.idf = np.log((n + 1.0) / (df + 1.0)) + 1e-3
-    items.basis = latent_space(docs, items, s, text)
+    items.basis = latent_space(coded, items, s)
     own = [_passages(np.where(o, t, -1), s.item_stride, s)[1] for t, o in zip(items.tokens, items.own)]
     items.passage_item = np.repeat(np.arange(len(own)), [len(p) for p in own])
     # the row after the last word is that of all other words
     items.basis = np.vstack([items.basis, np.zeros((1, items.basis.shape[1]))]).astype(np.float32)
+    items.has = np.zeros((len(own), len(items.vocabulary) + 1), bool)
+    for k, (t, o) in enumerate(zip(items.tokens, items.own)):
+        items.has[k, t[o]] = True
+    items.has[:, -1] = False
     p = np.concatenate(own)
-    items.latent = _latent(p, _weights(p, items.idf, s.other)[0].astype(np.float32), items.basis)
+    items.latent = _latent(p, _weights(p, items.idf, s.other)[0], items.basis)
     held = spark.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, *hit) for i, t in zip(b["doc_id"], b["t"]) for hit in _near(t, held.value, s)]
+            rows = [(i, *hit) for i, t in zip(b["doc_id"], b["words"]) for hit in _near(np.frombuffer(t, np.int32), held.value, s)]
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "first_word", "last_word"])
 
-    return spread(docs.where("doc_id is not null").select("doc_id", F.col(text).alias("t"))).mapInPandas(run, schema)
+    return spread(coded.where("words is not null").select("doc_id", "words")).mapInPandas(run, schema)

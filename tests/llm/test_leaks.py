@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lodestrata.llm import leaks as L
 
 NOUNS = [a + b + c for a in ("ket", "lad", "tar", "no", "pul", "cra", "lan") for b in ("te", "der", "pa", "lo", "ley") for c in ("l", "k", "mer", "st", "ning")]
@@ -71,3 +73,27 @@ def test_align_prices_gaps():
 def test_words_ignore_formatting():
     assert L.words("Тhe <b>LEFT‑hand</b>\u200b `cable`\n> _one_") == L.words("the left-hand cable one")
     assert L.words(None) == []
+
+
+def test_recall_against_every_run_of_twelve_own_words(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, ev = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet")
+    items = L.prepare(ev, L.Settings())
+    runs = {}
+    for k, (t, o) in enumerate(zip(items.tokens, items.own)):
+        for j in range(len(t) - 11):
+            if o[j : j + 12].all():
+                runs.setdefault(t[j : j + 12].tobytes(), set()).add(items.ids[k])
+    want = set()
+    for r in docs.collect():
+        c = L._coded(r["text"], items.vocabulary).astype(items.tokens[0].dtype)
+        want |= {(r["doc_id"], i) for j in range(len(c) - 11) for i in runs.get(c[j : j + 12].tobytes(), ())}
+    got = {(r["doc_id"], r["item_id"]) for r in L.find_leaks(docs, ev).collect()}
+    assert len(want) > 20 and len(got & want) >= 0.97 * len(want)
+
+
+def test_too_many_items_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    ev = spark.range(5).selectExpr("id as item_id", "concat('word', id, ' more words') as text")
+    with pytest.raises(ValueError, match="more than 3"):
+        L.find_leaks(docs, ev, L.Settings(most_items=3))
