@@ -81,7 +81,8 @@ class Items:
     basis: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     latent: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     passage_item: np.ndarray = field(default_factory=lambda: np.zeros(0, int))
-    has: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), bool))
+    steps: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
+    any_step: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))
 
 
 def prepare(items: DataFrame, s: Settings) -> Items:
@@ -262,16 +263,26 @@ def align(d: np.ndarray, t: np.ndarray, own: np.ndarray, gap: float) -> tuple[fl
     return best
 
 
-def _reach(d: np.ndarray, has: np.ndarray, gap: float) -> float:
-    """The most that an alignment of a stretch can score: each word the item has counts one, any other costs gap."""
-    run = np.cumsum(np.where(has[d], 1.0, -gap))
-    return float((run - np.minimum.accumulate(np.r_[0.0, run[:-1]])).max()) if len(run) else 0.0
+def _reach(d: np.ndarray, steps: np.ndarray, block: int = 4096) -> np.ndarray:
+    """For each row of steps (items by words), the most that an alignment with a stretch of d can score: each word the item has counts one, any other costs gap."""
+    best, held = np.zeros(len(steps), np.float32), np.zeros((len(steps), 1), np.float32)
+    for at in range(0, len(d), block):
+        run = held + np.cumsum(steps[:, d[at : at + block]], axis=1)
+        low = np.minimum(np.minimum.accumulate(np.concatenate([held, run[:, :-1]], axis=1), axis=1), 0)
+        now = run - low
+        best, held = np.maximum(best, now.max(axis=1)), np.maximum(now[:, -1:], 0)
+    return best
 
 
 def _near(t: np.ndarray, items: Items, s: Settings) -> list[tuple[int, float, int, int]]:
-    starts, p = _passages(t, s.doc_stride, s)
-    if not len(starts):
+    if _reach(t, items.any_step)[0] < s.least:
         return []
+    able = _reach(t, items.steps) >= s.least
+    if not able.any():  # no item can be aligned with the text up to the score
+        return []
+    starts, p = _passages(t, s.doc_stride, s)
+    mine = np.flatnonzero(able[items.passage_item])
+    latent, passage_item = items.latent[mine], items.passage_item[mine]
     found: dict[int, list[int]] = {}
     for part in range(0, len(starts), SLICE // 4):
         q = p[part : part + SLICE // 4]
@@ -279,8 +290,8 @@ def _near(t: np.ndarray, items: Items, s: Settings) -> list[tuple[int, float, in
         some = np.flatnonzero(share >= s.known)
         if not len(some):
             continue
-        row, col = np.nonzero(_latent(q[some], w[some], items.basis) @ items.latent.T >= s.close)
-        pairs = np.unique(items.passage_item[col] * len(starts) + part + some[row])
+        row, col = np.nonzero(_latent(q[some], w[some], items.basis) @ latent.T >= s.close)
+        pairs = np.unique(passage_item[col] * len(starts) + part + some[row])
         for k, at in zip((pairs // len(starts)).tolist(), starts[pairs % len(starts)].tolist()):
             found.setdefault(k, []).append(at)
     out = []
@@ -292,7 +303,7 @@ def _near(t: np.ndarray, items: Items, s: Settings) -> list[tuple[int, float, in
                 hi += 1
             a, b = max(0, places[lo] - s.window), places[hi] + 2 * s.window
             lo = hi + 1
-            if _reach(t[a:b], items.has[k], s.gap) < max(s.least, best[0]):
+            if _reach(t[a:b], items.steps[k : k + 1])[0] < max(s.least, best[0]):
                 continue
             got = align(t[a:b], items.tokens[k], items.own[k], s.gap)
             if got[0] > best[0]:
@@ -324,10 +335,10 @@ def find_leaks(docs: DataFrame, eval_items: DataFrame, settings: Settings = Sett
     items.passage_item = np.repeat(np.arange(len(own)), [len(p) for p in own])
     # the row after the last word is that of all other words
     items.basis = np.vstack([items.basis, np.zeros((1, items.basis.shape[1]))]).astype(np.float32)
-    items.has = np.zeros((len(own), len(items.vocabulary) + 1), bool)
+    items.steps = np.full((len(own), len(items.vocabulary) + 1), -s.gap, np.float32)
     for k, (t, o) in enumerate(zip(items.tokens, items.own)):
-        items.has[k, t[o]] = True
-    items.has[:, -1] = False
+        items.steps[k, t[o]] = 1.0
+    items.any_step = items.steps.max(axis=0, keepdims=True)
     p = np.concatenate(own)
     items.latent = _latent(p, _weights(p, items.idf, s.other)[0], items.basis)
     held = spark.sparkContext.broadcast(items)
