@@ -61,6 +61,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if plan.toRdd().getNumPartitions() < cores else df
 
 
+def partitions_of(df: DataFrame) -> int:
+    """How many partitions the rows have; those that a shuffle may have, where there is one."""
+    plan = df._jdf.queryExecution()
+    if plan.executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return plan.toRdd().getNumPartitions()
+
+
 def by_key(df: DataFrame, *keys: str) -> DataFrame:
     """The rows by a hash of their keys, over a number of partitions that is not reduced where the data is small: for work that is heavy for its size."""
     spark = df.sparkSession
