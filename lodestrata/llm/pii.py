@@ -7,9 +7,13 @@ found in what they write; their spans are mapped back.
 
 from __future__ import annotations
 
-import os
+import base64
+import re as stdre
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import regex as re
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 from lodestrata.session import spread
 
 SPAN = "array<struct<kind:string,start:int,end:int>>"
-LEXICON = "/opt/tokenizers/word_bpe_49k.json"
+WORDS, CASED = "/opt/tokenizers/word_bpe_49k.json", ("/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = dict(zip("аеорсхуіјѕһԁԛԝкмтвнАВЕКМНОРСТХУІЈЅοαενρτυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyijshdqwkmtbhABEKMHOPCTXYIJSoaevptuikABEZHIKMNOPTYX"))
@@ -32,7 +36,10 @@ DIGITS = {w: str(n) for n, words in enumerate(("zero oh null zéro", "one eins u
 _DIGIT = "|".join(sorted(DIGITS, key=len, reverse=True))
 SPELLED = re.compile(rf"(?i)\b(?:{_DIGIT})(?:[ ,-]+(?:{_DIGIT})){{5,}}\b")
 AT = re.compile(r"[ \t]?[\[({<][ \t]?at[ \t]?[\])}>][ \t]?|(?<=\w)[ \t]AT[ \t](?=\w)", re.I)
-AT_WORD = re.compile(r"(?<=[\w.+-])[ \t]at[ \t](?=[\w-]+(?:[ \t](?:dot|DOT)[ \t]|[ \t]?[\[(]dot))", re.I)
+# Last parts of host names, by which an address in plain words is told from prose.
+HOST_ENDS = "com|org|net|edu|gov|io|co|info|biz|de|fr|uk|ch|it|es|nl|eu|us|ca|cn|jp|example|invalid|test"
+SAID = re.compile(rf"(?i)\b[\w+.-]+(?:[ \t]dot[ \t][\w+-]+)*+[ \t]at[ \t][\w-]+(?:(?:[ \t]dot[ \t]|\.)[\w-]+)*?(?:[ \t]dot[ \t]|\.)(?:{HOST_ENDS})\b")
+SAID_PART = re.compile(r"(?i)[ \t](at|dot)[ \t]")
 DOT = re.compile(r"[ \t]?[\[({<][ \t]?dot[ \t]?[\])}>][ \t]?|(?<=\w)[ \t]dot[ \t](?=\w)", re.I)
 
 EMAIL = re.compile(r"(?<![A-Za-z0-9.+_%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
@@ -58,51 +65,88 @@ PHONES = [
     re.compile(r"(?<![A-Za-z\d.+-])1\d{2}[ -]\d{4}[ -]\d{4}(?!\d)"),
     re.compile(r"(?<=(?i:tel(?:efon)?|phone|handy|mobil(?:e)?|fax|call|ring|téléphone|tél|电话|手机)[^\w\n]{0,4})(?:0[1-9]\d{8,10}|1\d{10})(?!\w)"),
 ]
-#: A number in prose, a count or a task, no telephone.
-NOT_PHONE = re.compile(r"(?i)(?:\b(?:of|time|ticket|task|aufgabe|tâche|cases?|build|version|id)[ =:#]*|[#$€]|\b[A-Z]-)$")
-_STREET = r"(?:[Ll]ane|[Rr]oad|[Ss]treet|[Aa]venue|[Dd]rive|[Cc]ourt|[Cc]lose|[Tt]errace|[Ss]quare|[Bb]oulevard|[Ww]ay|[Pp]lace|(?:St|Rd|Ave|Ln|Dr|Blvd)\b\.?)"
+#: What stands before a number in prose, a count or a task, which is no telephone.
+NOT_PHONE = frozenset("of time ticket task aufgabe tâche case cases build version id".split())
+_STREET = r"(?:[Ll]ane|[Rr]oad|[Ss]treet|[Aa]venue|[Dd]rive|[Cc]ourt|[Cc]lose|[Tt]errace|[Ss]quare|[Bb]oulevard|[Ww]ay|[Pp]lace|[Cc]rescent|Row|Walk|Mews|Gardens|Grove|Rise|Parade|Circle|Trail|[Hh]ighway|[Pp]arkway|Alley|Quay|Wharf|Plaza|(?:St|Rd|Ave|Ln|Dr|Blvd|Cres|Ct|Pl|Sq|Ter|Hwy|Pkwy)\b\.?)"
 ADDRESSES = [
     re.compile(rf"(?<![\w.,+-])\d{{1,4}}[A-Za-z]? (?:[^\W\d_][\w'’-]+ ){{1,2}}?{_STREET}(?!\w)"),
+    # without a word for the street: a town and its postcode have to follow
+    re.compile(r"(?<![\w.,+-])\d{1,4}[A-Za-z]? \p{Lu}[\w'’-]+(?: \p{Lu}[\w'’-]+)?(?=,[ \t]*\p{Lu}[\p{Ll}]+(?:[ -]\p{Lu}\p{Ll}+)?,?[ \t](?:[A-Z]{2}[ \t])?(?:\d{5}|[A-Z]{1,2}\d{1,2}[A-Z]?[ \t]\d[A-Z]{2})(?!\w))"),
+    re.compile(r"(?<![\w-])\p{Lu}[\p{Ll}ß]{3,}(?:[ -]\p{Lu}[\p{Ll}ß]+)?[ -](?:Straße|Strasse|Str\.|Weg|Platz|Allee|Gasse|Ring|Damm|Ufer)[ ]\d{1,4} ?[a-z]?(?!\w)"),
     re.compile(r"(?<!\w)(?:P\.? ?O\.? ?Box|Post Office Box|Postfach|Boîte postale|BP) \d{1,6}(?!\w)"),
     re.compile(r"(?<!\w)(?:(?:Am|An der|An den|Im|In der|Zum|Zur|Auf der) )?[A-ZÄÖÜ][a-zäöüß-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|steig) \d{1,4} ?[a-z]?(?!\w)"),
     re.compile(r"(?<![\w.,+-])\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|boulevard|place|chemin|allée|quai|impasse|route|square)(?: (?:des|du|de la|de|d['’]))? ?[^\W\d_][\w'’-]+"),
     re.compile(r"(?:(?<=[到在于至是址往：:，,。 ])[\p{Han}]{2,4}|[\p{Han}]{2})(?:市|县|区|镇)[\p{Han}]{1,8}?(?:路|街|道|巷|弄)\d+号(?:\d+(?:单元|栋|幢|座))?(?:\d+室)?"),
 ]
 
-# Names. Phrases before and after which a person stands, words that end names of places and groups.
-BEFORE = r"(?:\b(?:Hi|Hello|Dear|Hallo|Bonjour|Liebe[r]?|Cher|Chère|[Cc]c|CC|[Aa]sk(?: for)?|reviewed by|approved by|written by|signed by|[Aa]ccording to|fitting with|meeting with|[Cc]all with|chart of|report of|[Ss]ince|visitors,|[Tt]hanks,|[Rr]egards,|[Cc]heers,|Best,|[Cc]ontact|aufgenommen von|Aufgenommen von|geprüft von|Geprüft von|Grüße,|Gruß,|bitte an|geht an|[Ll]aut|[Cc]ontactez|suivie? par|[Cc]ordialement,|bracelet à|[Ss]elon|[Mm]erci,)[ \t]+|(?:Signed-off-by|Co-authored-by|Reviewed-by|[Cc]oach|[Pp]layer|[Rr]eporter|[Aa]uthor|[Nn]ame|[Tt]rainer|[Ss]pieler|[Jj]oueur)\"?[:=][ \t]*\"?|\"subject\": ?\"|(?:(?m:^)|(?<=\s))--[ \t]*\r?\n|\|[ \t]+)"
-AFTER = r"(?=[ \t]+(?:wants|habite|changed|moved|wrote|called|asked|said|wohnt|schrieb|a écrit|and a friend|capture is)\b)"
-DOING = re.compile(r"[ \t](?:wants|habite|changed|moved|wrote|called|asked|said|wohnt|schrieb|a écrit|and a friend|capture is)\b")
-PLACES = frozenset("lab coach range links green hollow seven four iron hybrid box lane road street avenue st apt club team park course school center centre bay hill lake north south east west tarn driver putter wedge".split())
-_TITLE = r"(?:(?:Dr|Mr|Mrs|Ms|Prof|Herr|Frau|Mme|Mlle)\.?[ \t]+)?"
-_CAP, _LOW, _UP = r"\p{Lu}[\p{Ll}'’]+", r"\p{Ll}[\p{Ll}'’]+", r"\p{Lu}{3,}"
-PERSON = (
-    rf"(?:{_UP}(?:-{_UP})?,[ \t]{_CAP}|{_CAP}[ \t](?:\p{{Lu}}\.[ \t]?)?{_CAP}(?:-{_CAP})?|(?:\p{{Lu}}\.[ \t]?){{1,2}}{_CAP}(?:-{_CAP})?"
-    rf"|{_CAP}[ \t](?:\p{{Lu}}\.[ \t]?)?{_UP}(?:-{_UP})?|{_UP}[ \t](?:\p{{Lu}}\.[ \t]?)?{_UP}(?:-{_UP})?|{_CAP}(?:-{_CAP})?,[ \t]{_CAP})"
+# Names: shapes of two parts, weighed by what is known of the parts and by the words on either side.
+_CAP, _LOW, _UP = r"\p{Lu}[\p{Ll}'’]+(?:\p{Lu}\p{Ll}+)?", r"\p{Ll}[\p{Ll}'’]+", r"\p{Lu}{3,}"
+_TWO = rf"{_CAP}(?:-{_CAP})?"
+SHAPES = re.compile(
+    rf"(?:{_UP}(?:-{_UP})?,[ \t]{_TWO}|{_TWO}[ \t](?:\p{{Lu}}\.[ \t]?)?{_TWO}|(?:\p{{Lu}}\.[ \t]?){{1,2}}{_TWO}"
+    rf"|{_TWO}[ \t](?:\p{{Lu}}\.[ \t]?)?{_UP}(?:-{_UP})?|{_UP}[ \t](?:\p{{Lu}}\.[ \t]?)?{_UP}(?:-{_UP})?|{_TWO},[ \t]{_TWO})(?![\p{{L}}\d@])"
 )
-LOWER = rf"(?:{_LOW}[ \t](?:\p{{Ll}}\.[ \t]?)?{_LOW}(?:-{_LOW})?|\p{{Ll}}\.[ \t]?{_LOW}(?:-{_LOW})?|{_LOW},[ \t]{_LOW})"
-CUE = re.compile(BEFORE)
-CUED = re.compile(rf"{_TITLE}(?P<name>{PERSON}|{LOWER})(?![\p{{L}}\d@])")
-NEXT = re.compile(rf"(?:,[ \t]+|[ \t]+(?:and|und|et|&)[ \t]+){_TITLE}(?P<name>{PERSON}|{LOWER})(?![\p{{L}}\d@])")
-LED = re.compile(rf"(?:(?<![\p{{L}}\d.@-]){_TITLE}(?P<name>{PERSON})|(?:(?m:^)|(?<=[.!?:;][ \t])|(?<=- ))(?P<name>{LOWER})){AFTER}|(?<=\b[Tt]he )(?P<name>{LOWER})(?= capture\b)")
-WHOLE = re.compile(rf"{PERSON}|{LOWER}")
-FREE = re.compile(rf"(?<![\p{{L}}\d.@-])(?P<name>{_CAP}[ \t](?:\p{{Lu}}\.[ \t]?)?{_CAP}(?:-{_CAP})?|\p{{Lu}}\.[ \t]{_CAP}(?:-{_CAP})?|{_UP}(?:-{_UP})?,[ \t]{_CAP})(?![\p{{L}}\d@-])")
+LOWER = re.compile(rf"(?:{_LOW}[ \t](?:\p{{Ll}}\.[ \t]?)?{_LOW}(?:-{_LOW})?|\p{{Ll}}\.[ \t]?{_LOW}(?:-{_LOW})?|{_LOW},[ \t]{_LOW})(?![\p{{L}}\d@])")
+TOKEN = stdre.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+# Titles; greetings and thanks; words for a role, as labels; words after which a person may stand; what persons do.
+TITLES = frozenset("mr mrs ms miss dr prof professor sir herr frau mme mlle madame monsieur".split())
+GREETINGS = frozenset("hi hello hey dear thanks regards cheers best sincerely hallo liebe lieber grüße gruß danke bonjour cher chère merci cordialement cc attn".split())
+ROLES = frozenset("by name author reporter coach player trainer spieler joueur contact customer client patient user member visitor visitors guest owner manager editor teacher doctor colleague employee participant athlete student subject from to attendee assignee reviewer".split())
+AGENTS = frozenset("by with from to of for and or since until ask asks asked tell told call contact meet met per via says said invoice mail email write send forward von bei mit für an durch laut und bitte frag seit zu de par à avec chez selon pour et contactez appelez".split())
+DOES = frozenset(
+    "wants wanted want said says told tells asked asks wrote writes called calls moved moves changed changes lives lived works worked arrived arrives came comes went goes thinks thought believes likes liked made makes sent sends got gets has had is was will would can could and joined left plays played met signed reported noted added "
+    "wohnt wohnte schrieb schreibt sagt sagte fragt fragte kam kommt ging möchte will hat war ist und habite a est dit écrit demande veut et".split()
+)
+# Given names in wide use; those that are words as well need a cue.
+GIVEN = frozenset(
+    "adam alan albert alex alexander alice amanda amelia amy ana andrea andreas andrew anna anne anthony antonio arthur barbara benjamin bernard brian camille carl carlos caroline catherine charles charlotte chloe chris christian christina christine christopher claire clara claudia daniel david deborah dennis diana "
+    "diego donald dorothy edward elena elisabeth elizabeth ella emily emma eric erik eva felix fernando florian franz gabriel george gerald giovanni gregory hannah hans harold heather heinrich helen henry hugo ian ingrid isabella ivan jacob jacques james jane janet jason javier jean jeffrey jennifer jessica joan johann john jonas jonathan jorge joseph "
+    "juan julia julian julie jürgen karen karl katharina katherine kenneth kevin klaus larry laura lauren leon leonard linda lisa louis louise lucas lucia luis lukas luke manuel marco margaret maria marie mario martha martin mary matthew max melissa michael michelle miguel mohammed monica nancy natalie nicholas nicole nina noah "
+    "olga oliver olivia oscar pablo pamela patricia patrick paul pedro peter philip pierre rachel rafael raymond rebecca ricardo richard robert roberto roger ronald ruth ryan samuel sandra sara sarah scott sebastian sergio sharon simon sofia sophia sophie stefan stephanie stephen steven susan teresa theodore theresa thomas timothy ursula valentina vanessa victor victoria vincent virginia walter william wolfgang zoe".split()
+)
+GIVEN_WORDS = frozenset("april art august bill bob chase dawn drew eve faith frank gene grace grant harry hope iris ivy jack joy june lily mark may max miles olive pat penny ray rich rob rose ruby rusty sandy skip sue summer tom violet will".split())
+# Words that end or begin names of places, groups and things rather than persons.
+THINGS = frozenset(
+    "lab coach range links seven four iron hybrid box lane road street avenue st apt club team park school center centre bay lake north south east west driver putter wedge university college hospital hotel airport station river island bridge county city town village valley beach mountain mount museum church library company group inc ltd gmbh bank office menu morning evening night day week month monday tuesday wednesday thursday friday saturday sunday "
+    "january february march april june july september october november december gate green hollow tarn lower upper new old great saint port fort san los santa royal united international national central".split()
+)
+LABEL = re.compile(r"(?:(?:^|[\W_])(?P<role>\p{L}+)(?:\"|')?[ \t]?[:=][ \t]*[\"']?|(?P<cell>\|[ \t]+)|(?P<sign>(?:^|\s)--[ \t]*\r?\n)|(?P<ask>\b(?:ask for|attention of)[ \t]+))$")
+LEFT = re.compile(r"(?P<word>\p{L}+)(?P<mark>\.|,|;)?[ \t]*$")
+RIGHT = re.compile(r"[ \t]+(?P<word>\p{L}+)")
+LIST = re.compile(r"(?:,[ \t]+|[ \t]+(?:and|und|et|&|y)[ \t]+)(?:\p{L}+\.?[ \t]+)?")
 # Chinese family names of two characters.
 DOUBLE = "欧阳|司马|上官|诸葛|司徒|闻人|濮阳|澹台|东方|公孙|慕容|皇甫|尉迟|长孙|宇文|夏侯|令狐|独孤|南宫|端木"
 HAN_NAME = rf"(?P<name>(?:{DOUBLE})\p{{Han}}{{1,2}}|\p{{Han}}{{2,3}})"
-HAN = [re.compile(rf"(?:由|请)(?:联系)?{HAN_NAME}(?=复核|审核|记录|负责|检查|确认|，)"), re.compile(rf"(?:联系人?|收件人|姓名|教练|球员|联系)[是为：:]?{HAN_NAME}(?=[，。,.；;、\s]|$)")]
-_words: dict[str, frozenset[str]] = {}
+# Frequent Chinese family names that begin few other words; what follows a person at the start of a clause.
+HAN_FAMILY, HAN_DOES = "王李张刘陈杨赵吴徐孙朱胡郭罗郑梁谢宋唐许邓冯韩曹彭蔡潘袁蒋杜魏吕沈姚卢傅姜崔谭廖", "昨天|今天|明天|昨晚|今早|刚才|已经|说|来|去|在|把|给|和|跟|打电话|先生|女士|老师|教练|医生|同学"
+HAN = [re.compile(rf"(?:^|(?<=[\s，。；：！？、,.;:!?]))(?P<name>(?:{DOUBLE}|[{HAN_FAMILY}])\p{{Han}}{{1,2}}?)(?={HAN_DOES})"), re.compile(rf"(?:由|请)(?:联系)?{HAN_NAME}(?=复核|审核|记录|负责|检查|确认|，)"), re.compile(rf"(?:联系人?|收件人|姓名|教练|球员|联系)[是为：:]?{HAN_NAME}(?=[，。,.；;、\s]|$)")]
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """common: whole words of vocabularies, whatever their case; small: those that vocabularies with case have in small letters;
+    plain: common ones that are no given names."""
+
+    common: frozenset[str]
+    small: frozenset[str]
+    plain: frozenset[str]
 
 
-def common_words(path: str) -> frozenset[str]:
-    """The whole words of a public tokenizer's vocabulary: what is no name of its own in small letters."""
-    if path not in _words:
-        found: list[str] = []
-        if os.path.exists(path):
-            with open(path, encoding="utf-8") as f:
-                found = re.findall(r'"([a-z]{2,})</w>"', f.read())
-        _words[path] = frozenset(found)
-    return _words[path]
+@lru_cache(maxsize=2)
+def lexicon(words: str, cased: tuple[str, ...]) -> Lexicon:
+    """What the vocabularies of public tokenizers tell of words; a missing file is an error."""
+    with open(words, encoding="utf-8") as f:
+        common = frozenset(re.findall(r'"(\p{Ll}{2,})</w>"', f.read()))
+    small = set()
+    for path in cased:
+        with open(path, "rb") as f:
+            for line in f:
+                t = base64.b64decode(line.split()[0])
+                if t[:1] == b" " and len(t) > 2:
+                    w = t[1:].decode("utf-8", "ignore")
+                    if w.isalpha() and w == w.lower():
+                        small.add(w)
+    return Lexicon(common | small, frozenset(small), (common | small) - GIVEN - GIVEN_WORDS)
 
 
 def normalise(text: str) -> tuple[str, list[int] | None, list[int] | None]:
@@ -117,10 +161,13 @@ def normalise(text: str) -> tuple[str, list[int] | None, list[int] | None]:
             out = HIDDEN.sub("", out)
     low = out.lower()
     some_at, some_dot = any(x in low for x in ("at)", "at]", "at}", "at>")) or " AT " in out, any(x in low for x in ("dot)", "dot]", "dot}", "dot>", " dot "))
-    for rule, put in ((AT, "@"), (AT_WORD, "@"), (DOT, "."), (SPELLED, None)):
-        if rule is AT and not some_at or (rule is AT_WORD or rule is DOT) and not some_dot:
+    for rule, put in ((SAID, None), (AT, "@"), (DOT, "."), (SPELLED, None)):
+        if rule is AT and not some_at or rule is DOT and not some_dot or rule is SAID and not (" at " in low and " dot " in low):
             continue
-        hits = list(rule.finditer(out))
+        if rule is SAID:
+            hits = [h for m in SAID.finditer(out) for h in SAID_PART.finditer(out, m.start(), m.end())]
+        else:
+            hits = list(rule.finditer(out))
         if rule is AT or rule is DOT:  # plain words count only in capitals or brackets
             hits = [h for h in hits if h.group().strip()[0] in "[({<" or h.group().strip().isupper()]
         if not hits:
@@ -128,7 +175,7 @@ def normalise(text: str) -> tuple[str, list[int] | None, list[int] | None]:
         at, to = at or list(range(len(out))), to or list(range(1, len(out) + 1))
         parts, begins, ends, last = [], [], [], 0
         for h in hits:
-            new = put if put else "".join(DIGITS[w.lower()] for w in re.findall(r"\w+", h.group()))
+            new = put if put else {"at": "@", "dot": "."}[h.group(1).lower()] if rule is SAID else "".join(DIGITS[w.lower()] for w in re.findall(r"\w+", h.group()))
             parts += [out[last : h.start()], new]
             begins += at[last : h.start()] + [at[h.start()]] * len(new)
             ends += to[last : h.start()] + [to[h.end() - 1]] * len(new)
@@ -139,34 +186,137 @@ def normalise(text: str) -> tuple[str, list[int] | None, list[int] | None]:
     return out, at, to
 
 
-def _person(s: str, words: frozenset[str], cued: bool) -> bool:
-    parts = re.findall(r"\p{L}+", s)
-    long = [p for p in parts if len(p) > 1]
-    if not long or parts[0].lower() in OPENERS:
-        return False
-    if any(p.lower() in PLACES for p in long):
-        return False
-    family = long[0] if "," in s else long[-1]
-    if s == s.lower() or not cued:
-        return family.lower() not in words and len(family) > 3
-    return True
+def _no_phone(s: str, a: int) -> bool:
+    """Whether what stands before a number makes it a count or the number of something."""
+    while a > 0 and s[a - 1] in " =:#\t":
+        a -= 1
+        if s[a] == "#":
+            return True
+    if a and s[a - 1] in "$€":
+        return True
+    w = _COUNTED.search(s[max(0, a - 24) : a])
+    return bool(w) and (w.group(1).lower() in NOT_PHONE or w.group(1)[-1] == "-")
+
+
+_LETTERS, _ELIDED = re.compile(r"\p{L}+"), re.compile(r"(?:^|[ \t])(?:[cdjlmnst]|qu)['’]")
+_WORD_LEFT, _WORD_RIGHT = re.compile(r"(\p{L}{2,})[ \t\n]+$"), re.compile(r"[ \t\n]+(\p{L}{2,})")
+_HAN, _DIGITS, _COUNTED = re.compile(r"\p{Han}"), stdre.compile(r"\d[^\n]{0,3}\d"), re.compile(r"(?:^|[^\p{L}])(\p{L}+|\p{Lu}-)$")
+
+
+class _Names:
+    """Weighs the shapes of names in a text."""
+
+    def __init__(self, text: str, words: Lexicon):
+        self.text, self.words, self.small, self.plain, self.last = text, words.common, words.small, words.plain, -1
 
+    def cues(self, a: int, b: int) -> tuple[bool, bool, bool]:
+        """(named, cued, acts): a title or label right before, a word that leads to a person before, one that persons do after."""
+        s = self.text
+        left = s[max(0, a - 48) : a]
+        named = cued = False
+        tail = left.rstrip(" \t")[-1:]
+        if tail and (tail in ":=\"'|\n" or left[-4:-1] in ("for", " of")) and (m := LABEL.search(left)):
+            named = not m.group("role") or m.group("role").lower() in ROLES or m.group("role").lower().endswith("by")
+        if not named and (m := LEFT.search(left)):
+            w, mark = m.group("word").lower(), m.group("mark")
+            if w in TITLES and mark in (None, "."):
+                named = True
+            elif w in GREETINGS and mark in (None, ","):
+                cued = True
+            elif not mark and w in AGENTS:
+                cued = True
+            elif mark == "," and w in ROLES:
+                cued = True
+            elif not mark and w in ROLES and w not in AGENTS:
+                cued = True
+        if self.last >= 0 and LIST.fullmatch(s, self.last, a):
+            cued = True
+        r = RIGHT.match(s, b)
+        return named, cued, bool(r) and r.group("word").lower() in DOES
 
-def find(text: str | None, lexicon: str = LEXICON) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of each occurrence, places in code points from 0, in order and without overlap."""
+    def accept(self, a: int, b: int) -> bool:
+        s = self.text[a:b]
+        parts = _LETTERS.findall(s)
+        long = [p for p in parts if len(p) > 1]
+        if not long or parts[0].lower() in NO_NAME or long[-1].lower() in OPENERS:
+            return False
+        comma = "," in s
+        family, first = (long[0], long[-1] if len(long) > 1 else "") if comma else (long[-1], parts[0] if len(parts[0]) > 1 else "")
+        family, first = family.lower(), first.lower()
+        rare = len(family) > 3 and not any(w in self.words for w in (family, *(family[: -len(e)] for e in ENDINGS if family.endswith(e))))
+        given = first in GIVEN
+        unknown = not first or not any(w in self.small for w in (first, *(first[: -len(e)] for e in ENDINGS if first.endswith(e) and len(first) > len(e) + 3)))
+        named, cued, acts = self.cues(a, b)
+        thing = any(p.lower() in THINGS for p in long)
+        if s == s.lower():
+            if _ELIDED.search(s):  # an elided article or pronoun
+                return False
+            start = a == 0 or self.text[a - 1] == "\n" or self.text[max(0, a - 2) : a] in (". ", "! ", "? ", ": ", "; ", "- ")
+            led = named or cued or (acts and start)
+            if thing and not named:
+                return False
+            if not led:  # right after the, before its noun, only words that nothing else explains
+                the = self.text[max(0, a - 4) : a] in ("the ", "The ")
+                noun = RIGHT.match(self.text, b)
+                return the and rare and (unknown or given) and not family.endswith("s") and bool(noun) and noun.group("word").lower() not in NO_NOUN
+            return rare and unknown if not given else rare or named or cued
+        if s == s.upper() and not comma and not named and len(first) > 1:  # in a run of capitals shapes tell nothing
+            near = _WORD_LEFT.search(self.text[max(0, a - 32) : a]), _WORD_RIGHT.match(self.text, b)
+            if any(m and m.group(1).isupper() for m in near):
+                return False
+        if comma and not (rare or named):
+            return False
+        if comma and s.split(",")[0] != s.split(",")[0].upper() and not (named or cued or acts):
+            return False
+        if thing:
+            return named and rare or (given and family not in THINGS)
+        if named or (rare and (unknown or given or cued or acts or s != s.upper())):
+            return True
+        if given:
+            return True
+        if first in GIVEN_WORDS or (first and first[-1] == "s" and first in GIVEN_WORDS):
+            return cued or acts
+        return (cued or acts) and unknown and bool(first) and len(first) > 2
+
+    def find(self) -> Iterator[tuple[int, int]]:
+        s, plain = self.text, self.plain
+        low = [w.lower() for w in TOKEN.findall(s)]
+        some = [i for i, w in enumerate(low) if w not in plain and w[0] <= "\u024f"]
+        titled = [i + 1 for i, w in enumerate(low[:-1]) if w in TITLES and low[i + 1] in plain]
+        if not some and not titled:
+            return
+        spans, done = [m.span() for m in TOKEN.finditer(s)], 0
+        for i in sorted({*some, *titled}):
+            x, y = spans[i]
+            if x < done or (low[i] in plain and not s[x].isupper()):
+                continue
+            for j in (i - 2, i - 1, i):
+                if j < 0 or spans[j][0] < done or x - spans[j][0] > 120:
+                    continue
+                a = spans[j][0]
+                if a and (s[a - 1] in "@-’'" or s[a - 1] == "." and a > 1 and s[a - 2].isalnum()) and not s.startswith("--", a - 2):
+                    continue
+                m = SHAPES.match(s, a) if s[a].isupper() else LOWER.match(s, a)
+                if m and m.end() >= y and self.accept(a, m.end()):
+                    self.last = done = m.end()
+                    yield a, done
+                    break
+
+
+def find(text: str | None, words: Lexicon) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of each occurrence, places in code points from 0, in order and without overlap; words are lexicon()."""
     if not text:
         return []
-    words = common_words(lexicon)
     out, at, to = normalise(text)
     taken: list[tuple[int, int]] = []
     found: list[tuple[str, int, int]] = []
 
-    def take(kind: str, a: int, b: int) -> bool:
-        if any(a < y and x < b for x, y in taken):
-            return False
-        taken.append((a, b))
+    def take(kind: str, a: int, b: int) -> None:
+        k = bisect_left(taken, (a, b))
+        if (k and taken[k - 1][1] > a) or (k < len(taken) and taken[k][0] < b):
+            return
+        taken.insert(k, (a, b))
         found.append((kind, at[a] if at else a, to[b - 1] if to else b))
-        return True
 
     if "@" in out:
         for m in EMAIL.finditer(out):
@@ -174,45 +324,17 @@ def find(text: str | None, lexicon: str = LEXICON) -> list[tuple[str, int, int]]
     for rule in ADDRESSES:
         for m in rule.finditer(out):
             take("address", *_to_town(out, *m.span()))
-    if re.search(r"\d{2}", out):
+    if _DIGITS.search(out):
         for rule in IDS:
             for m in rule.finditer(out):
                 take("id_number", *m.span())
         for rule in PHONES:
             for m in rule.finditer(out):
-                if sum(c.isdigit() for c in m.group()) >= 9 and not NOT_PHONE.search(out[max(0, m.start() - 12) : m.start()]):
+                if sum(c.isdigit() for c in m.group()) >= 9 and not _no_phone(out, m.start()):
                     take("phone", *m.span())
-    def trim(a: int, b: int) -> tuple[int, int]:
-        """Without the words that open a sentence."""
-        while (h := re.match(r"(\p{L}+)[ \t]+", out[a:b])) and h.group(1).lower() in OPENERS:
-            a += h.end()
-        return a, b
-
-    for cue in CUE.finditer(out):
-        m = CUED.match(out, cue.end())
-        if not m:
-            continue
-        a, b = trim(*m.span("name"))
-        while True:
-            if WHOLE.fullmatch(out[a:b]) and _person(out[a:b], words, True):
-                take("name", a, b)
-            n = NEXT.match(out, b)
-            if not n or not _person(n.group("name"), words, True):
-                break
-            a, b = n.span("name")
-    for verb in DOING.finditer(out):  # a name ends right before
-        for m in LED.finditer(out, max(0, verb.start() - 80), verb.end(), overlapped=True):
-            a, b = trim(*m.span("name"))
-            if WHOLE.fullmatch(out[a:b]) and _person(out[a:b], words, True):
-                take("name", a, b)
-    for m in FREE.finditer(out, overlapped=True):
-        a, b = m.span("name")
-        if "," not in m.group() and out[a:b].rsplit(" ", 1)[-1].rsplit("-", 1)[-1].lower() in words:
-            continue
-        a, b = trim(a, b)
-        if WHOLE.fullmatch(out[a:b]) and _person(out[a:b], words, False):
-            take("name", a, b)
-    if re.search(r"\p{Han}", out):
+    for a, b in _Names(out, words).find():
+        take("name", a, b)
+    if _HAN.search(out):
         for rule in HAN:
             for m in rule.finditer(out):
                 take("name", *m.span("name"))
@@ -221,6 +343,11 @@ def find(text: str | None, lexicon: str = LEXICON) -> list[tuple[str, int, int]]
 
 #: Words that open a sentence before a name rather than belong to it.
 OPENERS = frozenset("the this that a an and or but if since when while after before according please hi hello dear thanks cc call ask coach player swing range task every each our whoever nothing nobody for at on in with to from le la les un une des pour merci der die das den dem ein eine am im bitte laut größere aufgabe für unser unsere sein seine ihr ihre mein meine dein kein keine jede jeder jedes dieser diese dieses nach vor mit ohne sobald während weil obwohl damit nachdem bevor ältere älteres grüße von zum zur bei aus und oder not so as is was".split())
+DETERMINERS = frozenset("one another my your his her our their some no both few many much more most what which whose".split())
+#: Endings of words whose stem makes them words.
+ENDINGS = ("s", "es", "ed", "er", "d", "r", "ing")
+NO_NAME = (OPENERS | AGENTS | GREETINGS | TITLES | ROLES | DOES) - GIVEN_WORDS
+NO_NOUN = NO_NAME | DETERMINERS
 _TOWN = re.compile(r"(?:,? ?(?:Apt|Apartment|Unit|Suite|Flat)\.? ?\w+)?(?:(?:,[ \t]*|[ \t]*\r?\n|[ \t]+-[ \t]+)(?:\d{5}[ \t]+)?\p{Lu}[\p{Ll}]+(?:-\p{Lu}\p{Ll}+)*(?:[ \t]+\d{5}(?!\d))?)?")
 
 
@@ -240,15 +367,18 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     return "".join([*out, text[last:]])
 
 
-def find_personal(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lexicon: str = LEXICON) -> DataFrame:
+def find_personal(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: str = WORDS, cased: tuple[str, ...] = CASED) -> DataFrame:
     """(id, spans, redacted) of every document: spans of (kind, start, end), places in code points from 1, end inclusive.
 
     Null and empty texts have no spans and stay as they are. One pass over whole texts, without a shuffle.
     """
 
+    # vocabularies are of a fixed size; workers need not have their files
+    known = docs.sparkSession.sparkContext.broadcast(lexicon(words, cased))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            spans = [find(t, lexicon) for t in b["__text"]]
+            spans = [find(t, known.value) for t in b["__text"]]
             yield pd.DataFrame({"__id": b["__id"], "spans": [[{"kind": k, "start": x + 1, "end": y} for k, x, y in s] for s in spans], "redacted": [redact(t, s) for t, s in zip(b["__text"], spans)]})
 
     kind = dict(docs.dtypes)[id_col]

@@ -2,6 +2,8 @@ import pytest
 
 from lodestrata.llm import pii as P
 
+WORDS = P.lexicon(P.WORDS, P.CASED)
+
 CASES = [
     ("write to jo.doe+x@mail.tarn.test, please", [("email", "jo.doe+x@mail.tarn.test")]),
     ("reply to jo_d (at) mail (dot) tarn (dot) test now", [("email", "jo_d (at) mail (dot) tarn (dot) test")]),
@@ -26,17 +28,17 @@ CASES = [
 
 @pytest.mark.parametrize(("text", "want"), CASES)
 def test_cases(text, want):
-    assert [(k, text[a:b]) for k, a, b in P.find(text)] == want
+    assert [(k, text[a:b]) for k, a, b in P.find(text, WORDS)] == want
 
 
 def test_redaction_keeps_the_rest():
     text = "Hi Edda Wexvick,\n  mail jo (at) tarn (dot) example — 226-555-0142!\n"
-    assert P.redact(text, P.find(text)) == "Hi [NAME],\n  mail [EMAIL] — [PHONE]!\n"
+    assert P.redact(text, P.find(text, WORDS)) == "Hi [NAME],\n  mail [EMAIL] — [PHONE]!\n"
 
 
 def test_offsets_survive_look_alikes():
     text = "\u200bаbc jо＠tarn.example x"
-    (kind, a, b), = P.find(text)
+    (kind, a, b), = P.find(text, WORDS)
     assert kind == "email" and text[a:b] == "jо＠tarn.example"
 
 
@@ -47,3 +49,49 @@ def test_operator(spark):
     assert got[2]["redacted"] is None and got[2]["spans"] == [] and got[3]["redacted"] == ""
     assert got[4]["spans"][0]["start"] == 400_001
     assert P.find_personal(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Yesterday Emma Brown told the editor", ["Emma Brown"]),
+        ("the fee was paid by Maria Gonzalez", ["Maria Gonzalez"]),
+        ("Mr. James Baker lives here", ["James Baker"]),
+        ("Dr Will Baker called", ["Will Baker"]),
+        ("Invoice mailed to Sarah Hill and Peter Young", ["Sarah Hill", "Peter Young"]),
+        ("Emma Watson arrived", ["Emma Watson"]),
+        ("forward this to john smith", ["john smith"]),
+        ("王小明昨天来了", ["王小明"]),
+        ("In mid-sentence Anna Smith is found", ["Anna Smith"]),
+        ("Golden Gate, Monday Morning and the Main Menu", []),
+        ("Visit New York, London and Rome", []),
+        ("The Supreme Court ruled", []),
+        ("ask at the Victoria Station or in Georgia Avenue", []),
+        ("A CAUTIOUS MAINTAINER COUNTED THE LANTERNS", []),
+        ("高尔夫在这里很流行", []),
+    ],
+)
+def test_names_in_plain_prose(text, want):
+    assert [text[a:b] for k, a, b in P.find(text, WORDS) if k == "name"] == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("write to jane dot doe at example dot com today", [("email", "jane dot doe at example dot com")]),
+        ("the dot product at point five", []),
+        ("he lives at 12 Elm Crescent, Oxford", [("address", "12 Elm Crescent, Oxford")]),
+        ("Büro: Berliner Straße 5", [("address", "Berliner Straße 5")]),
+        ("at 44 Foo Bar, Springfield, IL 62704", [("address", "44 Foo Bar, Springfield")]),
+        ("An Platz 26 klebte der Lehrling", []),
+        ("ticket = " + " " * 200 + "+44 20 7946 0208", []),
+    ],
+)
+def test_other_kinds_in_plain_prose(text, want):
+    assert [(k, text[a:b]) for k, a, b in P.find(text, WORDS)] == want
+
+
+def test_a_missing_vocabulary_is_an_error(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    with pytest.raises(FileNotFoundError):
+        P.find_personal(docs, words="/nowhere/words.json")
