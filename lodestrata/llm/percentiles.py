@@ -7,15 +7,17 @@ certainly >= v. In this form merging is a union, exact in itself; an error comes
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of partition summaries that are merged in turn; the last merge has one.
-LEVELS = (256, 16, 1)
+from lodestrata.session import partitions_of
+
+#: Partitions whose summaries are merged at a time.
+FAN_IN = 64
 BATCH_ROWS = 200_000
 
 
@@ -75,45 +77,110 @@ def _partition_summaries(scopes: Sequence[tuple[str, tuple[str, ...]]], value: s
     return run, names
 
 
+def levels_of(partitions: int) -> list[int]:
+    """Numbers of buckets in which the summaries of that many partitions are merged in turn; the last is one."""
+    out = []
+    while partitions > FAN_IN:
+        partitions = -(-partitions // FAN_IN)
+        out.append(partitions)
+    return [*out, 1]
+
+
+def _starts(pdf: pd.DataFrame, group: Sequence[str]) -> np.ndarray:
+    """Where the groups of sorted rows begin; nulls are equal."""
+    new = np.zeros(len(pdf), bool)
+    new[:1] = True
+    for c in group:
+        x = pdf[c]
+        null = x.isna().to_numpy()
+        x = x.to_numpy()
+        with np.errstate(invalid="ignore"):
+            new[1:] |= ((x[1:] != x[:-1]) & ~(null[1:] & null[:-1])) | (null[1:] != null[:-1])
+    return np.flatnonzero(new)
+
+
+def _whole_groups(group: Sequence[str], f: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]):
+    """f over batches of sorted rows, cut so that no group is split; it gets the rows and where their groups begin."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            edge = pd.concat([held[-1].tail(1), b], ignore_index=True) if held else b
+            starts = _starts(edge, group)
+            last = int(starts[-1]) - (1 if held else 0)
+            if last <= 0 and (held or not last) and len(starts) == 1:
+                held.append(b)
+                continue
+            done = pd.concat([*held, b.iloc[:last]], ignore_index=True)
+            held = [b.iloc[last:]]
+            if len(done):
+                yield f(done, _starts(done, group))
+        if held:
+            done = pd.concat(held, ignore_index=True)
+            yield f(done, _starts(done, group))
+
+    return run
+
+
+def _merged(group: Sequence[str], step: float):
+    def f(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        v, up, down = pdf["v"].to_numpy(float), pdf["up"].to_numpy(np.int64), pdf["down"].to_numpy(np.int64)
+        first = np.zeros(len(v), bool)
+        first[starts] = True
+        at = np.flatnonzero(first | np.r_[True, v[1:] != v[:-1]])
+        up, down, v, first = np.add.reduceat(up, at), np.add.reduceat(down, at), v[at], first[at]
+        total, starts = np.cumsum(up), np.flatnonzero(first)
+        code = np.cumsum(first) - 1
+        before = (total - up)[starts]
+        n = np.diff(np.r_[before, total[-1]])[code]
+        width = np.maximum(1.0, n * step)
+        block = np.where(first, -1, np.floor((total - before[code] - 1) / width))
+        keep = np.flatnonzero(np.r_[block[1:] != block[:-1], True] | np.r_[first[1:], True] | first | (up >= width))
+        out = pdf.iloc[at[keep]][list(group)].reset_index(drop=True)
+        # what is dropped adds its up to the kept one above it and its down to the one below
+        return out.assign(v=v[keep], up=np.diff(np.r_[0, total[keep]]), down=np.add.reduceat(down, keep))
+
+    return _whole_groups(group, f)
+
+
+def _grouped(d: DataFrame, group: Sequence[str]) -> DataFrame:
+    return d.repartition(*group).sortWithinPartitions(*group, "v")
+
+
 def compress(d: DataFrame, group: Sequence[str], step: float) -> DataFrame:
     """Merges the tuples (group, v, up, down) of a group and keeps the first, the last of each block of step * n ranks and
     those that hold a block's ranks by themselves, so at most twice 1 / step.
 
     A dropped tuple's up goes to the kept one above it, its down to the kept one below, so both running sums stay
-    lower bounds, and a rank between kept values is uncertain by at most a block more.
+    lower bounds, and a rank between kept values is uncertain by at most a block more. One shuffle and one sort.
     """
-    d = d.repartition(*group).groupBy(*group, "v").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    w = Window.partitionBy(*group).orderBy("v")
-    d = d.select("*", F.sum("up").over(w).alias("low"), F.lag("v").over(w).alias("prev"), F.sum("up").over(Window.partitionBy(*group)).alias("n"))
-    block = F.when(F.col("prev").isNull(), F.lit(-1)).otherwise(F.floor((F.col("low") - 1) / F.greatest(F.lit(1.0), F.col("n") * step)))
-    d = d.withColumn("block", block)
-    wide = F.col("up") >= F.greatest(F.lit(1.0), F.col("n") * step)
-    d = d.withColumn("keep", F.when(wide | F.coalesce(F.lead("block").over(w) != F.col("block"), F.lit(True)), 1).otherwise(0))
-    d = d.withColumn("block", F.coalesce(F.sum("keep").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    b = d.groupBy(*group, "block").agg(F.max("v").alias("v"), F.sum("up").alias("up"), F.max_by("down", "v").alias("own"), F.sum("down").alias("all"))
-    below = F.lead(F.col("all") - F.col("own")).over(Window.partitionBy(*group).orderBy("block"))
-    return b.select(*group, "v", "up", (F.col("own") + F.coalesce(below, F.lit(0))).alias("down"))
+    d = d.select(*group, "v", "up", "down")
+    return _grouped(d, group).mapInPandas(_merged(group, step), d.schema)
 
 
 def summarize(values: DataFrame, scopes: Sequence[tuple[str, tuple[str, ...]]], value: str, eps: float = 0.005) -> DataFrame:
     """Summaries (scope, <group columns>, v, up, down, eps) of value for several groupings at once, ranks known within eps * n.
 
     scopes: (name, group columns); the columns a scope does not use are null in its rows. Each partition is
-    summarised for itself, then the summaries are merged and compressed in 256, 16 and one buckets, so no task sees
-    a group's rows, nor more than a share of its summaries. Null and non-finite values do not count; a group
+    summarised for itself, then the summaries are merged and compressed, FAN_IN partitions to a bucket and as many times
+    as that takes, so no task sees a group's rows, nor more than a share of its summaries. Null and non-finite values do not count; a group
     without others, like an empty table, has no rows. Repeated values are one tuple. A null group column is a group.
     """
-    step = eps / (len(LEVELS) + 1)
-    run, names = _partition_summaries(scopes, value, step)
+    names = sorted({c for _, cols in scopes for c in cols})
     x = F.col(value).cast("double")
     d = values.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(*names, (x + 0.0).alias(value))
+    levels = levels_of(partitions_of(d))
+    step = eps / (len(levels) + 1)
+    run, _ = _partition_summaries(scopes, value, step)
     types = dict(d.dtypes)
     d = d.mapInPandas(run, f"scope string, {', '.join(f'{c} {types[c]}' for c in names)}, part long, v double, up long, down long")
     group = ["scope", *names]
-    for n in LEVELS:
-        d = d.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(n)) if n == LEVELS[0] else F.pmod("part", F.lit(n)))
+    for k, n in enumerate(levels[:-1]):
+        d = d.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(n)) if k == 0 else F.pmod("part", F.lit(n)))
         d = compress(d, [*group, "part"], step)
-    return d.drop("part").withColumn("eps", F.lit(eps))
+    return compress(d, group, step).withColumn("eps", F.lit(eps))
 
 
 def combine(summaries: DataFrame, group: Sequence[str], eps: float = 0.005) -> DataFrame:
@@ -125,14 +192,26 @@ def combine(summaries: DataFrame, group: Sequence[str], eps: float = 0.005) -> D
 
 
 def quantiles(summaries: DataFrame, group: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(group, p, n, value, eps): for each p the value whose rank is certainly nearest to p * (n - 1) + 1."""
-    asc, desc = Window.partitionBy(*group).orderBy("v"), Window.partitionBy(*group).orderBy(F.desc("v"))
-    d = summaries.select("*", F.sum("up").over(asc).alias("low"), F.sum("up").over(Window.partitionBy(*group)).alias("n"))
-    d = d.select("*", (F.col("n") - F.sum("down").over(desc) + 1).alias("first"))
-    best = []
-    for p in probs:
-        target = F.lit(float(p)) * (F.col("n") - 1) + 1
-        off = F.greatest(target - F.col("low"), F.col("first") - target, F.lit(0.0))
-        best.append(F.struct(F.lit(float(p)).alias("p"), F.min_by("v", F.struct(off, F.col("v"))).alias("value")))
-    d = d.groupBy(*group).agg(F.first("n").alias("n"), F.first("eps").alias("eps"), F.array(*best).alias("best"))
-    return d.select(*group, "n", "eps", F.explode("best").alias("q")).select(*group, "q.p", "n", "q.value", "eps")
+    """(group, p, n, value, eps): for each p the value whose rank is certainly nearest to p * (n - 1) + 1, the least of several."""
+
+    def f(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        v, up, down = pdf["v"].to_numpy(float), pdf["up"].to_numpy(np.int64), pdf["down"].to_numpy(np.int64)
+        size = np.diff(np.r_[starts, len(v)])
+        code = np.repeat(np.arange(len(starts)), size)
+        total, back = np.cumsum(up), np.cumsum(down[::-1])[::-1]
+        ends = starts + size - 1
+        low = total - (total - up)[starts][code]
+        n = low[ends]
+        first = n[code] - (back - (back - down)[ends][code]) + 1
+        head, out = pdf.iloc[starts], []
+        for p in probs:
+            target = (p * (n - 1) + 1)[code]
+            off = np.maximum(np.maximum(target - low, first - target), 0.0)
+            hit = np.flatnonzero(off == np.minimum.reduceat(off, starts)[code])
+            best = hit[np.searchsorted(hit, starts)]
+            out.append(head[list(group)].assign(p=float(p), n=n, value=v[best], eps=head["eps"]))
+        return pd.concat(out, ignore_index=True)
+
+    types = dict(summaries.dtypes)
+    d = _grouped(summaries.select(*group, "v", "up", "down", "eps"), group)
+    return d.mapInPandas(_whole_groups(group, f), ", ".join(f"{c} {types[c]}" for c in group) + ", p double, n long, value double, eps double")

@@ -59,3 +59,21 @@ def test_empty(spark):
     s = P.summarize(frame(spark, [], 1), [("s", ("g",))], "value")
     assert s.count() == 0 and P.quantiles(s, ["g"], [0.5]).count() == 0
     assert P.summarize(frame(spark, [("a", "x", None)], 1), [("s", ("g",))], "value").agg(F.count("*")).first()[0] == 0
+
+
+def test_levels_follow_the_partitions():
+    assert P.levels_of(1) == P.levels_of(64) == [1]
+    assert P.levels_of(65) == [2, 1] and P.levels_of(1_000_000) == [15_625, 245, 4, 1]
+
+
+def test_many_partitions_and_groups_over_batches(spark):
+    r = random.Random(9)
+    rows = [("a" if i % 10 else f"g{i % 70}", "x", r.gauss(0, 1)) for i in range(30_000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        s = P.summarize(frame(spark, rows, 130), [("s", ("g",))], "value", eps=0.02)
+        got = P.quantiles(s, ["g"], [0.05, 0.5, 0.95]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 3 * len({g for g, _, _ in rows})
+    assert max(errors(rows, got, "a")) <= 0.02 * 27_000
