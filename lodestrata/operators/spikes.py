@@ -15,20 +15,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK, HALO = 8192, 320
+#: Rows of a chunk, and of a margin. A run counts as stuck from rules.run_factor times the longest that chance explains; at the
+#: greatest chance of a repeat that is judged, and for a million million readings, that is 2 * (1 + log(1e12) / -log(0.98)) = 2738 rows.
+CHUNK, HALO = 65536, 2816
+MOST_CHANCE = 0.98
 
 
 @dataclass(frozen=True)
 class Rules:
     """fence: interquartile ranges (as standard deviations) a jump must exceed; movement: times the change of the
-    readings around it; run_factor: times the longest run expected by chance; least_run, most_run: bounds of the
+    readings around it; run_factor: times the longest run expected by chance, 2 at most; least_run: the least
     length from which a run counts as stuck; same_t: rows in succession that share a clock value."""
 
     fence: float = 8.0
     movement: float = 2.0
     run_factor: float = 2.0
     least_run: int = 10
-    most_run: int = 256
     same_t: int = 4
 
 
@@ -51,7 +53,7 @@ def normal_behaviour(d: DataFrame, n_axes: int) -> DataFrame:
     w = Window.partitionBy("k", "c").orderBy("i")
     vs = [f"v{n}" for n in range(n_axes)]
     d = d.select("k", "c", "i", "t", *vs, F.lag("i").over(w).alias("seen")).where("seen is null or seen <> i")
-    d = d.select("k", "c", "t", *vs, F.lag(F.struct("t", *vs)).over(w).alias("p"), F.lag(F.struct("t", *vs), 2).over(w).alias("q"), F.lead(F.struct(*vs)).over(w).alias("x"), F.min("t").over(Window.partitionBy("k", "c")).alias("from"))
+    d = d.select("k", "c", "t", *vs, F.lag(F.struct("t", *vs)).over(w).alias("p"), F.lag(F.struct("t", *vs), 2).over(w).alias("q"), F.lead(F.struct(*vs)).over(w).alias("x"), F.min("t").over(Window.partitionBy("k", "c")).alias("from"), (F.floor(F.col("i") / CHUNK) == F.col("c")).alias("core")).where("core")
     hour = F.coalesce(F.floor(F.col("from") / 3600), F.lit(-1))
     # a chunk lies in one hour, that of its first reading; an hour has few chunks
     aggs = [F.collect_set("c").alias("chunks"), F.count("*").alias("n"), F.percentile_approx(F.when(F.col("t") > F.col("p.t"), F.col("t") - F.col("p.t")), 0.5, 1000).alias("dt")]
@@ -70,7 +72,7 @@ def normal_behaviour(d: DataFrame, n_axes: int) -> DataFrame:
         spread = (F.col(f"q_{v}")[1] - F.col(f"q_{v}")[0]) / (1.349 * 1.5**0.5)
         stats = stats.withColumn(f"sd_{v}", F.greatest(spread, F.coalesce(F.col(f"res_{v}"), F.lit(0.0)) / 2))
         chance = F.greatest(F.col(f"again_{v}") / F.greatest(F.col(f"runs_{v}"), F.lit(1)), F.lit(1e-3))
-        stats = stats.withColumn(f"long_{v}", F.when(chance < 0.98, 1 + F.log(F.greatest("n", F.lit(2))) / -F.log(chance)).otherwise(float("inf")))
+        stats = stats.withColumn(f"long_{v}", F.when(chance < MOST_CHANCE, 1 + F.log(F.greatest("n", F.lit(2))) / -F.log(chance)).otherwise(float("inf")))
         out += [f"sd_{v}", f"long_{v}"]
     return stats.select("k", F.explode("chunks").alias("c"), *out)
 
@@ -149,7 +151,7 @@ def _judge(n_axes: int, clock: bool, rules: Rules):
             if not len(at):
                 continue
             spike[at] |= _spikes(_Series(v[at], t[at], g[at], dt[at]), d[f"sd_v{a}"].to_numpy(float)[at], rules)
-            need = np.minimum(rules.most_run, np.maximum(rules.least_run, np.ceil(rules.run_factor * d[f"long_v{a}"].to_numpy(float)[at])))
+            need = np.maximum(rules.least_run, np.ceil(rules.run_factor * d[f"long_v{a}"].to_numpy(float)[at]))
             stuck[at] |= _run_lengths(v[at], g[at]) >= need
         if clock:
             at = np.flatnonzero(~np.isnan(t))

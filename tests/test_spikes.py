@@ -63,3 +63,19 @@ def test_empty_small_and_null(spark):
     assert found(spark, []) == {}
     assert found(spark, [["a", 0, 1.0, 1.0, 1.0], ["a", 1, None, None, None], [None, 2, 1.0, 1.0, 1.0], ["a", None, 1.0, 500.0, 1.0]]) == {}
     assert found(spark, [["a", 0, 1.0, float("nan"), 1.0]]) == {("a", 0): ["impossible"]}
+
+
+def test_a_long_run_that_chance_explains_is_none(spark):
+    r = random.Random(5)
+    level, rows = 0.0, []
+    for i in range(9000):  # a coarse sensor that changes every fortieth reading or so
+        if r.random() < 0.025:
+            level = round(r.gauss(0, 0.3), 1)
+        rows.append(["a", i, i / 100, level, r.gauss(0, 0.01)])
+    for i in range(3000, 3300):
+        rows[i][3] = 0.7
+    for i in range(5000, 7500):
+        rows[i][3] = 0.2
+    got = found(spark, rows)
+    assert not any("stuck" in v for (_, i), v in got.items() if i < 4800)
+    assert all(("a", i) in got for i in range(5000, 7500))
