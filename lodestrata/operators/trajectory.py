@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators import estimators as E
+from lodestrata.operators import rotations as R
 from lodestrata.operators.segmentation import G, rest_mask, runs_of, segment
 
 
 def world_acceleration(q: np.ndarray, accel: np.ndarray) -> np.ndarray:
     """Acceleration in the world without gravity."""
-    return np.array([E.rotate(a, b) for a, b in zip(q, accel)]) - np.array([0, 0, G])
+    return R.rotate(q, accel) - np.array([0, 0, G])
 
 
 def integrate(y: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -25,35 +26,27 @@ def integrate(y: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 
 def dead_reckon(t: np.ndarray, a: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Positions with the velocity set to zero in rests and its drift between two of them taken off in proportion to time.
-
-    Each span starts from the velocity already corrected before it.
-    """
+    """Positions from velocities that vanish in rests: between two of them the velocity's drift is taken off as a line."""
     v = integrate(a, t)
-    before = None
-    for lo, hi in runs_of(rest):
-        if before is not None:
-            part = (t[before : lo + 1] - t[before]) / max(t[lo] - t[before], 1e-9)
-            v[before : lo + 1] -= part[:, None] * v[lo]
-        v[hi:] -= v[hi].copy()
-        v[lo : hi + 1] = 0.0
-        before = hi
+    stretches = runs_of(rest)
+    if stretches:
+        # the drift known at rests, a line between them and constant beyond the outer ones
+        places = np.concatenate([np.arange(lo, hi + 1) for lo, hi in stretches])
+        v = v - np.column_stack([np.interp(t, t[places], v[places, k]) for k in range(v.shape[1])])
+        v[places] = 0.0
     return integrate(v, t)
 
 
-def constrained(t: np.ndarray, a: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    """Positions with a constant bias and a start velocity per axis chosen so that velocities at rests vanish and the last rest lies where the first did."""
+def constrained(t: np.ndarray, a: np.ndarray, rest: np.ndarray, closing: float = 10.0) -> np.ndarray:
+    """Positions with a constant bias and a start velocity per axis such that velocities at rests vanish and the last rest lies where the first did."""
     v, x = integrate(a, t), t - t[0]
-    at = np.flatnonzero(rest)
+    p, at = integrate(v, t), np.flatnonzero(rest)
     if len(at) < 2:
-        return integrate(v, t)
-    rows = np.c_[np.ones(len(at)), x[at]]
-    p = integrate(v, t)
-    anchor = np.array([[x[at[-1]] - x[at[0]], 0.5 * (x[at[-1]] ** 2 - x[at[0]] ** 2)]]) * 10
-    m = np.vstack([rows, anchor])
-    rhs = np.vstack([-v[at], -(p[at[-1]] - p[at[0]])[None] * 10])
-    sol = np.linalg.lstsq(m, rhs, rcond=None)[0]
-    return p + x[:, None] * sol[0] + 0.5 * x[:, None] ** 2 * sol[1]
+        return p
+    first, last = at[0], at[-1]
+    m = np.r_[np.c_[np.ones(len(at)), x[at]], [[closing * (x[last] - x[first]), closing * (x[last] ** 2 - x[first] ** 2) / 2]]]
+    free = np.linalg.lstsq(m, -np.r_[v[at], closing * (p[last] - p[first])[None]], rcond=None)[0]
+    return p + np.outer(x, free[0]) + np.outer(x**2 / 2, free[1])
 
 
 @dataclass(frozen=True)
@@ -80,76 +73,66 @@ def plane_circle(p: np.ndarray) -> Circle | None:
 
 
 def lever_positions(q: np.ndarray, arm: np.ndarray) -> np.ndarray:
-    p = np.array([E.rotate(x, arm) for x in q])
+    p = R.rotate(q, arm)
     return p - p[0]
 
 
-def arm_of(t: np.ndarray, q: np.ndarray, gyro: np.ndarray, accel: np.ndarray) -> tuple[np.ndarray, int, float]:
-    """(arm, rank, rms) of the rigid lever that explains the acceleration; small singular values are cut."""
-    dw = np.gradient(gyro, t, axis=0)
-    gravity = np.array([E.rotate(E.conjugate(x), np.array([0, 0, -G])) for x in q])
+@dataclass(frozen=True)
+class Trust:
+    """When an arm explains a swing. Residual in m/s2 at which an arm counts half; lengths in metres between
+    which an arm is plausible; the length assumed where it is not; least trust with which an arm stands alone; angle in
+    degrees and ratio of lengths at which two halves differ by one unit; score from which the strap has slipped."""
 
-    def cross(v: np.ndarray) -> np.ndarray:
-        z = np.zeros(len(v))
-        return np.array([[z, -v[:, 2], v[:, 1]], [v[:, 2], z, -v[:, 0]], [-v[:, 1], v[:, 0], z]]).transpose(2, 0, 1)
+    residual: float = 12.0
+    shortest: float = 0.15
+    longest: float = 1.5
+    assumed: float = 1.0
+    alone: float = 0.6
+    angle: float = 25.0
+    ratio: float = 1.4
+    slipped: float = 0.6
 
-    w = (gyro**2).sum(axis=1) + np.linalg.norm(dw, axis=1)
-    w = np.sqrt(w / max(float(w.max()), 1e-12))
-    m = ((cross(gyro) @ cross(gyro) + cross(dw)) * w[:, None, None]).reshape(-1, 3)
-    rhs = ((accel + gravity) * w[:, None]).reshape(-1)
-    u, s, vt = np.linalg.svd(m, full_matrices=False)
-    keep = s > 0.01 * s[0] if s[0] > 0 else np.zeros(3, bool)
-    arm = vt.T @ (np.where(keep, 1 / (s + 1e-6 * s[0] + 1e-300), 0) * (u.T @ rhs))
-    return arm, int(keep.sum()), float(np.sqrt(np.mean((m @ arm - rhs) ** 2)))
 
+RULES = Trust()
 
-def slip_score(parts: Sequence[tuple[np.ndarray, int]], whole: np.ndarray) -> tuple[float, bool]:
-    """(score, detected): how far the arms of the two halves differ in direction and length, and from the whole's."""
-    (a, ra), (b, rb) = parts
 
-    def angle(x: np.ndarray, y: np.ndarray) -> float:
-        n = np.linalg.norm(x) * np.linalg.norm(y)
-        return float(np.degrees(np.arccos(np.clip(x @ y / n, -1, 1)))) if n > 1e-12 else 0.0
+def arm_trust(arm: np.ndarray, rank: int, rms: float, rules: Trust = RULES) -> float:
+    """From 0 to 1: how far a fitted arm can be believed, by its residual, its length and what the motion determines of it."""
+    size = float(np.linalg.norm(arm))
+    outside = max(0.0, np.log(rules.shortest / max(size, 1e-9)), np.log(max(size, 1e-9) / rules.longest))
+    return float(rank / 3 / (1 + (rms / rules.residual) ** 2) * np.exp(-outside))
 
-    la, lb = np.linalg.norm(a), np.linalg.norm(b)
-    ratio = max(la, lb) / max(min(la, lb), 1e-9)
-    unit = lambda v: float(np.clip(v, 0, 1))
-    score = max(unit((angle(a, b) - 12) / 30), unit((ratio - 1.15) / 0.5), unit((max(angle(a, whole), angle(b, whole)) - 15) / 30))
-    return score, ra >= 2 and rb >= 2 and score >= 0.55
+
+def slip_score(parts: Sequence[tuple[np.ndarray, int]], whole: np.ndarray, rules: Trust = RULES) -> tuple[float, bool]:
+    """(score, slipped): how unlikely it is that one arm serves both halves of a swing, by direction and length; whole is the arm of both together."""
+    (a, ra), (b, rb) = parts
+    sizes = [max(float(np.linalg.norm(x)), 1e-9) for x in (a, b, whole)]
+    turn = lambda x, y, m, n: float(np.degrees(np.arctan2(np.linalg.norm(np.cross(x, y)), x @ y))) if min(m, n) > 1e-6 else 0.0
+    angle = max(turn(a, b, sizes[0], sizes[1]), turn(a, whole, sizes[0], sizes[2]), turn(b, whole, sizes[1], sizes[2]))
+    away = (angle / rules.angle) ** 2 + (np.log(sizes[0] / sizes[1]) / np.log(rules.ratio)) ** 2
+    score = float(1 - np.exp(-away))
+    return score, min(ra, rb) >= 2 and score >= rules.slipped
 
 
-def hybrid(t: np.ndarray, q: np.ndarray, gyro: np.ndarray, accel: np.ndarray, span: tuple[int, int], prior: float = 1.0) -> tuple[np.ndarray, str]:
-    """(positions from address to finish, how): a rigid lever, drawn to a radius prior where it fails, towards the constrained path where it misfits."""
+def hybrid(t: np.ndarray, q: np.ndarray, gyro: np.ndarray, accel: np.ndarray, span: tuple[int, int], rules: Trust = RULES) -> tuple[np.ndarray, str]:
+    """(positions from address to finish, how): 'lever' where the rigid arm can be believed, else a 'mixture' of it and the constrained path by its trust.
+
+    An arm whose length is not plausible has the assumed one, in its own direction: 'assumed'.
+    """
     lo, hi = span
     part = slice(lo, hi + 1)
-    arm, rank, rms = arm_of(t[part], q[part], gyro[part], accel[part])
-    lever = lever_positions(q[part], arm)
-    if hi - lo + 1 < 16:
-        return lever, "lever"
+    arm, rank, rms = E.arm_of(t[part], q[part], gyro[part], accel[part])
+    belief = arm_trust(arm, rank, rms, rules)
+    size = float(np.linalg.norm(arm))
+    plausible = rules.shortest <= size <= rules.longest
+    if hi - lo + 1 < 16 or (plausible and belief >= rules.alone):
+        return lever_positions(q[part], arm), "lever"
+    if not plausible:
+        return lever_positions(q[part], arm / max(size, 1e-9) * rules.assumed if size > 1e-9 else np.array([0.0, 0.0, -rules.assumed])), "assumed"
     rest = rest_mask(gyro[part], accel[part], 1 / max(float(np.median(np.diff(t))), 1e-6))
     rest[[0, -1]] = True
     path = constrained(t[part], world_acceleration(q[part], accel[part]), rest)
-    extent = lambda p: float(np.linalg.norm(p.max(axis=0) - p.min(axis=0)))
-    r, wide, near = float(np.linalg.norm(arm)), extent(path), extent(lever)
-    failed = (rms >= 12 and wide > 0.8 and near < 0.7 * wide) or (rms >= 15 and r < 0.95 and wide > 1) or (r < 0.35 and wide > 1.2 and near < 0.5 * wide)
-    if failed and r < 0.70:
-        arm = arm / max(r, 1e-9) * prior
-        lever = lever_positions(q[part], arm)
-        c = plane_circle(lever)
-        if c is not None:
-            off = (lever - c.center) @ c.normal
-            lever = lever - 0.25 * off[:, None] * c.normal
-        return lever, "prior"
-    if rms >= 12 or rank < 2:
-        weight = min(0.6, 0.25 + 0.15 * (rms >= 12))
-        mixed = (1 - weight) * lever + weight * (path - path[0])
-        c = plane_circle(mixed)
-        if c is not None and extent(mixed) <= 12:
-            end = mixed[-1] - c.center
-            onto = c.center + end / max(np.linalg.norm(end), 1e-9) * c.radius
-            ramp = (np.arange(len(mixed)) / (len(mixed) - 1)) ** 2
-            return mixed + 0.55 * ramp[:, None] * (onto - mixed[-1]), "mixture"
-    return lever, "lever"
+    return belief * lever_positions(q[part], arm) + (1 - belief) * (path - path[0]), "mixture"
 
 
 SCHEMA = "n long, source string, how string, rank int, rms double, radius double, span_m double, slip double, slipped boolean, normal array<double>, circle_radius double"
@@ -170,7 +153,7 @@ def trajectory_groups(d: DataFrame, keys: Sequence[str], t: str, gyro: Sequence[
             lo, hi = p[0], p[3]
             mid = (lo + hi) // 2
             path, how = hybrid(x, q, w, a, (lo, hi))
-            fit = lambda i, j: arm_of(x[i : j + 1], q[i : j + 1], w[i : j + 1], a[i : j + 1])
+            fit = lambda i, j: E.arm_of(x[i : j + 1], q[i : j + 1], w[i : j + 1], a[i : j + 1])
             arm, rank, rms = fit(lo, hi)
             row |= {"source": p[4], "how": how, "rank": rank, "rms": rms, "radius": float(np.linalg.norm(arm)), "span_m": float(np.linalg.norm(path.max(axis=0) - path.min(axis=0)))}
             if mid - lo >= 5 and hi - mid >= 5:

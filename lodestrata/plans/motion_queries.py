@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import estimators as E
-from lodestrata.operators import segmentation, trajectory
+from lodestrata.operators import evaluation, latent, segmentation, trajectory
 from lodestrata.session import Workspace, table
 from lodestrata.sources import source_code, synthetic
 from lodestrata.streaming import cues
@@ -57,13 +57,41 @@ def traj_hybrid(spark, d):
     return trajectory.trajectory_groups(_motion(spark, d), ["session_id"], "t", GYRO, ACCEL)
 
 
+def _cases(spark):
+    return synthetic.cases(spark, ["ideal", "consumer", "consumer_wrist"]).repartition(2 * spark.sparkContext.defaultParallelism)
+
+
 @query()
 def bench_events(spark, d):
-    """Errors of the four phases, in milliseconds, over synthetic swings with known phases."""
-    s = synthetic.swings(spark, 24)
-    g = segmentation.segment_groups(s, ["swing_id"], "t", ["gx", "gy", "gz"], ["ax", "ay", "az"])
-    at = s.groupBy("swing_id").agg(F.max("t").alias("end"))
-    return g.join(at, "swing_id").select("swing_id", "source", "confidence", "address", "top", "impact", "finish")
+    """Errors of the four phases in milliseconds, by level of sensor error, over synthetic swings with known phases."""
+    return evaluation.summary(evaluation.event_results(_cases(spark)))
+
+
+@query()
+def bench_orientation(spark, d):
+    """Errors of every filter in degrees, heading aligned, by level of sensor error."""
+    return evaluation.summary(evaluation.orientation_results(_cases(spark)))
+
+
+@query()
+def bench_trajectory(spark, d):
+    """Errors of three kinds of trajectory in centimetres, heading aligned, by level of sensor error."""
+    return evaluation.summary(evaluation.trajectory_results(_cases(spark)))
+
+
+@query()
+def bench_gates(spark, d):
+    """Summaries beyond their budgets: impact within 15 ms, orientation within 6 degrees, position within 17 cm."""
+    s = evaluation.event_results(_cases(spark)).unionByName(evaluation.orientation_results(_cases(spark), ["gated"])).unionByName(evaluation.trajectory_results(_cases(spark)).where("algorithm = 'hybrid'"))
+    # The budgets.
+    budgets = spark.createDataFrame([(track, level, metric, most) for track, metric, most in (("events", "impact_ms", 15.0), ("orientation", "mean_deg", 6.0), ("trajectory", "mean_cm", 17.0)) for level in ("ideal", "consumer", "consumer_wrist")], "track string, level string, metric string, max_value double")
+    return evaluation.gate_violations(evaluation.summary(s), budgets)
+
+
+@query()
+def bench_degradation(spark, d):
+    """Mean error of orientation over a sweep of scaled sensor errors."""
+    return evaluation.sweep_results(synthetic.sweep(spark).repartition(2 * spark.sparkContext.defaultParallelism)).groupBy("scale").agg(F.avg("value").alias("mean_deg"), F.count("*").alias("n"))
 
 
 @query("""WITH x AS (SELECT l_returnflag, l_quantity, l_extendedprice, l_discount FROM lineitem)
@@ -89,6 +117,40 @@ def vec_manifold_score(spark, d):
     return E.manifold_scores(table(spark, d, "embeddings"), "embedding", ["vec_id", "label"])
 
 
+@query()
+def latent_prediction(spark, d):
+    """The second half of each embedding predicted from the first, with its validity."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"))
+    m = latent.fit(e, "x", "y", (32, 32), "vec_id")
+    return latent.predict(e, m, "x", ["vec_id"]).select("vec_id", F.size("prediction").alias("places"), "residual", "validity")
+
+
+@query()
+def latent_leave_group_out(spark, d):
+    """For each label the error of a model of the other labels."""
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"))
+    labels = [r[0] for r in e.select("label").distinct().orderBy("label").limit(3).collect()]
+    return latent.held_out_groups(e, "label", "x", "y", (32, 32), "vec_id", labels)
+
+
+@query("""WITH m AS (SELECT DISTINCT swing_id, subject_pseudonym, name, value FROM metrics),
+x AS (SELECT m.subject_pseudonym AS subject, b.p50 AS x, m.value AS y FROM m JOIN ideal_bands b USING (name) WHERE m.value IS NOT NULL AND isfinite(m.value)),
+g AS (SELECT subject, count(*) AS n, stddev_pop(x) AS sd, avg(y - x) AS o, regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM x GROUP BY 1)
+SELECT subject, n, round(CASE WHEN n < 3 OR sd < 1e-6 THEN 1.0 ELSE 0.85 * a + 0.15 END, 4) AS slope, round(CASE WHEN n < 3 THEN 0.0 WHEN sd < 1e-6 THEN o ELSE 0.85 * b END, 3) AS offset_ FROM g""")
+def personal_calibration(spark, d):
+    """The line from ideal to measured values of each subject, drawn towards the identity."""
+    m = table(spark, d, "metrics").select("swing_id", F.col("subject_pseudonym").alias("subject"), "name", "value").distinct()
+    b = table(spark, d, "ideal_bands").select("name", "p50")
+    x = m.join(F.broadcast(b), "name").where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    return latent.personal_lines(x, ["subject"], "p50", "value").select("subject", "n", F.round("slope", 4).alias("slope"), F.round("offset", 3).alias("offset_"))
+
+
+@query()
+def edge_student(spark, d):
+    """The last layer of a small regression of the label on random features of the embedding."""
+    return latent.student(table(spark, d, "embeddings"), "embedding", "label", 64)
+
+
 @query()
 def source_symbols(spark, d):
     return source_code.python_symbols(table(spark, d, "files"))
@@ -110,8 +172,10 @@ def stream_session_dedupe(spark, d):
 
 
 def _rates(m):
-    w = F.sqrt(sum(F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) ** 2 for c in GYRO))
-    return m.where("t is not null and session_id is not null").select("session_id", "t", w.alias("w")).where(F.col("w") < 1e3)
+    """Angular rates of rows with a time and three finite readings; other rows are left out, as a rate of them is not known."""
+    finite = [F.abs(F.nanvl(F.col(c).cast("double"), F.lit(float("inf")))) < float("inf") for c in GYRO]
+    w = F.sqrt(sum(F.col(c).cast("double") ** 2 for c in GYRO))
+    return m.where("t is not null and session_id is not null").where(finite[0] & finite[1] & finite[2]).select("session_id", "t", w.alias("w"))
 
 
 @query()

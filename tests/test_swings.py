@@ -1,8 +1,11 @@
 import numpy as np
 import pytest
 
-from lodestrata.operators import latent, segmentation, trajectory
+from pyspark.sql import functions as F
+
 from lodestrata.operators import estimators as E
+from lodestrata.operators import evaluation, latent, segmentation, trajectory
+from lodestrata.operators import rotations as R
 from lodestrata.sources import manifest, synthetic
 
 
@@ -12,15 +15,45 @@ def swing():
 
 
 def test_generator_agrees_with_itself(swing):
-    t, p = swing["t"], swing["position"]
+    t, p, q = swing["t"], swing["position"], swing["orientation"]
     k = swing["phases"][2] - 5
-    acc = np.gradient(np.gradient(p, t, axis=0), t, axis=0)[5 : k - 5]
-    size = np.linalg.norm(acc + [0, 0, synthetic.G], axis=1)
-    assert np.allclose(size, np.linalg.norm(swing["accel"], axis=1)[5 : k - 5], atol=0.6)
-    q = E.Filter()
-    q.q, q.bias, q.before = np.array([1.0, 0, 0, 0]), np.zeros(3), np.zeros(3)
-    total = sum(np.linalg.norm(swing["gyro"][i]) for i in range(len(t))) / 200
-    assert 1.5 < total < 12
+    acc = np.gradient(np.gradient(p, t, axis=0), t, axis=0)[5 : k - 5] + [0, 0, synthetic.G]
+    assert np.allclose(R.rotate(R.conjugate(q), np.array([0, 0, 1.0]))[0], swing["accel"][0] / synthetic.G)
+    assert np.abs(R.rotate(R.conjugate(q[5 : k - 5]), acc) - swing["accel"][5 : k - 5]).max() < 2.5
+    found = E.Filter().run(t, swing["gyro"], swing["accel"])
+    assert evaluation.orientation_error(found, q).max() < 5
+
+
+def test_arm_and_paths_of_a_perfect_swing(swing):
+    q, t = swing["orientation"], swing["t"]
+    lo, hi = swing["phases"][0], swing["phases"][2] - 3
+    arm, rank, rms = E.arm_of(t[lo:hi], q[lo:hi], swing["gyro"][lo:hi], swing["accel"][lo:hi])
+    assert rank >= 2 and abs(np.linalg.norm(arm) - 0.45) < 0.05
+    path, how = trajectory.hybrid(t, q, swing["gyro"], swing["accel"], (lo, hi))
+    assert how == "lever" and evaluation.position_error(path, swing["position"][lo : hi + 1]).max() < 0.1
+    assert trajectory.hybrid(t, q, swing["gyro"], swing["accel"] * 40, (lo, hi))[1] == "assumed"
+
+
+def test_levels_of_error_grade_the_results(spark):
+    r = evaluation.summary(evaluation.orientation_results(synthetic.cases(spark, ["ideal", "worn"], 2, 2))).collect()
+    mean = {(x["algorithm"], x["level"]): x["mean"] for x in r if x["metric"] == "mean_deg"}
+    assert {x["n"] for x in r} == {4} and len(mean) == 2 * len(E.FILTERS)
+    assert mean["gyro", "ideal"] < 2 < mean["gyro", "worn"] < 60
+    e = {(x["metric"], x["level"]): x["mean"] for x in evaluation.summary(evaluation.event_results(synthetic.cases(spark, ["ideal"], 4, 2))).collect()}
+    assert e["impact_ms", "ideal"] <= 15 and e["failed", "ideal"] == 0 and e["top_ms", "ideal"] < 60
+    p = {x["algorithm"]: x["mean"] for x in evaluation.summary(evaluation.trajectory_results(synthetic.cases(spark, ["ideal"], 2, 2))).collect()}
+    assert p["hybrid"] < 30 and set(p) == {"hybrid", "lever", "rests"}
+    s = {x["scale"]: x["value"] for x in evaluation.sweep_results(synthetic.sweep(spark, (0, 3), 1), swings_each=1).collect()}
+    assert s[0.0] < s[3.0]
+
+
+def test_gates_and_case_means(spark):
+    d = spark.createDataFrame([("t", "a", "l", 0, 0, "m", 1.0), ("t", "a", "l", 0, 0, "m", 3.0), ("t", "a", "l", 0, 1, "m", 8.0), ("t", "a", "l", 0, 2, "m", float("nan"))], evaluation.RESULT)
+    s = evaluation.summary(d)
+    assert s.first()["mean"] == 4.0 and s.first()["n"] == 3
+    assert evaluation.mean_of_case_means(d.where("not isnan(value)"), ["track"], ["seed", "k"]).first()["mean"] == 5.0
+    b = spark.createDataFrame([("t", "l", "m", 3.5), ("t", "l", "other", 1.0)], "track string, level string, metric string, max_value double")
+    assert {(r["metric"], r["mean"]) for r in evaluation.gate_violations(s, b).collect()} == {("m", 4.0), ("other", None)}
 
 
 def test_phases_lie_near_the_truth(swing):
@@ -82,16 +115,27 @@ def test_slip():
     assert trajectory.slip_score([(e[0], 3), (e[1], 3)], e[0])[1]
 
 
-def test_latent_regression_and_validity():
+def test_latent_regression_and_validity(spark):
     r = np.random.default_rng(0)
-    z = r.standard_normal((200, 3))
-    x, y = z @ r.standard_normal((3, 20)) + 0.01 * r.standard_normal((200, 20)), z @ r.standard_normal((3, 6))
-    m = latent.fit(x, y)
-    got, _, validity = m.predict(x)
-    assert np.abs(got - y).mean() < 0.1 and validity.count("ok") > 150
-    assert m.predict(np.full((1, 20), 1e6))[2] != ["ok"]
-    assert latent.personal_line(np.array([1.0, 2]), np.array([1.0, 2])) == (1.0, 0.0)
-    assert latent.personal_line(np.ones(5), np.full(5, 3.0)) == (1.0, 2.0)
+    z = r.standard_normal((400, 3))
+    x, y = z @ r.standard_normal((3, 20)) + 0.01 * r.standard_normal((400, 20)), z @ r.standard_normal((3, 6))
+    d = spark.createDataFrame([(i, a.tolist(), b.tolist(), "clash") for i, (a, b) in enumerate(zip(x, y))] + [(900, None, [0.0] * 6, ""), (901, [float("nan")] * 20, [0.0] * 6, "")], "id int, x array<double>, y array<double>, residual string")
+    m = latent.fit(d, "x", "y", (20, 6), "id")
+    got = latent.predict(d.where("id < 900"), m, "x", ["id", "y"]).collect()
+    assert np.mean([np.abs(np.subtract(g["prediction"], g["y"])).mean() for g in got]) < 0.1
+    assert sum(g["validity"] == "ok" for g in got) > 300
+    far = spark.createDataFrame([(1, [1e6] * 20)], "id int, x array<double>")
+    assert latent.predict(far, m, "x", ["id"]).first()["validity"] == "abstain"
+    with pytest.raises(ValueError, match="no rows"):
+        latent.fit(d.where("id > 1000"), "x", "y", (20, 6), "id")
+    out = latent.held_out_groups(d.where("id < 400").withColumn("g", (F.col("id") % 2).cast("string")), "g", "x", "y", (20, 6), "id", ["0", "1"]).collect()
+    assert {g["g"]: g["n"] for g in out} == {"0": 200, "1": 200} and all(g["mean_abs_error"] < 0.2 for g in out)
+
+
+def test_personal_lines(spark):
+    rows = [("few", 1.0, 1.0), ("few", 2.0, 9.0), *[("flat", 1.0, 3.0)] * 5, *[("line", float(i), 2.0 * i + 1) for i in range(6)], ("line", 1.0, float("nan")), ("line", None, 1.0), ("none", None, None)]
+    got = {r["k"]: (r["n"], round(r["slope"], 9), round(r["offset"], 9)) for r in latent.personal_lines(spark.createDataFrame(rows, "k string, p double, m double"), ["k"], "p", "m").collect()}
+    assert got == {"few": (2, 1.0, 0.0), "flat": (5, 1.0, 2.0), "line": (6, 1.85, 0.85), "none": (0, 1.0, 0.0)}
 
 
 def test_errors_in_order(swing):
@@ -106,9 +150,9 @@ def test_swings_sweep_and_latent_on_spark(spark, data):
     assert s.select("swing_id").distinct().count() == 3
     assert synthetic.sweep(spark).count() == 30
     e = spark.read.parquet(f"{data}/embeddings.parquet")
-    x = np.vstack([r["embedding"] for r in e.select("embedding").limit(100).collect()]).astype(float)
-    m = latent.fit(x, x[:, :5])
+    m = latent.fit(e.withColumn("y", F.slice("embedding", 1, 5)), "embedding", "y", (64, 5), "vec_id")
     assert latent.predict(e, m, "embedding", ["vec_id"]).count() == e.count()
+    assert len(latent.student(e, "embedding", "label", 64, width=8).first()["coefficients"]) == 8
     assert len(latent.random_features(e, "embedding", 64).first()["hidden"]) == 128
 
 
