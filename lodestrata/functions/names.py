@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words of a requirement that are no keywords.
-STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "into")
+STOP_WORDS = ("the", "and", "for", "with", "this", "that", "from", "import")
 
 
 def normalize(c: Column) -> Column:
@@ -33,9 +33,9 @@ def match_score(query: str, name: Column) -> Column:
 
 
 def keywords(text: Column) -> Column:
-    """CamelCase words, snake_case words and back-ticked ones, longer than two, without stop words, each once."""
-    camel = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:[A-Z][a-z]+)+)(?![A-Za-z0-9_])"), 1)
-    snake = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([a-z]+(?:_[a-z]+)+)(?![A-Za-z0-9_])"), 1)
+    """Capitalised and CamelCase words, snake_case words and back-ticked ones, longer than two, without stop words, each once."""
+    camel = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]+(?:[A-Z][a-z]+)*)(?![A-Za-z0-9_])"), 1)
+    snake = F.regexp_extract_all(text, F.lit(r"(?<![A-Za-z0-9_])([a-z]+_[a-z_]+)(?![A-Za-z0-9_])"), 1)
     ticked = F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), 1)
     found = F.array_distinct(F.concat(camel, snake, ticked))
     return F.filter(found, lambda w: (F.length(w) > 2) & ~F.lower(w).isin(*STOP_WORDS))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.functions.names import module_of
 from lodestrata.functions.predicates import where
 from lodestrata.session import Workspace
 
@@ -95,22 +97,65 @@ class PropertyGraph:
         c = c.join(text(part(holds, "src", "dst").where("other_label = 'method'"), "methods"), "id", "left")
         return c.select("id", "name", *(F.coalesce(x, F.lit("")).alias(x) for x in ("parents", "children", "methods")))
 
-    def impact(self, rels: Sequence[str]) -> DataFrame:
-        """(id, affected, kind): 'direct' for sources of an edge into a node, 'indirect' one hop further and not direct."""
+    def impact(self, rels: Sequence[str] = ("calls", "extends", "implements"), further: Sequence[str] = ("calls",)) -> DataFrame:
+        """(id, affected, kind): 'direct' for sources of an edge of rels into a node, 'indirect' one hop of further away and not direct.
+
+        The result is all pairs; a node that a great part of all edges enter has as many rows, spread by both ends.
+        """
         e = self.edges.where(F.col("rel").isin(list(rels))).select("src", "dst").distinct()
         direct = self.nodes.select("id").join(e, F.col("id") == F.col("dst")).select("id", F.col("src").alias("affected")).distinct()
-        e2 = e.select(F.col("dst").alias("affected"), F.col("src").alias("further"))
+        e2 = self.edges.where(F.col("rel").isin(list(further))).select(F.col("dst").alias("affected"), F.col("src").alias("further")).distinct()
         more = direct.join(e2, "affected").select("id", F.col("further").alias("affected")).distinct()
         more = more.where("id <> affected").join(direct, ["id", "affected"], "left_anti")
         return direct.withColumn("kind", F.lit("direct")).unionByName(more.withColumn("kind", F.lit("indirect")))
 
+    def tree(self, start: DataFrame, depth: int | None, rels: Sequence[str], ws: Workspace | None = None) -> DataFrame:
+        """(id, parent, dist): the nodes within depth edges of start(id) along the relations, each once, at its least depth, below the least node that leads to it."""
+        d = self.distances(start, depth, "out", rels, ws)
+        e = self.steps("out", rels)
+        up = d.select(F.col("id").alias("a"), F.col("dist").alias("above"))
+        parents = e.join(up, "a").join(d.withColumnRenamed("id", "b"), "b").where("above = dist - 1").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"))
+        return d.join(parents, "id", "left").select("id", "parent", "dist")
+
+    def affected(self, start: DataFrame, hops: int = 2) -> DataFrame:
+        """(id, dist): nodes that depend on start(id), at most hops edges against their direction."""
+        return self.distances(start, hops, "in").where("dist > 0")
+
+    def modules(self, path: str = "file_path") -> DataFrame:
+        """(parent, child, depth): the tree of dotted module names of the nodes' files; a child is the longer name, a top one has a null parent."""
+        m = self.nodes.select(module_of(F.col(path)).alias("m")).where("m is not null").distinct()
+        parts = F.split("m", r"\.")
+        x = m.select(parts.alias("p"), F.explode(F.sequence(F.lit(1), F.size(parts))).alias("depth"))
+        name = lambda n: F.array_join(F.slice("p", F.lit(1), n), ".")
+        return x.select(F.when(F.col("depth") > 1, name(F.col("depth") - 1)).alias("parent"), name(F.col("depth")).alias("child"), "depth").distinct()
+
+    def export(self) -> DataFrame:
+        """(kind, id, label, src, dst, rel): nodes and edges as one table, the form in which a graph is stored and read again."""
+        n = self.nodes.select(F.lit("node").alias("kind"), "id", "label", *(F.lit(None).cast("string").alias(c) for c in ("src", "dst", "rel")))
+        e = self.edges.select(F.lit("edge").alias("kind"), *(F.lit(None).cast("string").alias(c) for c in ("id", "label")), "src", "dst", "rel")
+        return n.unionByName(e)
+
+    def dot(self) -> DataFrame:
+        """(part, line): the graph as lines of a DOT file, to be written in order of part; quotes in names are escaped."""
+        q = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+        n = self.nodes.select(F.lit(1).alias("part"), F.concat(q("id"), F.lit(" [label="), q("name"), F.lit("];")).alias("line"))
+        e = self.edges.select(F.lit(2).alias("part"), F.concat(q("src"), F.lit(" -> "), q("dst"), F.lit(" [label="), q("rel"), F.lit("];")).alias("line"))
+        ends = self.nodes.sparkSession.createDataFrame([(0, "digraph {"), (3, "}")], "part int, line string")
+        return ends.unionByName(n).unionByName(e)
+
+    def upsert(self, nodes: DataFrame, edges: DataFrame) -> PropertyGraph:
+        """The graph with nodes replaced by those of the same id, and edges added that it does not have."""
+        kept = self.nodes.join(nodes.select("id"), "id", "left_anti")
+        new = edges.select("src", "dst", "rel").distinct().join(self.edges, ["src", "dst", "rel"], "left_anti")
+        return PropertyGraph(kept.unionByName(nodes, allowMissingColumns=True), self.edges.select("src", "dst", "rel").unionByName(new))
+
     def steps(self, direction: str, rels: Sequence[str] | None = None) -> DataFrame:
         e = self.edges if rels is None else self.edges.where(F.col("rel").isin(list(rels)))
         out, back = e.select(F.col("src").alias("a"), F.col("dst").alias("b")), e.select(F.col("dst").alias("a"), F.col("src").alias("b"))
         return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
 
-    def distances(self, start: DataFrame, depth: int, direction: str = "both", rels: Sequence[str] | None = None, ws: Workspace | None = None) -> DataFrame:
-        """(id, dist): nodes at most depth edges from start(id), breadth first; each round joins the new frontier only.
+    def distances(self, start: DataFrame, depth: int | None, direction: str = "both", rels: Sequence[str] | None = None, ws: Workspace | None = None) -> DataFrame:
+        """(id, dist): nodes at most depth edges from start(id), all that can be reached where depth is None; breadth first, each round joins the new frontier only.
 
         The true neighbourhood: a node counts with its least distance. A start that is no node is left out, as are ends that are none.
         """
@@ -118,7 +163,7 @@ class PropertyGraph:
         nodes = self.nodes.select("id").distinct()
         steps = self.steps(direction, rels)
         seen = frontier = ws.save(nodes.join(start.select("id").distinct(), "id", "left_semi").withColumn("dist", F.lit(0)), "d0")
-        for k in range(1, depth + 1):
+        for k in count(1) if depth is None else range(1, depth + 1):
             nxt = frontier.join(steps, frontier["id"] == steps["a"]).select(F.col("b").alias("id")).distinct()
             nxt = nxt.join(seen.select("id"), "id", "left_anti").join(nodes, "id", "left_semi").withColumn("dist", F.lit(k))
             frontier = ws.save(nxt, f"d{k}")
@@ -163,6 +208,15 @@ class PropertyGraph:
             all_ = all_.unionByName(new)
 
 
+def save_json(graph: PropertyGraph, path: str) -> None:
+    graph.export().write.mode("overwrite").json(path)
+
+
+def load_json(spark: SparkSession, path: str) -> PropertyGraph:
+    d = spark.read.schema("kind string, id string, label string, src string, dst string, rel string").json(path)
+    return PropertyGraph(d.where("kind = 'node'").select("id", "label", F.col("id").alias("name")), d.where("kind = 'edge'").select("src", "dst", "rel"))
+
+
 def code_graph(symbols: DataFrame, files: DataFrame, edges: DataFrame) -> PropertyGraph:
     """Modules and their symbols; relations in lower case, repeated edges once."""
     s = symbols.where("file_path is not null and name is not null").groupBy("file_path", "name").agg(F.min("node_type").alias("label"), F.min("start_line").alias("start_line"), F.min("end_line").alias("end_line"), F.min("docstring").alias("docstring"))
@@ -214,18 +268,45 @@ class TaskGraph:
         """Tasks that depend, however far, on a failed one and are not finished themselves."""
         g = PropertyGraph(self.tasks.select("id"), self.deps.select(F.col("depends_on").alias("src"), F.col("task_id").alias("dst"), F.lit("before").alias("rel")))
         failed = self.tasks.where("status = 'failed'").select("id")
-        reached = g.distances(failed, depth=10_000, direction="out").where("dist > 0").select("id")
+        reached = g.distances(failed, depth=None, direction="out").where("dist > 0").select("id")
         return self.tasks.join(reached, "id", "left_semi").where("status not in ('completed', 'failed')").select("id")
 
     def critical_path(self) -> DataFrame:
-        """(id, cost): the greatest sum of tokens (at least 1 each) of tasks before each one, along one chain; its own excluded."""
+        """(id, cost, path): the greatest sum of tokens (at least 1 each) of tasks before each one along one chain, and that chain to the task; the least one of several."""
         ws = Workspace(self.tasks.sparkSession)
         deps, lv = self._known(), self.levels()
         t = ws.save(self.tasks.join(lv, "id").select("id", F.when(F.col("tokens") > 0, F.col("tokens")).otherwise(1).cast("long").alias("w"), "level"), "t")
         top = t.agg(F.max("level")).first()[0] or 0
-        done = t.where("level = 0").select("id", "w", F.lit(0).cast("long").alias("cost"))
+        done = t.where("level = 0").select("id", "w", F.lit(0).cast("long").alias("cost"), F.array("id").alias("path"))
         for k in range(1, top + 1):
             d = deps.join(t.where(F.col("level") == k).select(F.col("id").alias("task_id"), F.col("w").alias("own")), "task_id")
-            nxt = d.join(done.select(F.col("id").alias("depends_on"), (F.col("cost") + F.col("w")).alias("through")), "depends_on").groupBy(F.col("task_id").alias("id"), F.col("own").alias("w")).agg(F.max("through").alias("cost"))
-            done = ws.save(done.unionByName(nxt), f"p{k}")
-        return done.select("id", "cost")
+            best = F.min_by(F.struct("through", "path"), F.struct(-F.col("through"), "path"))
+            nxt = d.join(done.select(F.col("id").alias("depends_on"), (F.col("cost") + F.col("w")).alias("through"), "path"), "depends_on").groupBy(F.col("task_id").alias("id"), F.col("own").alias("w")).agg(best.alias("b"))
+            nxt = ws.save(nxt.select("id", "w", F.col("b.through").alias("cost"), F.concat("b.path", F.array("id")).alias("path")), f"p{k}")
+            done = done.unionByName(nxt)
+        return done.select("id", "cost", "path")
+
+    def validate(self) -> DataFrame:
+        """(rule, task_id): unknown dependencies, dependencies on oneself and tasks on or behind a cycle."""
+        unknown = self.unknown().select(F.lit("unknown dependency").alias("rule"), "task_id")
+        own = self.deps.where("task_id = depends_on").select(F.lit("depends on itself").alias("rule"), "task_id")
+        return unknown.unionByName(own).unionByName(self.levels().where("level < 0").select(F.lit("cycle").alias("rule"), F.col("id").alias("task_id"))).distinct()
+
+    def complete(self, ids: DataFrame) -> TaskGraph:
+        """The graph with the tasks of ids(id) completed."""
+        return self._marked(ids, "completed")
+
+    def fail(self, ids: DataFrame) -> TaskGraph:
+        """The graph with the tasks of ids(id) failed and all that wait for them blocked."""
+        g = self._marked(ids, "failed")
+        return g._marked(g.blocked(), "blocked")
+
+    def _marked(self, ids: DataFrame, status: str) -> TaskGraph:
+        t = self.tasks.join(ids.select("id", F.lit(True).alias("__m")).distinct(), "id", "left")
+        return TaskGraph(t.withColumn("status", F.when(F.col("__m"), status).otherwise(F.col("status"))).drop("__m"), self.deps)
+
+    def without(self, ids: DataFrame) -> TaskGraph:
+        """The graph without the tasks of ids(id) and their dependencies."""
+        gone = ids.select("id").distinct()
+        deps = self.deps.join(gone.withColumnRenamed("id", "task_id"), "task_id", "left_anti").join(gone.withColumnRenamed("id", "depends_on"), "depends_on", "left_anti")
+        return TaskGraph(self.tasks.join(gone, "id", "left_anti"), deps.select("task_id", "depends_on"))

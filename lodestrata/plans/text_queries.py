@@ -74,8 +74,8 @@ def text_content_grep(spark, d):
 
 
 @query(r"""
-WITH k AS (SELECT doc_id, unnest(list_distinct(list_concat(list_concat(regexp_extract_all(text, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\b', 1), regexp_extract_all(text, '\b([a-z]+(?:_[a-z]+)+)\b', 1)), regexp_extract_all(text, '`([^`\n]+)`', 1)))) AS keyword FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, keyword FROM k WHERE length(keyword) > 2 AND lower(keyword) NOT IN ('the', 'and', 'for', 'with', 'from', 'this', 'that', 'into')""")
+WITH k AS (SELECT doc_id, unnest(list_distinct(list_concat(list_concat(regexp_extract_all(text, '\b([A-Z][a-z]+(?:[A-Z][a-z]+)*)\b', 1), regexp_extract_all(text, '\b([a-z]+_[a-z_]+)\b', 1)), regexp_extract_all(text, '`([^`\n]+)`', 1)))) AS keyword FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, keyword FROM k WHERE length(keyword) > 2 AND lower(keyword) NOT IN ('the', 'and', 'for', 'with', 'this', 'that', 'from', 'import')""")
 def text_keyword_extract(spark, d):
     return T.keyword_rows(table(spark, d, "documents"), "text", ["doc_id"])
 

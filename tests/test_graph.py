@@ -45,3 +45,32 @@ def test_task_levels_of_a_diamond_and_a_cycle(spark):
     assert ids(g.unknown(), "depends_on") == ["nobody"]
     assert {r["id"]: r["cost"] for r in g.critical_path().collect()} == {"a": 0, "b": 2, "c": 2, "d": 4}
     assert g.ready().count() == 0
+
+
+def test_tree_holds_each_node_once(spark):
+    g = graph(spark)
+    got = {(r["id"], r["parent"], r["dist"]) for r in g.tree(spark.createDataFrame([("e",)], "id string"), 5, ["calls"]).collect()}
+    assert got == {("e", None, 0), ("d", "e", 1), ("a", "d", 2)}
+    assert {(r["id"], r["dist"]) for r in g.affected(spark.createDataFrame([("a",)], "id string")).collect()} == {("c", 1), ("d", 1), ("b", 2), ("e", 2)}
+
+
+def test_upsert_replaces_nodes_and_adds_edges_once(spark):
+    g = graph(spark).upsert(spark.createDataFrame([("a", "class", "new"), ("z", "class", "Z")], "id string, label string, name string"), spark.createDataFrame([("a", "b", "extends"), ("z", "a", "calls"), ("z", "a", "calls")], "src string, dst string, rel string"))
+    assert {r["id"]: r["name"] for r in g.nodes.collect()}["a"] == "new" and g.nodes.count() == 7 and g.edges.count() == 8
+
+
+def test_failing_blocks_what_waits_and_completing_readies(spark):
+    t = spark.createDataFrame([(f"t{i}", "pending", i, 1) for i in range(40)], "id string, status string, priority int, tokens int")
+    g = TaskGraph(t, spark.createDataFrame([(f"t{i}", f"t{i - 1}") for i in range(1, 40)], "task_id string, depends_on string"))
+    one = spark.createDataFrame([("t3",)], "id string")
+    s = {r["id"]: r["status"] for r in g.fail(one).tasks.collect()}
+    assert s["t3"] == "failed" and s["t39"] == "blocked" and s["t2"] == "pending"
+    assert ids(g.complete(spark.createDataFrame([("t0",)], "id string")).ready()) == ["t1"]
+    assert ids(g.without(one).ready()) == ["t0", "t4"]
+    assert g.validate().count() == 0
+
+
+def test_critical_path_is_the_least_of_the_longest(spark):
+    t = spark.createDataFrame([(x, "pending", 1, 2) for x in "abcd"], "id string, status string, priority int, tokens int")
+    g = TaskGraph(t, spark.createDataFrame([("b", "a"), ("c", "a"), ("d", "b"), ("d", "c")], "task_id string, depends_on string"))
+    assert {r["id"]: "".join(r["path"]) for r in g.critical_path().collect()} == {"a": "a", "b": "ab", "c": "ac", "d": "abd"}
