@@ -78,3 +78,13 @@ def test_documents(spark):
 
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_audit_tells_broken_containers(spark):
+    d = spark.createDataFrame([(i, "word " * (i % 50 + 1)) for i in range(60)], "doc_id long, text string")
+    counts = P.token_counts(d, "doc_id", "text", P.VOCABULARY)
+    good = P.pack(d, capacity=64)
+    assert all(r["holds"] for r in P.audit(good, counts, 64, 0.3).collect())
+    bad = {r["rule"] for r in P.audit(good.where("doc_id <> 7"), counts, 64, 0.3).collect() if not r["holds"]}
+    assert "every token once" in bad
+    assert "no container over capacity" in {r["rule"] for r in P.audit(good.selectExpr("0L as container_id", "doc_id", "piece", "n_tokens", "place"), counts, 64).collect() if not r["holds"]}
