@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestrata.plans import graph_queries, motion_queries, problems, series_queries, stats_queries, text_queries
+from lodestrata.plans import graph_queries, measure_queries, motion_queries, problems, series_queries, stats_queries, text_queries
 
-MODULES = (problems, graph_queries, text_queries, series_queries, stats_queries, motion_queries)
+MODULES = (problems, graph_queries, text_queries, series_queries, stats_queries, measure_queries, motion_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
