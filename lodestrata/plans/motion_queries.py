@@ -153,12 +153,37 @@ def edge_student(spark, d):
 
 @query()
 def source_symbols(spark, d):
-    return source_code.python_symbols(table(spark, d, "files"))
+    """Symbols found in the sources themselves, in five languages."""
+    return source_code.symbols(table(spark, d, "files"))
 
 
 @query()
 def source_imports(spark, d):
-    return source_code.python_imports(table(spark, d, "files"))
+    return source_code.imports(table(spark, d, "files"))
+
+
+@query()
+def source_exports(spark, d):
+    return source_code.exports(table(spark, d, "files"))
+
+
+@query()
+def source_relations(spark, d):
+    """Calls, instantiations, inheritance and decorations found in the sources."""
+    return source_code.relations(table(spark, d, "files"))
+
+
+@query()
+def source_import_resolution(spark, d):
+    """The file each import means."""
+    f = table(spark, d, "files")
+    return source_code.resolve_imports(source_code.imports(f), f)
+
+
+@query()
+def source_graph_edges(spark, d):
+    """Edges of the graph built from sources alone."""
+    return source_code.source_graph(table(spark, d, "files"))[1]
 
 
 def _stream(spark, d, name):

@@ -71,7 +71,7 @@ def test_source_scan_and_symbols(spark, tmp_path):
     (tmp_path / "bad.py").write_text("def (:\n")
     f = source_code.scan_tree(spark, str(tmp_path), [".py"])
     assert f.count() == 2
-    s = {(r["name"], r["node_type"], r["parent"]) for r in source_code.python_symbols(f).collect()}
+    s = {(r["name"], r["node_type"], r["parent"]) for r in source_code.symbols(f).collect()}
     assert s == {("A", "class", None), ("m", "method", "A"), ("inner", "function", "m")}
-    assert {(r["module"], r["name"]) for r in source_code.python_imports(f).collect()} == {("os", None), ("sys", None), (".", "b")}
+    assert {(r["module"], r["name"]) for r in source_code.imports(f).collect()} == {("os", None), ("sys", None), (".", "b")}
     assert source_code.stale(f, f.where("file_path like '%a.py'")).count() == 1
