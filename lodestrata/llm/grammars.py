@@ -10,7 +10,8 @@ import re
 import sys
 import warnings
 
-from lodestrata.llm.lexing import _JS, _REGEX, _TEMPLATE, SCRIPT, _is_value, tokenize
+from lodestrata.functions.code import _REGEX, _TEMPLATE, SCRIPT, tokenize
+from lodestrata.llm.lexing import _JS, _is_value
 
 END = "\0"
 _JSX = re.compile(_JS.pattern + "|(?P<less><)")

@@ -9,33 +9,22 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import lru_cache, reduce
-
-# Extensions of the languages.
-EXTENSIONS = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "tsx": "typescript", "ts": "typescript", "mts": "typescript", "cts": "typescript", "go": "go", "java": "java"}
-CHUNK_CHARS = 4096
-PAIRS = {")": "(", "]": "[", "}": "{"}
-SCRIPT = ("javascript", "typescript")
+from functools import reduce
 
+from lodestrata.functions.code import _C_LINE, _CHR, _REGEX, _STR, _TEMPLATE, BEFORE_VALUE, PAIRS, SCRIPT
 
-def language_of(path: str | None) -> str | None:
-    return EXTENSIONS.get(path.rsplit(".", 1)[-1].lower()) if path and "." in path else None
-
+CHUNK_CHARS = 4096
 
 # ---------------------------------------------------------------- chunks
 
-_C_LINE, _STR, _CHR = r"//[^\n]*", r"\"(?:[^\"\\\n]|\\[\s\S])*+\"", r"'(?:[^'\\\n]|\\[\s\S])*+'"
 _PY = re.compile(rf"#[^\n]*|(?P<q>'''|\"\"\")|{_STR}|{_CHR}|(?P<open>['\"])|(?P<b>[()\[\]{{}}])")
 _GO = re.compile(rf"{_C_LINE}|(?P<q>/\*|`)|{_STR}|{_CHR}|(?P<open>['\"])|(?P<b>[()\[\]{{}}])")
 _JAVA = re.compile(rf"{_C_LINE}|(?P<q>/\*|\"\"\")|{_STR}|{_CHR}|(?P<open>['\"])|(?P<b>[()\[\]{{}}])")
-REGEX = r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*"
 _JS = re.compile(rf"(?P<line>{_C_LINE})|(?P<q>/\*|`)|{_STR}|{_CHR}|(?P<open>['\"])|(?P<b>[()\[\]{{}}])|(?P<slash>/)")
-_REGEX, _LAST_WORD = re.compile(REGEX), re.compile(r"[\w$]+$")
+_LAST_WORD = re.compile(r"[\w$]+$")
 _RULES = {"python": _PY, "go": _GO, "java": _JAVA, "javascript": _JS, "typescript": _JS}
 _ENDS = {"'''": re.compile(r"(?:[^\\']|\\[\s\S]|'(?!''))*+'''"), '"""': re.compile(r'(?:[^\\"]|\\[\s\S]|"(?!""))*+"""'), "/*": re.compile(r"[\s\S]*?\*/")}
-_GO_RAW, _TEMPLATE = re.compile(r"[^`]*`"), re.compile(r"(?:[^\\`$]|\\[\s\S]|\$(?!\{))*+(`|\$\{)")
-#: Words after which a slash begins a regular expression.
-BEFORE_VALUE = frozenset("return typeof case in of delete void throw new instanceof else do yield await".split())
+_GO_RAW = re.compile(r"[^`]*`")
 STATES = {"python": ("code", "'''", '"""'), "go": ("code", "/*", "`"), "java": ("code", "/*", '"""'), "javascript": ("code", "value", "/*", "`"), "typescript": ("code", "value", "/*", "`")}
 
 
@@ -158,121 +147,3 @@ def chunks(text: str, size: int = CHUNK_CHARS) -> list[str]:
         out.append(text[at:end])
         at = end
     return out or [""]
-
-
-# ---------------------------------------------------------------- tokens
-
-@dataclass
-class Tokens:
-    """Tokens of a text: kind, text, start and end, and whether a line ends before each.
-
-    Kinds: w word, n number, s string, t template without code, T template part before code, r regular expression,
-    o operator or bracket, c comment, x unknown. Comments are in comments only.
-    """
-
-    kind: list[str]
-    text: list[str]
-    start: list[int]
-    end: list[int]
-    newline: list[bool]
-    comments: list[tuple[int, int]]
-    bad: bool = False
-
-
-_OPS_C = r">=|<<=?|=>|==+|!==?|&&=?|\|\|=?|\?\?=?|\?\.(?!\d)|\*\*=?|\+\+|--|->|::|:=|<-|<=|\.\.\.|&\^=?|[-+*/%&|^!~=<>?:;,.()\[\]{}@]=?(?<![>=?:;,.()\[\]{}@~]=)|[-+*/%&|^!~=<>?:;,.()\[\]{}@]"
-_NUM = r"(?:0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)[a-zA-Z]?"
-_WORD = r"(?:[^\W\d]|\$)[\w$]*+"
-_COMMENT = r"//[^\n]*+|/\*[\s\S]*?\*/"
-
-
-def _token_rule(blank: str, word: str, number: str, string: str, template: str = "") -> re.Pattern:
-    """Blanks and the token after them; l is a line end with the blank lines that follow."""
-    return re.compile(rf"[{blank}]*+(?:(?P<w>{word})|(?P<n>{number})|(?P<s>{string})|{template}(?P<c>{_COMMENT})|(?P<o>{_OPS_C})|(?P<l>\n[\n{blank}]*+)|\Z|(?P<x>.))")
-
-
-_TOKEN = {
-    "javascript": _token_rule(" \t\r\f\v\u00a0\ufeff", "#?(?:[^\\W\\d]|[$])[\\w$\u200c\u200d]*+", rf"(?<![\w$]){_NUM}n?", f"{_STR}|{_CHR}", "(?P<t>`)|"),
-    "go": _token_rule(" \t\r\ufeff", r"[^\W\d]\w*+", f"{_NUM}i?", f"{_STR}|{_CHR}|`[^`]*+`"),
-    "java": _token_rule(" \t\r\f\ufeff", _WORD, f"{_NUM}[lLfFdD]?", rf"\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*+\"\"\"|{_STR}|{_CHR}"),
-}
-_TOKEN["typescript"] = _TOKEN["javascript"]
-
-
-@lru_cache(maxsize=1)
-def tokenize(text: str, language: str) -> Tokens:
-    """Tokens of a text in one of the languages with braces; those of the last text are kept, as its grammar and its headers both need them."""
-    rule, script = _TOKEN[language], language in SCRIPT
-    out = Tokens([], [], [], [], [], [])
-    k, t, a, z, nl = out.kind, out.text, out.start, out.end, out.newline
-    at, n, line, braces = 0, len(text), False, []
-
-    def put(kind: str, s: str, b: int, e: int) -> None:
-        nonlocal line
-        k.append(kind)
-        t.append(s)
-        a.append(b)
-        z.append(e)
-        nl.append(line)
-        line = False
-
-    def template(b: int, begin: int) -> int:
-        m = _TEMPLATE.match(text, begin)
-        if not m:
-            out.bad = True
-            return n
-        put("T" if m.group(1) == "${" else "t", "`", b, m.end())
-        if m.group(1) == "${":
-            braces.append(1)
-        return m.end()
-
-    match = rule.match
-    while at < n:
-        m = match(text, at)
-        kind = m.lastgroup
-        if kind == "w":
-            k.append("w")
-            t.append(m.group("w"))
-            b, at = m.span("w")
-            a.append(b)
-            z.append(at)
-            nl.append(line)
-            line = False
-            continue
-        if kind is None:
-            break
-        b, at = m.span(kind)
-        if kind == "l":
-            line = True
-        elif kind == "c":
-            out.comments.append((b, at))
-            line = line or text.find("\n", b, at) >= 0
-        elif kind == "t":
-            at = template(b, at)
-        elif kind == "x":
-            out.bad = True
-            put("x", m.group(kind), b, at)
-        elif kind == "o":
-            s = m.group(kind)
-            if script and s in ("/", "/="):
-                last = k[-1] if k else ""
-                value = last in ("n", "s", "t", "r") or (last == "w" and t[-1] not in BEFORE_VALUE) or (last == "o" and t[-1] in (")", "]", "}"))
-                if not value and (r := _REGEX.match(text, b)):
-                    at = r.end()
-                    put("r", "/r", b, at)
-                    continue
-            if braces:
-                if s == "{":
-                    braces[-1] += 1
-                elif s == "}":
-                    braces[-1] -= 1
-                    if not braces[-1]:
-                        braces.pop()
-                        put("o", "}`", b, at)
-                        at = template(b, at)
-                        continue
-            put("o", s, b, at)
-        else:
-            put(kind, '"' if kind == "s" else "0", b, at)
-    if braces:
-        out.bad = True
-    return out

@@ -62,90 +62,49 @@ def price_best(lengths: np.ndarray, value: np.ndarray, demand: np.ndarray, capac
     return out
 
 
-def _complete(chosen: list, lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list, int]:
-    """(patterns, number of containers from chosen): chosen configurations as far as the demand goes, then the rest, longest first."""
-    left = demand.copy()
-    patterns: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    for key, amount in chosen:
-        n = min(amount, *(int(left[j]) // k for j, k in key))
-        if n > 0:
-            patterns.append((key, n))
-            for j, k in key:
-                left[j] -= k * n
-    by_lp = sum(n for _, n in patterns)
-    while left.any():
-        room, key = capacity, []
-        at = len(lengths) - 1
-        while at >= 0 and room >= lengths[0]:
-            at = min(at, int(np.searchsorted(lengths, room, "right")) - 1)
-            while at >= 0 and not left[at]:
-                at -= 1
-            if at < 0:
-                break
-            k = min(int(left[at]), room // int(lengths[at]))
-            key.append((at, k))
-            room -= k * int(lengths[at])
-            at -= 1
-        n = min(int(left[j]) // k for j, k in key)
-        patterns.append((tuple(key), n))
-        for j, k in key:
-            left[j] -= k * n
-    return patterns, by_lp
-
-
 def solve(histogram: dict[int, int], capacity: int, rounds: int = 256, rate: float = 4.0, part: float = 0.5) -> Plan:
     """The plan for a histogram {length: number}, lengths from 1 to capacity; empty for none.
 
     Each round prices lengths by exp(-rate * covered share) and takes the best configuration of what is left, in whole
     containers: part of what the scarcest of its lengths allows, all of it after that many rounds, at least one. It ends
-    when every length is covered, or after four more rounds a length; what is left then is filled in longest first. Where
-    longest first alone needs fewer containers, it is the plan and lp_containers is 0. The containers cover every length,
-    so they are a primal solution; lower_bound is the best value of the dual met on the way, from prices tried on the
-    whole demand, and the linear program's value lies between them.
+    when every length is covered; each round covers a container at least, and after the first rounds it exhausts what
+    allows its configuration. So the containers are a primal solution in whole numbers, at every size of the input alike;
+    lower_bound is the best value of the dual met on the way, from prices tried on the whole demand, and the linear
+    program's value lies between them.
     """
     if not histogram:
         return Plan(*(np.zeros(0, np.int64) for _ in range(3)), 0, 0, 0.0)
     lengths = np.array(sorted(histogram), dtype=np.int64)
     demand = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    left, chosen = demand.copy(), []
+    left, rank, rows, base, r = demand.copy(), np.zeros(len(lengths), np.int64), [], 0, 0
     bound = float((lengths * demand).sum()) / capacity  # the dual with prices in proportion to the lengths
-    for r in range(rounds + 4 * len(lengths)):
-        if not left.any():
-            break
+    while left.any():
         value = lengths / capacity * np.exp(-rate * (1 - left / demand))
         if r and r % rounds == 0:
             whole = price_best(lengths, value, demand, capacity)
             bound = max(bound, float((value * demand).sum()) / sum(float(value[j]) * n for j, n in whole.items()))
         c = price_best(lengths, value, left, capacity)
-        j, a = np.array(list(c)), np.array(list(c.values()))
-        most = int((left[j] // a).min())
+        most = min(int(left[j]) // k for j, k in c.items())
         n = max(1, int(part * most)) if r < rounds else most
-        chosen.append((tuple(sorted(c.items())), n))
-        left[j] -= a * n
-    patterns, by_lp = _complete(chosen, lengths, demand, capacity)
-    # the same from nothing, in case the demand is too small for the fractions to count
-    plain, none = _complete([], lengths, demand, capacity)
-    if sum(n for _, n in plain) < sum(n for _, n in patterns):
-        patterns, by_lp = plain, none
-    rank, rows, base = np.zeros(len(lengths), np.int64), [], 0
-    for key, n in patterns:
-        for j, k in key:
+        for j, k in sorted(c.items()):
             rows.append((int(lengths[j]) * RANK_BITS + int(rank[j]), base, k))
             rank[j] += k * n
-        base += n
+            left[j] -= k * n
+        base, r = base + n, r + 1
     rows.sort()
     k, f, p = (np.array(c, dtype=np.int64) for c in zip(*rows))
-    return Plan(k, f, p, base, by_lp, bound)
+    return Plan(k, f, p, base, base, bound)
 
 
 def token_counts(docs: DataFrame, id_col: str, text: str, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens) by a public byte-level BPE; null texts have no tokens."""
+    """(doc_id, n_tokens) by a public byte-level BPE; null texts have no tokens. The vocabulary, of a fixed size, goes to the workers."""
+    with open(vocabulary, "rb") as f:
+        held = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.value.splitlines())}
         enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in b["t"]]})
@@ -162,6 +121,28 @@ def pieces(counts: DataFrame, capacity: int) -> DataFrame:
     return d.select("doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.lit(capacity).cast("long"), F.col("n_tokens") - F.col("piece") * capacity).alias("n_tokens"))
 
 
+def audit(packed: DataFrame, counts: DataFrame, capacity: int = 2048, gap: float = 0.01) -> DataFrame:
+    """(rule, holds) of what pack() gave for the tokens of token_counts(): one row a rule."""
+    c = packed.where("container_id is not null")
+    w = Window.partitionBy("container_id").orderBy("place")
+    per = c.groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    apart = c.select((F.coalesce(F.lag(F.col("place") + F.col("n_tokens")).over(w), F.lit(0)) == F.col("place")).alias("ok"))
+    items = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.countDistinct("piece").alias("kinds"))
+    want = counts.groupBy("doc_id").agg(F.sum("n_tokens").alias("want"), F.max("n_tokens").alias("longest"), F.count("*").alias("copies"))
+    both = items.join(want, "doc_id", "full")
+    rules = [
+        per.agg(F.lit("no container over capacity").alias("rule"), F.coalesce(F.max("n") <= capacity, F.lit(True)).alias("holds")),
+        per.agg(F.lit("containers near the bound").alias("rule"), (F.count("*") <= F.ceil(F.coalesce(F.sum("n"), F.lit(0)) / capacity * (1 + gap)) + 1).alias("holds")),
+        apart.agg(F.lit("places follow each other").alias("rule"), F.coalesce(F.bool_and("ok"), F.lit(True)).alias("holds")),
+        both.agg(F.lit("every token once").alias("rule"), F.coalesce(F.bool_and(F.coalesce(F.col("n") == F.col("want"), F.lit(False))), F.lit(True)).alias("holds")),
+        both.agg(F.lit("only longer items are cut").alias("rule"), F.coalesce(F.bool_and((F.col("longest") > capacity) | (F.col("pieces") == F.col("copies"))), F.lit(True)).alias("holds")),
+    ]
+    out = rules[0]
+    for r in rules[1:]:
+        out = out.unionByName(r)
+    return out
+
+
 def pack(docs: DataFrame, capacity: int = 2048, id_col: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, salts: int = 64, rounds: int = 256, ws: Workspace | None = None) -> DataFrame:
     """(container_id, doc_id, piece, n_tokens, place): every item in one container, place its first token there.
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.code import EXTENSIONS
 from lodestrata.llm import grammars, lexing
 from lodestrata.llm.lexing import Part
 from lodestrata.session import spread
@@ -19,7 +20,7 @@ _PARTS = "array<struct<entry:string,state:string,closed:string,left:string,bad:b
 def language_column(path: Column) -> Column:
     """The language of a file by its extension, which alone counts; null for others."""
     ext = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return F.coalesce(*(F.when(ext == k, F.lit(v)) for k, v in lexing.EXTENSIONS.items()))
+    return F.coalesce(*(F.when(ext == k, F.lit(v)) for k, v in EXTENSIONS.items()))
 
 
 def has_markup(path: str) -> bool:

@@ -7,13 +7,14 @@ certainly >= v. In this form merging is a union, exact in itself; an error comes
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.batches import by_groups, whole_groups
 from lodestrata.session import partitions_of
 
 #: Partitions whose summaries are merged at a time.
@@ -86,44 +87,6 @@ def levels_of(partitions: int) -> list[int]:
     return [*out, 1]
 
 
-def _starts(pdf: pd.DataFrame, group: Sequence[str]) -> np.ndarray:
-    """Where the groups of sorted rows begin; nulls are equal."""
-    new = np.zeros(len(pdf), bool)
-    new[:1] = True
-    for c in group:
-        x = pdf[c]
-        null = x.isna().to_numpy()
-        x = x.to_numpy()
-        with np.errstate(invalid="ignore"):
-            new[1:] |= ((x[1:] != x[:-1]) & ~(null[1:] & null[:-1])) | (null[1:] != null[:-1])
-    return np.flatnonzero(new)
-
-
-def _whole_groups(group: Sequence[str], f: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]):
-    """f over batches of sorted rows, cut so that no group is split; it gets the rows and where their groups begin."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for b in batches:
-            if not len(b):
-                continue
-            edge = pd.concat([held[-1].tail(1), b], ignore_index=True) if held else b
-            starts = _starts(edge, group)
-            last = int(starts[-1]) - (1 if held else 0)
-            if last <= 0 and (held or not last) and len(starts) == 1:
-                held.append(b)
-                continue
-            done = pd.concat([*held, b.iloc[:last]], ignore_index=True)
-            held = [b.iloc[last:]]
-            if len(done):
-                yield f(done, _starts(done, group))
-        if held:
-            done = pd.concat(held, ignore_index=True)
-            yield f(done, _starts(done, group))
-
-    return run
-
-
 def _merged(group: Sequence[str], step: float):
     def f(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
         v, up, down = pdf["v"].to_numpy(float), pdf["up"].to_numpy(np.int64), pdf["down"].to_numpy(np.int64)
@@ -142,11 +105,7 @@ def _merged(group: Sequence[str], step: float):
         # what is dropped adds its up to the kept one above it and its down to the one below
         return out.assign(v=v[keep], up=np.diff(np.r_[0, total[keep]]), down=np.add.reduceat(down, keep))
 
-    return _whole_groups(group, f)
-
-
-def _grouped(d: DataFrame, group: Sequence[str]) -> DataFrame:
-    return d.repartition(*group).sortWithinPartitions(*group, "v")
+    return whole_groups(group, f)
 
 
 def compress(d: DataFrame, group: Sequence[str], step: float) -> DataFrame:
@@ -157,7 +116,7 @@ def compress(d: DataFrame, group: Sequence[str], step: float) -> DataFrame:
     lower bounds, and a rank between kept values is uncertain by at most a block more. One shuffle and one sort.
     """
     d = d.select(*group, "v", "up", "down")
-    return _grouped(d, group).mapInPandas(_merged(group, step), d.schema)
+    return by_groups(d, group, ["v"]).mapInPandas(_merged(group, step), d.schema)
 
 
 def summarize(values: DataFrame, scopes: Sequence[tuple[str, tuple[str, ...]]], value: str, eps: float = 0.005) -> DataFrame:
@@ -213,5 +172,5 @@ def quantiles(summaries: DataFrame, group: Sequence[str], probs: Sequence[float]
         return pd.concat(out, ignore_index=True)
 
     types = dict(summaries.dtypes)
-    d = _grouped(summaries.select(*group, "v", "up", "down", "eps"), group)
-    return d.mapInPandas(_whole_groups(group, f), ", ".join(f"{c} {types[c]}" for c in group) + ", p double, n long, value double, eps double")
+    d = by_groups(summaries.select(*group, "v", "up", "down", "eps"), group, ["v"])
+    return d.mapInPandas(whole_groups(group, f), ", ".join(f"{c} {types[c]}" for c in group) + ", p double, n long, value double, eps double")

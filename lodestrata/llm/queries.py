@@ -99,6 +99,13 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return p8_pack(spark, d).where("container_id is not null").groupBy("container_id").agg(F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"))
 
 
+def p8_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the containers keep the rules of packing, a row a rule, over all documents."""
+    docs, ws = table(spark, d, "documents"), Workspace(spark)
+    counts = ws.save(packing.token_counts(docs, "doc_id", "text", packing.VOCABULARY), "counts")
+    return packing.audit(ws.save(packing.pack(docs), "packed"), counts)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).select("doc_id", "item_id")
 
@@ -116,7 +123,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.find_personal(table(spark, d, "documents")).select("doc_id", "redacted", F.size("spans").alias("n_found"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_rates, p3_found, p3_pairs, p5_percentiles, p5_error_audit, p6_found, p8_pack, p8_containers, p9_found, p9_leaks, p10_found, p10_redacted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_files, p1_rates, p3_found, p3_pairs, p5_percentiles, p5_error_audit, p6_found, p8_pack, p8_containers, p8_audit, p9_found, p9_leaks, p10_found, p10_redacted)}
 
 ORACLE = {
     "p5_error_audit": """
@@ -126,6 +133,7 @@ g AS (SELECT 'name' AS scope, name, CAST(NULL AS DATE) AS day, CAST(NULL AS VARC
       UNION ALL SELECT 'name_day', name, day, NULL, count(*) FROM ok GROUP BY name, day
       UNION ALL SELECT 'name_subject', name, NULL, subject, count(*) FROM ok GROUP BY name, subject)
 SELECT g.*, p, true AS within_bound FROM g, (VALUES (0.05::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.95::DOUBLE)) AS q(p)""",
+    "p8_audit": "SELECT unnest(['no container over capacity', 'containers near the bound', 'places follow each other', 'every token once', 'only longer items are cut']) AS rule, true AS holds",
     "p6_found": f"""
 WITH a AS (SELECT session_id, t, min(i) AS i FROM accel WHERE session_id IS NOT NULL AND i IS NOT NULL AND isfinite(t) GROUP BY 1, 2),
 m AS (SELECT DISTINCT session_id, i, t FROM motion WHERE session_id IS NOT NULL AND isfinite(t)),

@@ -3,6 +3,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodestrata.functions.code import language_of
 from lodestrata.llm import grammars, lexing, parsing
 
 VALID = {
@@ -72,7 +73,7 @@ def test_operator(spark):
 
 
 def decided(path, text):
-    language = lexing.language_of(path)
+    language = language_of(path)
     m, grammar = parsing.examine(text, language, path)
     return grammar if lexing.balanced([m], language) else False
 
