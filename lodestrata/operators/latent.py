@@ -171,10 +171,24 @@ def held_out_groups(d: DataFrame, group: str, x: str, y: str, sizes: tuple[int,
     return out
 
 
-def student(d: DataFrame, vector: str, target: str, size: int, keys: Sequence[str] = (), width: int = 64, penalty: float = 1e-2) -> DataFrame:
-    """(keys, n, coefficients, intercept): ridge regression of a number on the random features of a vector, the last layer of a small regression on a device."""
-    from lodestrata.operators.estimators import ridge
+def student(d: DataFrame, vector: str, target: str, size: int, width: int = 64, penalty: float = 1e-2) -> DataFrame:
+    """(n, coefficients, intercept): ridge regression of a number on the random features of a vector, the last layer of a small regression on a device; from one matrix of sums."""
+    h = random_features(d.where(F.col(target).isNotNull()), vector, size, width).select("hidden", F.col(target).cast("double").alias("y"))
 
-    names = [f"h{i}" for i in range(width)]
-    h = random_features(d, vector, size, width)
-    return ridge(h.select(*keys, *(F.col("hidden")[i].alias(n) for i, n in enumerate(names)), F.col(target).cast("double").alias("__y")), list(keys), names, "__y", penalty)
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, n = np.zeros((width + 2, width + 2)), 0
+        for b in batches:
+            if len(b):
+                z = np.c_[np.vstack(b["hidden"]), b["y"].to_numpy(float), np.ones(len(b))]
+                m, n = m + z.T @ z, n + len(z)
+        yield pd.DataFrame({"m": [m.tobytes()], "n": [n]})
+
+    m, n = added(h.mapInPandas(sums, "m binary, n long"))
+    schema = "n long, coefficients array<double>, intercept double"
+    if not n:
+        return d.sparkSession.createDataFrame([], schema)
+    m = m.reshape(width + 2, width + 2)
+    mean = m[-1, :-1] / n
+    cov = m[:-1, :-1] - n * np.outer(mean, mean)
+    w = np.linalg.solve(cov[:-1, :-1] + penalty * np.eye(width), cov[:-1, -1])
+    return d.sparkSession.createDataFrame([(n, w.tolist(), float(mean[-1] - mean[:-1] @ w))], schema)

@@ -101,7 +101,8 @@ def fuse_confidence(parts: Column, weights: Column | None = None, lo: float = 0.
     """The mean of an array of confidences, weighted where weights are given, within bounds; the default for none. Nulls do not count."""
     pairs = F.filter(F.arrays_zip(parts.alias("c"), (weights if weights is not None else F.transform(parts, lambda _: F.lit(1.0))).alias("w")), lambda x: x["c"].isNotNull() & x["w"].isNotNull())
     total = lambda f: F.aggregate(pairs, F.lit(0.0), lambda s, x: s + f(x))
-    return F.coalesce(F.least(F.greatest(F.try_divide(total(lambda x: x["c"] * x["w"]), total(lambda x: x["w"])), F.lit(lo)), F.lit(hi)), F.lit(default))
+    mean = F.try_divide(total(lambda x: x["c"] * x["w"]), total(lambda x: x["w"]))
+    return F.when(mean.isNull(), default).otherwise(F.least(F.greatest(mean, F.lit(lo)), F.lit(hi)))
 
 
 def reasons_in_order(*reasons: Column) -> Column:

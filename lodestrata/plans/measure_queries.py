@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import measures as M
+from lodestrata.operators import packets as P
 from lodestrata.session import Workspace, table
 
 QUERIES: dict = {}
@@ -275,3 +276,88 @@ def filter_subjects(spark, d):
     m = _metrics(spark, d)
     k = m.groupBy("subject").agg(F.countDistinct("swing_id").alias("n")).where("n >= 5").select("subject")
     return m.where("name = 'tempo_s' and value >= 0.5 and not isnan(value) and value < double('infinity')").join(k, "subject", "left_semi").select("swing_id", "subject", "value")
+
+
+_G = "g AS (SELECT DISTINCT session_id, i, t, CAST(gyro_x AS DOUBLE) AS x, CAST(gyro_y AS DOUBLE) AS y, CAST(gyro_z AS DOUBLE) AS z FROM motion WHERE session_id IS NOT NULL AND isfinite(t) AND isfinite(gyro_x) AND isfinite(gyro_y) AND isfinite(gyro_z))"
+
+
+def _gyro(spark, d):
+    m = table(spark, d, "motion").where("session_id is not null and t is not null and not isnan(t) and abs(t) < double('infinity')")
+    ok = [F.abs(F.nanvl(F.col(f"gyro_{c}").cast("double"), F.lit(float("inf")))) < float("inf") for c in "xyz"]
+    return m.where(ok[0] & ok[1] & ok[2]).select("session_id", "i", "t", *(F.col(f"gyro_{c}").cast("double").alias(c) for c in "xyz")).distinct()
+
+
+@query(f"""WITH {_G}, h AS (SELECT session_id, bool_or(handedness = 'left') AS l FROM captures WHERE session_id IS NOT NULL GROUP BY 1)
+SELECT g.session_id, i, round(x, 6) AS x, round(CASE WHEN l THEN y ELSE 0 - y END, 6) AS y, round(CASE WHEN l THEN z ELSE 0 - z END, 6) AS z FROM g LEFT JOIN h USING (session_id)""")
+def packet_normalize(spark, d):
+    """Rates turned by a half about x, the mount, and mirrored for left-handed wearers."""
+    h = table(spark, d, "captures").where("session_id is not null").groupBy("session_id").agg(F.bool_or(F.col("handedness") == "left").alias("l"))
+    g = _gyro(spark, d).join(h, "session_id", "left").withColumns({"ax": F.lit(0.0), "ay": F.lit(0.0), "az": F.lit(0.0)})
+    n = P.normalized(g, ["x", "y", "z"], ["ax", "ay", "az"], [F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(0.0)], F.col("l"), F.lit(False))
+    return n.select("session_id", "i", *(F.round(F.col(c) + F.lit(0.0), 6).alias(c) for c in "xyz"))
+
+
+@query(f"""WITH {_G}, r AS (SELECT * FROM g WHERE sqrt(x * x + y * y + z * z) <= 0.5),
+a AS (SELECT session_id, count(*) AS n, avg(x) AS mx, avg(y) AS my, avg(z) AS mz, avg(x * x) + avg(y * y) + avg(z * z) AS s FROM r GROUP BY 1),
+b AS (SELECT *, least(greatest(mx, -0.2), 0.2) AS bx, least(greatest(my, -0.2), 0.2) AS by_, least(greatest(mz, -0.2), 0.2) AS bz FROM a),
+c AS (SELECT *, 1 - (s - 2 * (bx * mx + by_ * my + bz * mz) + bx * bx + by_ * by_ + bz * bz) / nullif(s, 0) AS gain FROM b)
+SELECT session_id, n, round(CASE WHEN gain >= 0.05 THEN bx ELSE 0 END, 6) AS bx, round(CASE WHEN gain >= 0.05 THEN gain ELSE 0 END, 5) AS gain FROM c""")
+def packet_bounded_bias(spark, d):
+    b = P.bounded_bias(_gyro(spark, d).withColumn("w", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).where("w <= 0.5"), ["session_id"], ["x", "y", "z"], F.lit(True))
+    return b.select("session_id", "n", F.round(F.col("bias")[0], 6).alias("bx"), F.round("gain", 5).alias("gain"))
+
+
+@query(f"""WITH {_G}, u AS (SELECT session_id, t, min(x) AS x FROM g GROUP BY 1, 2), a AS (SELECT *, t - lag(t) OVER w AS dt, coalesce((x - lag(x) OVER w) / nullif(t - lag(t) OVER w, 0), 0) AS r FROM u WINDOW w AS (PARTITION BY session_id ORDER BY t)),
+b AS (SELECT *, coalesce((r - lag(r) OVER (PARTITION BY session_id ORDER BY t)) / nullif(dt, 0), 0) AS q FROM a)
+SELECT session_id, t, round(x + 2 * 0.7 / (2 * pi() * 60) * r + q / (2 * pi() * 60) ** 2, 4) AS straight FROM b""")
+def packet_without_resonance(spark, d):
+    u = _gyro(spark, d).groupBy("session_id", "t").agg(F.min("x").alias("x"))
+    return P.without_resonance(u, ["session_id"], "t", "x", 60.0, 0.7).select("session_id", "t", F.round("straight", 4).alias("straight"))
+
+
+_RATE = "w AS (SELECT session_id, t, max(sqrt(x * x + y * y + z * z)) AS w FROM g GROUP BY 1, 2)"
+
+
+def _rate(spark, d):
+    return _gyro(spark, d).groupBy("session_id", "t").agg(F.max(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))).alias("w"))
+
+
+@query(f"""WITH {_G}, {_RATE}, s AS (SELECT *, min(t) FILTER (w > 1.5) OVER (PARTITION BY session_id) AS start FROM w), p AS (SELECT session_id, arg_min(t, ROW(-w, t)) AS impact FROM w GROUP BY 1), x AS (SELECT * FROM s JOIN p USING (session_id))
+SELECT session_id, max(t) FILTER (t < start AND w <= 0.5) AS address, arg_min(t, ROW(w, t)) FILTER (t > start AND t < impact) AS top, max(impact) FILTER (start IS NOT NULL) AS impact, min(t) FILTER (t > impact AND start IS NOT NULL AND w <= 0.5) AS finish FROM x GROUP BY 1""")
+def seg_simple_phases(spark, d):
+    return P.simple_phases(_rate(spark, d), ["session_id"], "t", "w")
+
+
+@query(f"""WITH {_G}, p AS (SELECT session_id, arg_min(t, ROW(-abs(x), t)) AS tx, arg_min(t, ROW(-abs(y), t)) AS ty, arg_min(t, ROW(-abs(z), t)) AS tz FROM g GROUP BY 1),
+u AS (SELECT session_id, tx AS t, 'x' AS c FROM p UNION ALL SELECT session_id, ty, 'y' FROM p UNION ALL SELECT session_id, tz, 'z' FROM p)
+SELECT session_id, string_agg(c, ',' ORDER BY t, c) AS sequence FROM u GROUP BY 1""")
+def feature_peak_sequence(spark, d):
+    return P.peak_sequence(_gyro(spark, d), ["session_id"], "t", ["x", "y", "z"])
+
+
+@query(f"WITH {_G}, {_RATE}, m AS (SELECT *, max(w) OVER (PARTITION BY session_id) AS peak FROM w) SELECT session_id, round(max(w), 6) AS peak, arg_min(t, ROW(-w, t)) AS peak_t, round(avg(CASE WHEN w >= peak / 2 THEN 1.0 ELSE 0.0 END), 6) AS half_share FROM m GROUP BY 1")
+def feature_release_profile(spark, d):
+    return P.release_profile(_rate(spark, d), ["session_id"], "t", "w").select("session_id", F.round("peak", 6).alias("peak"), "peak_t", F.round("half_share", 6).alias("half_share"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(2.5 + 0.5 * l_quantity - 3.0 * l_discount, 6) AS proxy FROM lineitem")
+def feature_linear_proxy(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(P.linear_proxy(["l_quantity", "l_discount"], [0.5, -3.0], 2.5), 6).alias("proxy"))
+
+
+@query(f"WITH {_M}, v AS (SELECT swing_id, name, max(CAST(round(value * 1000) AS BIGINT)) AS v FROM m WHERE {_FIN} AND abs(value) < 1e12 GROUP BY 1, 2) SELECT swing_id, string_agg(name || '=' || v, ';' ORDER BY name) AS features FROM v GROUP BY 1")
+def feature_export(spark, d):
+    """The finite metrics of a swing as one text of names and thousandths, in order of name."""
+    m = _metrics(spark, d).where("value is not null and not isnan(value) and abs(value) < 1e12")
+    v = m.groupBy("swing_id", "name").agg(F.max(F.round(F.col("value") * 1000).cast("long")).alias("v"))
+    g = v.groupBy("swing_id").agg(F.array_sort(F.collect_list(F.struct("name", "v"))).alias("f"))
+    return g.select("swing_id", F.array_join(F.transform("f", lambda x: F.concat(x["name"], F.lit("="), x["v"].cast("string"))), ";").alias("features"))
+
+
+@query("SELECT session_id, CAST(count(*) AS BIGINT) AS n FROM captures WHERE session_id IS NOT NULL GROUP BY 1")
+def session_metrics_log(spark, d):
+    """Metrics of sessions, written as a JSON file each and read again."""
+    at = f"{Workspace(spark).base}/sessions"
+    g = table(spark, d, "captures").where("session_id is not null").groupBy("session_id").agg(F.count("*").alias("n"))
+    g.withColumn("part", F.pmod(F.xxhash64("session_id"), F.lit(16))).write.partitionBy("part").json(at)
+    return spark.read.schema("session_id string, n long").json(at).select("session_id", "n")

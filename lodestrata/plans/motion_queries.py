@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import estimators as E
-from lodestrata.operators import evaluation, latent, segmentation, trajectory
+from lodestrata.operators import evaluation, latent, packets, segmentation, trajectory
 from lodestrata.session import Workspace, table
 from lodestrata.sources import source_code, synthetic
 from lodestrata.streaming import cues
@@ -129,7 +129,7 @@ def latent_prediction(spark, d):
 def latent_leave_group_out(spark, d):
     """For each label the error of a model of the other labels."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 32).alias("x"), F.slice("embedding", 33, 32).alias("y"))
-    labels = [r[0] for r in e.select("label").distinct().orderBy("label").limit(3).collect()]
+    labels = [r[0] for r in e.select("label").distinct().orderBy("label").collect()]  # a class each, a handful
     return latent.held_out_groups(e, "label", "x", "y", (32, 32), "vec_id", labels)
 
 
@@ -208,6 +208,20 @@ def stream_transition_cue(spark, d):
     return cues.drain(cues.transition_cues(_rates(_stream(spark, d, "motion"))), Workspace(spark), "cues")
 
 
+@query()
+def stream_orientation(spark, d):
+    """The orientation of every session at each time, by a filter over a stream."""
+    m = _stream(spark, d, "motion").where("session_id is not null and t is not null")
+    m = m.select("session_id", "t", *(F.coalesce(F.col(g).cast("double"), F.lit(0.0)).alias(n) for g, n in zip(GYRO, ("gx", "gy", "gz"))), *((F.coalesce(F.col(f"gravity_{c}") + F.col(f"user_accel_{c}"), F.lit(0.0)) * E.G).cast("double").alias(f"a{c}") for c in "xyz"))
+    return cues.drain(cues.streamed_orientations(m), Workspace(spark), "orientations").groupBy("session_id").agg(F.count("*").alias("n"), F.max_by("qw", "t").alias("last_qw"))
+
+
+@query()
+def traj_segment_channels(spark, d):
+    """Twist and swing of the forearm in each session."""
+    return packets.segment_channels(_motion(spark, d), ["session_id"], "t", GYRO, ACCEL)
+
+
 @query()
 def batch_transition_cue(spark, d):
     return cues.batch_cues(_rates(table(spark, d, "motion")))
