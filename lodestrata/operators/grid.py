@@ -25,14 +25,15 @@ def occupied_slots(readings: DataFrame, keys: Sequence[str], modes: DataFrame, w
     """(keys, slot, width, n[, value means]) of the slots floor(t / width) that hold a reading.
 
     widths has the grid width by normalised mode, default that of all other, null and missing modes. A reading
-    with null or non-finite t counts nowhere; a null value counts as a reading, but not for the mean.
+    with null or non-finite t counts nowhere; a null or non-finite value counts as a reading, but not for the mean.
     Readings are added up by slot before the modes are joined, so a source of very many readings is small by then.
     """
     all_widths = sorted({*widths.values(), default})
     finite = F.col(t).isNotNull() & ~F.isnan(t) & (F.abs(t) < float("inf"))
     slot = [F.floor(F.col(t) / F.lit(w)).alias(f"__slot{k}") for k, w in enumerate(all_widths)]
     d = readings.where(finite).select(*keys, *slot, *values).groupBy(*keys, *(f"__slot{k}" for k in range(len(all_widths))))
-    d = d.agg(F.count("*").alias("n"), *(a for v in values for a in (F.sum(F.nanvl(F.col(v).cast("double"), F.lit(None))).alias(f"__s_{v}"), F.count(F.nanvl(F.col(v).cast("double"), F.lit(None))).alias(f"__n_{v}"))))
+    known = {v: F.when(F.abs(F.nanvl(F.col(v).cast("double"), F.lit(float("inf")))) < float("inf"), F.col(v).cast("double")) for v in values}
+    d = d.agg(F.count("*").alias("n"), *(a for v, x in known.items() for a in (F.sum(x).alias(f"__s_{v}"), F.count(x).alias(f"__n_{v}"))))
     width = F.lit(default)
     for m, w in widths.items():
         width = F.when(F.col("mode") == m, F.lit(w)).otherwise(width)

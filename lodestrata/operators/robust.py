@@ -58,22 +58,6 @@ def robust_prior(d: DataFrame, keys: Sequence[str], value: str, weight: str, flo
     return out.select(*keys, "n", c.alias("center"), s.alias("scale"), n_out.alias("n_out"), (c - 1.5 * s).alias("lo"), (c + 1.5 * s).alias("hi"), F.when(~ok, "abstain").when(n_out > 0, "degraded").otherwise("ok").alias("validity"))
 
 
-def bootstrap_ci(d: DataFrame, keys: Sequence[str], value: str, order: str, resamples: int = 200, seed: int = 12345) -> DataFrame:
-    """(keys, n, mean, lo, hi): percentile bootstrap of the mean by a portable generator; the bounds are the mean for one value.
-
-    Row i of resample b is row ((b * 1103515245 + i * 12345 + seed) mod 2147483647) mod n; sums of multiples are counted, not rows copied.
-    """
-    w = Window.partitionBy(*keys).orderBy(order)
-    d = d.where(finite(value).isNotNull()).select(*keys, F.col(value).alias("__v"), (F.row_number().over(w) - 1).alias("__i"), F.count("*").over(Window.partitionBy(*keys)).alias("__n"))
-    draws = d.select(*keys, "__n", "__i", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("__b"))
-    at = F.pmod(F.pmod(F.col("__b").cast("long") * 1103515245 + F.col("__i") * 12345 + seed, F.lit(2147483647)), F.col("__n"))
-    picked = draws.select(*keys, "__b", at.alias("__i")).groupBy(*keys, "__b", "__i").agg(F.count("*").alias("__c"))
-    means = picked.join(d, [*keys, "__i"]).groupBy(*keys, "__b").agg((F.sum(F.col("__v") * F.col("__c")) / F.sum("__c")).alias("__m"))
-    ci = means.groupBy(*keys).agg(F.percentile("__m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    base = d.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("__v").alias("mean"))
-    return base.join(ci, list(keys)).select(*keys, "n", "mean", F.when(F.col("n") == 1, F.col("mean")).otherwise(F.col("q")[0]).alias("lo"), F.when(F.col("n") == 1, F.col("mean")).otherwise(F.col("q")[1]).alias("hi"))
-
-
 # Multipliers of a 32-bit integer mixer; below 2**31, so that SQL's 64-bit integers hold the products.
 MIX = (569420461, 1935289751)
 SEED_STEP = 1640531527

@@ -17,26 +17,46 @@ def clean(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
+def neighbour(d: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str], name: str, ahead: bool = False, width: float = 3600.0) -> DataFrame:
+    """Adds name, a struct of order and carry of the row before, or of the one after; null at the ends.
+
+    Windows run over chunks of a key, width of order[0] wide, and the row at a chunk's edge is handed to the next one, so a key that
+    has a great part of all rows is many tasks; only one row a chunk goes through a window of the whole key. Rows whose
+    order[0] is null or not finite are chunks of their own.
+    """
+    c = F.floor(F.when(F.abs(F.nanvl(F.col(order[0]).cast("double"), F.lit(float("inf")))) < float("inf"), F.col(order[0]).cast("double")) / width)
+    row, step = F.struct(*order, *carry), F.lead if ahead else F.lag
+    d = d.withColumn("__c", c)
+    inner = step(row).over(Window.partitionBy(*keys, "__c").orderBy(*order))
+    edge = d.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__c").alias("__kc")).agg((F.min(row) if ahead else F.max(row)).alias("__edge"))
+    edge = edge.withColumn("__out", step("__edge").over(Window.partitionBy(*(f"__k{i}" for i in range(len(keys)))).orderBy("__kc"))).drop("__edge")
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__c").eqNullSafe(F.col("__kc"))]
+    names = [x for x in d.columns if x != "__c"]
+    return d.withColumn("__in", inner).join(edge, on, "left").select(*names, F.coalesce("__in", "__out").alias(name))
+
+
 def rate_jitter(d: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
     """(keys, n, fs, jitter_cv, gap_fraction): rate from the median step, population spread over median of the positive
     steps (0 below three rows), share of steps beyond two and a half medians."""
-    d = d.where(F.col(t).isNotNull()).withColumn("__dt", F.col(t) - F.lag(t).over(by(keys, [t])))
+    d = neighbour(d.where(F.col(t).isNotNull()).select(*keys, t), keys, [t], [], "__p").withColumn("__dt", F.col(t) - F.col("__p")[t])
     med = d.groupBy(*keys).agg(F.count("*").alias("n"), F.median("__dt").alias("med"), F.median(F.when(F.col("__dt") > 0, F.col("__dt"))).alias("mpos"), F.stddev_pop(F.when(F.col("__dt") > 0, F.col("__dt"))).alias("sd"))
     gaps = d.join(med.select(*keys, "med"), list(keys)).groupBy(*keys).agg(F.avg(F.when(F.col("__dt") > 2.5 * F.col("med"), 1.0).when(F.col("__dt").isNotNull(), 0.0)).alias("gap_fraction"))
     return med.join(gaps, list(keys)).select(*keys, "n", F.try_divide(F.lit(1.0), "med").alias("fs"), F.when(F.col("n") < 3, 0.0).otherwise(F.coalesce(F.try_divide("sd", "mpos"), F.lit(0.0))).alias("jitter_cv"), F.coalesce("gap_fraction", F.lit(0.0)).alias("gap_fraction"))
 
 
 def dedupe(d: DataFrame, keys: Sequence[str], order: Sequence[str], t: str = "t", least: float = 1e-9) -> DataFrame:
-    """Rows whose time is more than least after that of the row before; the first row of a key stays."""
-    step = F.col(t) - F.lag(t).over(by(keys, order))
-    return d.withColumn("__s", step).where(F.col("__s").isNull() | (F.col("__s") > least)).drop("__s")
+    """Rows whose time is more than least after that of the row before; the first row of a key stays. order begins with a number."""
+    extra = [] if t in order else [t]
+    d = neighbour(d, keys, order, extra, "__p")
+    step = F.col(t) - F.col("__p")[t]
+    return d.where(step.isNull() | (step > least)).drop("__p")
 
 
 def resample(d: DataFrame, keys: Sequence[str], value: str, step: float, t: str = "t") -> DataFrame:
     """(keys, k, t, value) on the grid t0 + k * step up to the last time, linear between neighbours."""
-    w = by(keys, [t])
-    first = F.min(t).over(Window.partitionBy(*keys))
-    d = d.select(*keys, F.col(t).alias("__t"), F.col(value).alias("__v"), F.lead(t).over(w).alias("__t2"), F.lead(value).over(w).alias("__v2"), first.alias("__t0"))
+    first = d.groupBy(*(F.col(k).alias(f"__f{i}") for i, k in enumerate(keys))).agg(F.min(t).alias("__t0"))
+    d = neighbour(d.select(*keys, F.col(t).alias("__t"), F.col(value).alias("__v")), keys, ["__t"], ["__v"], "__n", ahead=True)
+    d = d.join(first, [F.col(k).eqNullSafe(F.col(f"__f{i}")) for i, k in enumerate(keys)]).select(*keys, "__t", "__v", F.col("__n.__t").alias("__t2"), F.col("__n.__v").alias("__v2"), "__t0")
     lo = F.ceil((F.col("__t") - F.col("__t0")) / step)
     hi = F.when(F.col("__t2").isNull(), F.floor((F.col("__t") - F.col("__t0")) / step)).otherwise(F.ceil((F.col("__t2") - F.col("__t0")) / step) - 1)
     d = d.withColumn("__lo", lo).withColumn("__hi", hi).where("__hi >= __lo").withColumn("k", F.explode(F.sequence("__lo", "__hi")))

@@ -75,9 +75,12 @@ def changed(current: DataFrame, stored: DataFrame, key: str, text: str, digest:
 
 
 def keep_one(d: DataFrame, keys: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
-    """The first row of each key in order, or the last."""
-    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) if last else F.asc(c) for c in order))
-    return d.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """The first row of each key in order, or the last; of equal ones any. Partitions keep one row of a key before they are shuffled."""
+    pick = F.max_by if last else F.min_by
+    rest = [c for c in d.columns if c not in keys]
+    # a null order comes first, so a row of nulls is told from none
+    g = d.groupBy(*keys).agg(pick(F.struct(*rest), F.struct(F.lit(0), *order)).alias("__row"))
+    return g.select(*keys, "__row.*").select(*d.columns)
 
 
 def sections(d: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:

@@ -59,7 +59,12 @@ def p7_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular_grid(_slots(spark, d, True), STREAM, ["x", "y", "z"])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p4_found, p4_reasons, p7_found, p7_grid)}
+def p7_grid_states(spark: SparkSession, d: str) -> DataFrame:
+    """The whole grid with its states and the mean of one axis, in steps of an odd width, on whose edges no mean falls."""
+    return p7_grid(spark, d).select(*STREAM, "slot", "n", "state", F.floor(F.col("x") * 313.7).alias("step"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_paths, p2_descendants, p4_found, p4_reasons, p7_found, p7_grid, p7_grid_states)}
 
 _LINKS = """
 nest AS (SELECT 'nesting' AS hierarchy, file_path || ':' || name AS node_id, min(file_path || ':' || nullif(parent, '')) AS p
@@ -90,4 +95,8 @@ ORACLE = {
     "p2_paths": f"WITH RECURSIVE {_LINKS}{_PAIRS}, n AS (SELECT hierarchy, node_id, count(*) AS c FROM up GROUP BY 1, 2) SELECT l.hierarchy, l.node_id, t.path, CASE WHEN t.path IS NOT NULL THEN CAST(coalesce(n.c, 0) AS BIGINT) END AS n_descendants FROM links l LEFT JOIN tree t USING (hierarchy, node_id) LEFT JOIN n USING (hierarchy, node_id)",
     "p2_descendants": f"WITH RECURSIVE {_LINKS}{_PAIRS} SELECT * FROM up",
     "p7_found": f"WITH {_SLOTS} SELECT stream, session_id, unnest(generate_series(slot + 1, nxt - 1)) AS slot FROM nexts WHERE nxt > slot + 1",
+    "p7_grid_states": f"""WITH {_SLOTS}, g AS (SELECT stream, session_id, CAST(floor(t / width) AS BIGINT) AS slot, count(*) AS n, avg(CAST(x AS DOUBLE)) FILTER (isfinite(x)) AS x FROM timed GROUP BY 1, 2, 3),
+nx AS (SELECT *, lead(slot) OVER w AS nxt, lead(x) OVER w AS x2 FROM g WINDOW w AS (PARTITION BY stream, session_id ORDER BY slot)), e AS (SELECT *, unnest(generate_series(slot + 1, nxt - 1)) AS at_ FROM nx WHERE nxt > slot + 1)
+SELECT stream, session_id, slot, n, 'observed' AS state, CAST(floor(x * 313.7) AS BIGINT) AS step FROM g
+UNION ALL SELECT stream, session_id, at_, 0, CASE WHEN nxt - slot - 1 <= 4 THEN 'interpolated' ELSE 'missing' END, CASE WHEN nxt - slot - 1 <= 4 THEN CAST(floor((x + (at_ - slot) / (nxt - slot) * (x2 - x)) * 313.7) AS BIGINT) END FROM e""",
 }

@@ -104,16 +104,6 @@ def stats_prior_score_fallback(spark, d):
     return j.select("swing_id", "name", source.alias("source"), F.round((F.col("value") - c) / s, 5).alias("z"), (F.abs(F.col("value") - c) <= 1.5 * s).alias("in_window"))
 
 
-@query("""d AS (SELECT n_regionkey AS k, s_acctbal AS v, row_number() OVER (PARTITION BY n_regionkey ORDER BY s_suppkey) - 1 AS i, count(*) OVER (PARTITION BY n_regionkey) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-w AS (SELECT k, n, CAST(b.range AS BIGINT) AS b, ((b.range * 1103515245 + i * 12345 + 12345) % 2147483647) % n AS i FROM d, range(200) b),
-x AS (SELECT w.k, w.b, avg(d.v) AS m FROM w JOIN d ON d.k = w.k AND d.i = w.i GROUP BY 1, 2)
-SELECT d2.k AS n_regionkey, d2.n, round(d2.mean, 4) AS mean, round(q.lo, 3) AS lo, round(q.hi, 3) AS hi FROM (SELECT k, count(*) AS n, avg(v) AS mean FROM d GROUP BY k) d2 JOIN (SELECT k, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM x GROUP BY k) q USING (k)""", "z AS (SELECT 1)")
-def stats_bootstrap_ci(spark, d):
-    s = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
-    b = R.bootstrap_ci(s, ["n_regionkey"], "s_acctbal", "s_suppkey")
-    return b.select("n_regionkey", "n", F.round("mean", 4).alias("mean"), F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
-
-
 def _mixed_sql(x: str, src: str, out: str) -> str:
     """CTEs that replace column x of src by its mixed number."""
     a, b = R.MIX
@@ -280,9 +270,22 @@ def report_tall(spark, d):
     return p.unpivot("l_orderkey", ["quantity", "price", "discount"], "metric", "value").select("l_orderkey", "metric", F.round("value", 4).alias("value"))
 
 
-@query("h AS (SELECT swing_id, sha256(string_agg(name || '=' || CAST(CAST(round(value * 100000) AS BIGINT) AS VARCHAR), ';' ORDER BY name)) AS seal, count(*) AS n FROM f WHERE abs(value) < 1e9 GROUP BY 1) SELECT * FROM h")
+#: Sizes below which a value is sealed with a factor; the last holds every double.
+_SCALES = [(10.0 ** (13 + 10 * k), 10.0 ** (5 - 10 * k)) for k in range(29)] + [(float("inf"), 1e-290)]
+_SEALED = "CASE WHEN value IS NULL THEN 'null' WHEN isnan(value) THEN 'nan' WHEN isinf(value) AND value > 0 THEN 'inf' WHEN isinf(value) THEN '-inf' " + " ".join(f"WHEN abs(value) < {lim!r}::DOUBLE THEN '{k}:' || CAST(CAST(round(value * {f!r}::DOUBLE) AS BIGINT) AS VARCHAR)" for k, (lim, f) in enumerate(_SCALES[:-1])) + f" ELSE '29:' || CAST(CAST(round(value * 1e-290::DOUBLE) AS BIGINT) AS VARCHAR) END"
+
+
+def sealed(value: str):
+    """A value as text: its kind where it is no finite number, else its scale and eight digits or more; every value has one."""
+    v = F.col(value)
+    out = F.when(v.isNull(), "null").when(F.isnan(v), "nan").when(v == float("inf"), "inf").when(v == float("-inf"), "-inf")
+    for k, (limit, factor) in enumerate(_SCALES):
+        out = out.when(F.abs(v) < limit, F.concat(F.lit(f"{k}:"), F.round(v * F.lit(factor)).cast("long").cast("string")))
+    return out
+
+
+@query(f"h AS (SELECT swing_id, sha256(string_agg(name || '=' || t, ';' ORDER BY name, t)) AS seal, count(*) AS n FROM (SELECT swing_id, name, {_SEALED} AS t FROM m) GROUP BY 1) SELECT * FROM h")
 def protocol_holdout_seal(spark, d):
-    """A fingerprint of each swing's metrics, to be compared with a sealed one."""
-    m = metrics(spark, d).where(R.finite("value").isNotNull() & (F.abs("value") < 1e9))
-    text = F.concat_ws("=", "name", F.round(F.col("value") * 100000).cast("long").cast("string"))
-    return m.groupBy("swing_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", text.alias("t")))), lambda x: x["t"]), ";"), 256).alias("seal"), F.count("*").alias("n"))
+    """A fingerprint of all metrics of each swing, null and non-finite ones included, to be compared with a sealed one."""
+    m = metrics(spark, d).select("swing_id", "name", F.concat_ws("=", "name", sealed("value")).alias("t"))
+    return m.groupBy("swing_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "t"))), lambda x: x["t"]), ";"), 256).alias("seal"), F.count("*").alias("n"))
