@@ -158,10 +158,10 @@ def report_verification(spark, d):
     return g.withColumn("pass_rate", F.round(F.sum(F.when(F.col("validity") == "ok", F.col("n")).otherwise(0)).over(w) / F.sum("n").over(w), 6))
 
 
-@query(f"WITH {_M} SELECT name, validity, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS max, count(*) AS n FROM m WHERE {_FIN} GROUP BY 1, 2")
+@query(f"WITH {_M} SELECT name, validity, round(avg(value), 2) AS mean, round(quantile_cont(value, 0.95), 2) AS p95, max(value) AS max, count(*) AS n FROM m WHERE {_FIN} GROUP BY 1, 2")
 def stats_error_summary(spark, d):
     m = _metrics(spark, d).where("value is not null and not isnan(value) and abs(value) < double('infinity')")
-    return m.groupBy("name", "validity").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"), F.max("value").alias("max"), F.count("*").alias("n"))
+    return m.groupBy("name", "validity").agg(F.round(F.avg("value"), 2).alias("mean"), F.round(F.percentile("value", F.lit(0.95)), 2).alias("p95"), F.max("value").alias("max"), F.count("*").alias("n"))
 
 
 @query("""WITH g AS (SELECT swing_id, list(confidence ORDER BY name) AS c FROM (SELECT DISTINCT swing_id, name, confidence FROM metrics WHERE confidence IS NOT NULL AND isfinite(confidence)) GROUP BY 1)
