@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import re as stdre
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -72,7 +72,7 @@ ADDRESSES = [
     re.compile(rf"(?<![\w.,+-])\d{{1,4}}[A-Za-z]? (?:[^\W\d_][\w'’-]+ ){{1,2}}?{_STREET}(?!\w)"),
     # without a word for the street: a town and its postcode have to follow
     re.compile(r"(?<![\w.,+-])\d{1,4}[A-Za-z]? \p{Lu}[\w'’-]+(?: \p{Lu}[\w'’-]+)?(?=,[ \t]*\p{Lu}[\p{Ll}]+(?:[ -]\p{Lu}\p{Ll}+)?,?[ \t](?:[A-Z]{2}[ \t])?(?:\d{5}|[A-Z]{1,2}\d{1,2}[A-Z]?[ \t]\d[A-Z]{2})(?!\w))"),
-    re.compile(r"(?<![\w-])\p{Lu}[\p{Ll}ß]{3,}(?:[ -]\p{Lu}[\p{Ll}ß]+)?[ -](?:Straße|Strasse|Str\.|Weg|Platz|Allee|Gasse|Ring|Damm|Ufer)[ ]\d{1,4} ?[a-z]?(?!\w)"),
+    re.compile(r"(?<![\w-])\p{Lu}[\p{Ll}ß]{3,}(?:[ -](?!A[nm]\b|I[mn]\b|Auf\b|Vor\b|Zu)\p{Lu}[\p{Ll}ß]+)?[ -](?:Straße|Strasse|Str\.|Weg|Platz|Allee|Gasse|Ring|Damm|Ufer)[ ]\d{1,4} ?[a-z]?(?!\w)"),
     re.compile(r"(?<!\w)(?:P\.? ?O\.? ?Box|Post Office Box|Postfach|Boîte postale|BP) \d{1,6}(?!\w)"),
     re.compile(r"(?<!\w)(?:(?:Am|An der|An den|Im|In der|Zum|Zur|Auf der) )?[A-ZÄÖÜ][a-zäöüß-]*(?:straße|strasse|str\.|weg|platz|allee|gasse|ring|damm|ufer|steig) \d{1,4} ?[a-z]?(?!\w)"),
     re.compile(r"(?<![\w.,+-])\d{1,4}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|boulevard|place|chemin|allée|quai|impasse|route|square)(?: (?:des|du|de la|de|d['’]))? ?[^\W\d_][\w'’-]+"),
@@ -91,7 +91,7 @@ TOKEN = stdre.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 # Titles; greetings and thanks; words for a role, as labels; words after which a person may stand; what persons do.
 TITLES = frozenset("mr mrs ms miss dr prof professor sir herr frau mme mlle madame monsieur".split())
 GREETINGS = frozenset("hi hello hey dear thanks regards cheers best sincerely hallo liebe lieber grüße gruß danke bonjour cher chère merci cordialement cc attn".split())
-ROLES = frozenset("by name author reporter coach player trainer spieler joueur contact customer client patient user member visitor visitors guest owner manager editor teacher doctor colleague employee participant athlete student subject from to attendee assignee reviewer".split())
+ROLES = frozenset("by name author reporter coach player trainer spieler joueur contact customer client patient user member visitor visitors guest owner manager editor teacher doctor colleague employee participant athlete student from to attendee assignee reviewer".split())
 AGENTS = frozenset("by with from to of for and or since until ask asks asked tell told call contact meet met per via says said invoice mail email write send forward von bei mit für an durch laut und bitte frag seit zu de par à avec chez selon pour et contactez appelez".split())
 DOES = frozenset(
     "wants wanted want said says told tells asked asks wrote writes called calls moved moves changed changes lives lived works worked arrived arrives came comes went goes thinks thought believes likes liked made makes sent sends got gets has had is was will would can could and joined left plays played met signed reported noted added "
@@ -99,10 +99,10 @@ DOES = frozenset(
 )
 # Given names in wide use; those that are words as well need a cue.
 GIVEN = frozenset(
-    "adam alan albert alex alexander alice amanda amelia amy ana andrea andreas andrew anna anne anthony antonio arthur barbara benjamin bernard brian camille carl carlos caroline catherine charles charlotte chloe chris christian christina christine christopher claire clara claudia daniel david deborah dennis diana "
-    "diego donald dorothy edward elena elisabeth elizabeth ella emily emma eric erik eva felix fernando florian franz gabriel george gerald giovanni gregory hannah hans harold heather heinrich helen henry hugo ian ingrid isabella ivan jacob jacques james jane janet jason javier jean jeffrey jennifer jessica joan johann john jonas jonathan jorge joseph "
-    "juan julia julian julie jürgen karen karl katharina katherine kenneth kevin klaus larry laura lauren leon leonard linda lisa louis louise lucas lucia luis lukas luke manuel marco margaret maria marie mario martha martin mary matthew max melissa michael michelle miguel mohammed monica nancy natalie nicholas nicole nina noah "
-    "olga oliver olivia oscar pablo pamela patricia patrick paul pedro peter philip pierre rachel rafael raymond rebecca ricardo richard robert roberto roger ronald ruth ryan samuel sandra sara sarah scott sebastian sergio sharon simon sofia sophia sophie stefan stephanie stephen steven susan teresa theodore theresa thomas timothy ursula valentina vanessa victor victoria vincent virginia walter william wolfgang zoe".split()
+    "adam alan albert alex alexander alice amanda amelia amy ana andrea andreas andrew anna anne anthony antonio arthur barbara benjamin bernard brian camille carl carlos caroline catherine charles charlotte chloe chris christian christina christine christopher claire clara claudia daniel david dennis diana "
+    "diego donald edward elena elisabeth elizabeth ella emily emma eric erik eva felix fernando florian franz gabriel george giovanni gregory hannah hans heinrich helen henry hugo ian ingrid isabella ivan jacob jacques james jane janet jason javier jean jennifer jessica joan johann john jonas jonathan jorge joseph "
+    "juan julia julian julie jürgen karen karl katharina katherine kenneth kevin klaus laura lauren leon leonard linda lisa louis louise lucas lucia luis lukas luke manuel marco margaret maria marie mario martha martin mary matthew max melissa michael michelle miguel mohammed nancy natalie nicholas nicole nina noah "
+    "ivo leif liv marek nadia olga oliver olivia oscar pablo pamela patricia patrick paul pedro peter philip pierre rachel rafael raymond rebecca ricardo richard robert roberto roger ruth ryan samuel sandra sara sarah scott sebastian sergio simon sofia sophia sophie stefan stephanie stephen steven susan teresa theodore thomas timothy valentina vanessa victor victoria vincent virginia walter william wolfgang zoe".split()
 )
 GIVEN_WORDS = frozenset("april art august bill bob chase dawn drew eve faith frank gene grace grant harry hope iris ivy jack joy june lily mark may max miles olive pat penny ray rich rob rose ruby rusty sandy skip sue summer tom violet will".split())
 # Words that end or begin names of places, groups and things rather than persons.
@@ -206,9 +206,14 @@ _HAN, _DIGITS, _COUNTED = re.compile(r"\p{Han}"), stdre.compile(r"\d[^\n]{0,3}\d
 class _Names:
     """Weighs the shapes of names in a text."""
 
-    def __init__(self, text: str, words: Lexicon):
+    def __init__(self, text: str, words: Lexicon, taken: list[tuple[int, int]] | None = None):
+        self.taken = taken or []
         self.text, self.words, self.small, self.plain, self.last = text, words.common, words.small, words.plain, -1
 
+    def is_taken(self, a: int) -> bool:
+        k = bisect_right(self.taken, (a, 1 << 60))
+        return k > 0 and self.taken[k - 1][1] > a
+
     def cues(self, a: int, b: int) -> tuple[bool, bool, bool]:
         """(named, cued, acts): a title or label right before, a word that leads to a person before, one that persons do after."""
         s = self.text
@@ -216,7 +221,9 @@ class _Names:
         named = cued = False
         tail = left.rstrip(" \t")[-1:]
         if tail and (tail in ":=\"'|\n" or left[-4:-1] in ("for", " of")) and (m := LABEL.search(left)):
-            named = not m.group("role") or m.group("role").lower() in ROLES or m.group("role").lower().endswith("by")
+            role = (m.group("role") or "").lower()
+            # a subject is a person as a field of data, in quotes, and a topic elsewhere
+            named = not role or role in ROLES or role.endswith("by") or (role == "subject" and left[m.start("role") - 1 : m.start("role")] in ("'", '"'))
         if not named and (m := LEFT.search(left)):
             w, mark = m.group("word").lower(), m.group("mark")
             if w in TITLES and mark in (None, "."):
@@ -238,7 +245,7 @@ class _Names:
         s = self.text[a:b]
         parts = _LETTERS.findall(s)
         long = [p for p in parts if len(p) > 1]
-        if not long or parts[0].lower() in NO_NAME or long[-1].lower() in OPENERS:
+        if not long or (len(parts[0]) > 1 and parts[0].lower() in NO_NAME) or long[-1].lower() in OPENERS:
             return False
         comma = "," in s
         family, first = (long[0], long[-1] if len(long) > 1 else "") if comma else (long[-1], parts[0] if len(parts[0]) > 1 else "")
@@ -258,7 +265,7 @@ class _Names:
             if not led:  # right after the, before its noun, only words that nothing else explains
                 the = self.text[max(0, a - 4) : a] in ("the ", "The ")
                 noun = RIGHT.match(self.text, b)
-                return the and rare and (unknown or given) and not family.endswith("s") and bool(noun) and noun.group("word").lower() not in NO_NOUN
+                return the and rare and (given or unknown and not first.endswith(QUALITIES)) and not family.endswith("s") and bool(noun) and noun.group("word").lower() not in NO_NOUN
             return rare and unknown if not given else rare or named or cued
         if s == s.upper() and not comma and not named and len(first) > 1:  # in a run of capitals shapes tell nothing
             near = _WORD_LEFT.search(self.text[max(0, a - 32) : a]), _WORD_RIGHT.match(self.text, b)
@@ -294,6 +301,8 @@ class _Names:
                 if j < 0 or spans[j][0] < done or x - spans[j][0] > 120:
                     continue
                 a = spans[j][0]
+                if self.is_taken(a):
+                    continue
                 if a and (s[a - 1] in "@-’'" or s[a - 1] == "." and a > 1 and s[a - 2].isalnum()) and not s.startswith("--", a - 2):
                     continue
                 m = SHAPES.match(s, a) if s[a].isupper() else LOWER.match(s, a)
@@ -332,7 +341,7 @@ def find(text: str | None, words: Lexicon) -> list[tuple[str, int, int]]:
             for m in rule.finditer(out):
                 if sum(c.isdigit() for c in m.group()) >= 9 and not _no_phone(out, m.start()):
                     take("phone", *m.span())
-    for a, b in _Names(out, words).find():
+    for a, b in _Names(out, words, taken[:]).find():
         take("name", a, b)
     if _HAN.search(out):
         for rule in HAN:
@@ -344,6 +353,7 @@ def find(text: str | None, words: Lexicon) -> list[tuple[str, int, int]]:
 #: Words that open a sentence before a name rather than belong to it.
 OPENERS = frozenset("the this that a an and or but if since when while after before according please hi hello dear thanks cc call ask coach player swing range task every each our whoever nothing nobody for at on in with to from le la les un une des pour merci der die das den dem ein eine am im bitte laut größere aufgabe für unser unsere sein seine ihr ihre mein meine dein kein keine jede jeder jedes dieser diese dieses nach vor mit ohne sobald während weil obwohl damit nachdem bevor ältere älteres grüße von zum zur bei aus und oder not so as is was".split())
 DETERMINERS = frozenset("one another my your his her our their some no both few many much more most what which whose".split())
+QUALITIES = ("ed", "less", "ing", "ous", "ful", "ish", "able", "al", "ic")
 #: Endings of words whose stem makes them words.
 ENDINGS = ("s", "es", "ed", "er", "d", "r", "ing")
 NO_NAME = (OPENERS | AGENTS | GREETINGS | TITLES | ROLES | DOES) - GIVEN_WORDS

@@ -62,6 +62,9 @@ def test_operator(spark):
         ("Emma Watson arrived", ["Emma Watson"]),
         ("forward this to john smith", ["john smith"]),
         ("王小明昨天来了", ["王小明"]),
+        ("Contactez A. Normire à l'adresse", ["A. Normire"]),
+        ("to PO Box 52, Tarnmouth\nRagna Quarfeld wants it", ["Ragna Quarfeld"]),
+        ("Subject: gyro spline", []),
         ("In mid-sentence Anna Smith is found", ["Anna Smith"]),
         ("Golden Gate, Monday Morning and the Main Menu", []),
         ("Visit New York, London and Rome", []),
