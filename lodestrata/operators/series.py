@@ -35,6 +35,20 @@ def neighbour(d: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Se
     return d.withColumn("__in", inner).join(edge, on, "left").select(*names, F.coalesce("__in", "__out").alias(name))
 
 
+def running(d: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, width: float = 3600.0) -> DataFrame:
+    """Adds name, the sum of value up to each row of its key, the row included: sums within chunks of order[0] plus the sums of the chunks before, so
+    a key that has a great part of all rows is many tasks. Rows of equal order are summed one by one; a null order[0] comes first."""
+    c = F.floor(F.when(F.abs(F.nanvl(F.col(order[0]).cast("double"), F.lit(float("inf")))) < float("inf"), F.col(order[0]).cast("double")) / width)
+    d = d.withColumn("__c", c)
+    within = F.sum(value).over(Window.partitionBy(*keys, "__c").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    part = d.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__c").alias("__kc")).agg(F.sum(value).alias("__s"))
+    before = F.sum("__s").over(Window.partitionBy(*(f"__k{i}" for i in range(len(keys)))).orderBy("__kc").rowsBetween(Window.unboundedPreceding, -1))
+    part = part.withColumn("__before", before).drop("__s")
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)] + [F.col("__c").eqNullSafe(F.col("__kc"))]
+    names = [x for x in d.columns if x != "__c"]
+    return d.withColumn("__in", within).join(part, on, "left").select(*names, (F.coalesce("__in", F.lit(0)) + F.coalesce("__before", F.lit(0))).alias(name))
+
+
 def rate_jitter(d: DataFrame, keys: Sequence[str], t: str = "t") -> DataFrame:
     """(keys, n, fs, jitter_cv, gap_fraction): rate from the median step, population spread over median of the positive
     steps (0 below three rows), share of steps beyond two and a half medians."""
@@ -111,17 +125,18 @@ def gradient(value: str, w) -> Column:
 
 def unwrap(d: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, period: float) -> DataFrame:
     """Adds unwrapped: multiples of period added so that successive values differ by at most half of it."""
-    w = by(keys, order)
-    jump = F.col(value) - F.lag(value).over(w)
-    d = d.withColumn("__turn", F.coalesce(-F.round(jump / period), F.lit(0.0)))
-    return d.withColumn("unwrapped", F.col(value) + period * F.sum("__turn").over(w)).drop("__turn")
+    names = d.columns
+    d = neighbour(d, keys, order, [value], "__p")
+    jump = F.col(value) - F.col("__p")[value]
+    d = running(d.withColumn("__turn", F.coalesce(-F.round(jump / period), F.lit(0.0))), keys, order, "__turn", "__turns")
+    return d.select(*names, (F.col(value) + period * F.col("__turns")).alias("unwrapped"))
 
 
 def runs(d: DataFrame, keys: Sequence[str], order: Sequence[str], state: Column) -> DataFrame:
     """(keys, run, state, first, last, n): gaps and islands of equal states, first and last in the values of order[0]."""
-    w = by(keys, order)
-    d = d.withColumn("__s", state).withColumn("__new", F.when(F.lag("__s").over(w).eqNullSafe(F.col("__s")), 0).otherwise(1))
-    d = d.withColumn("run", F.sum("__new").over(w))
+    d = neighbour(d.withColumn("__s", state), keys, order, ["__s"], "__p")
+    d = d.withColumn("__new", F.when(F.col("__p").isNotNull() & F.col("__p.__s").eqNullSafe(F.col("__s")), 0).otherwise(1))
+    d = running(d, keys, order, "__new", "run")
     return d.groupBy(*keys, "run").agg(F.first("__s").alias("state"), F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("n"))
 
 
@@ -139,9 +154,10 @@ def signed_log(c: Column, scale: float) -> Column:
 
 def sessions(d: DataFrame, keys: Sequence[str], order: Sequence[str], gap: float, t: str = "t") -> DataFrame:
     """Adds session: a number that grows where a row is more than gap after the one before."""
-    w = by(keys, order)
-    d = d.withColumn("__new", F.when(F.col(t) - F.lag(t).over(w) > gap, 1).otherwise(0))
-    return d.withColumn("session", F.sum("__new").over(w)).drop("__new")
+    names = d.columns
+    d = neighbour(d, keys, order, [] if t in order else [t], "__p")
+    d = d.withColumn("__new", F.when(F.col(t) - F.col("__p")[t] > gap, 1).otherwise(0))
+    return running(d, keys, order, "__new", "session").select(*names, "session")
 
 
 def phase_normalize(d: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, points: int) -> DataFrame:

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from lodestrata.functions.names import keywords, match_score, tokens_estimate, words
+from lodestrata.operators.series import running
 
 # What starts a comment, and the words that add a branch, by language.
 COMMENT = {"python": r"^\s*#", "javascript": r"^\s*(//|/\*|\*)", "typescript": r"^\s*(//|/\*|\*)", "go": r"^\s*(//|/\*|\*)", "java": r"^\s*(//|/\*|\*)"}
@@ -61,12 +63,17 @@ def keyword_names(keys: DataFrame, names: DataFrame, k: int = 10) -> DataFrame:
     return p.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).select("keyword", "name", "shared", "score")
 
 
-def token_budget(d: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, budget: int) -> DataFrame:
-    """The rows of each key, in order, until their estimated tokens reach the budget; the one that crosses it is the last."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+def token_budget(d: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, budget: int, width: float = 4096.0) -> DataFrame:
+    """The rows of each key, in order, until their estimated tokens reach the budget; the one that crosses it is the last.
+
+    Where order begins with a number, sums run over chunks of it of that width, so a key of very many rows is many tasks.
+    """
     d = d.withColumn("tokens", F.coalesce(tokens_estimate(F.col(text)), F.lit(0).cast("long")))
-    d = d.withColumn("before", F.sum("tokens").over(w) - F.col("tokens"))
-    return d.where(F.col("before") < budget)
+    if isinstance(d.schema[order[0]].dataType, NumericType):
+        d = running(d, keys, order, "tokens", "before", width)
+    else:
+        d = d.withColumn("before", F.sum("tokens").over(Window.partitionBy(*keys).orderBy(*order)))
+    return d.withColumn("before", F.col("before") - F.col("tokens")).where(F.col("before") < budget)
 
 
 def changed(current: DataFrame, stored: DataFrame, key: str, text: str, digest: str) -> DataFrame:

@@ -69,12 +69,6 @@ def partitions_of(df: DataFrame) -> int:
     return plan.toRdd().getNumPartitions()
 
 
-def by_key(df: DataFrame, *keys: str) -> DataFrame:
-    """The rows by a hash of their keys, over a number of partitions that is not reduced where the data is small: for work that is heavy for its size."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *keys)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where that is unset, a temporary one if all runs in one process, as in tests; a cluster must name one."""
     sc = spark.sparkContext

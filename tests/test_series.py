@@ -41,3 +41,24 @@ def test_dedupe_and_resample(spark):
     got = {(r["s"], r["k"]): r["value"] for r in S.resample(d.where("i <> 1"), ["s"], "v", 1800.0).collect()}
     assert got["a", 0] == 1.0 and got["a", 1] == 2.0 and got["a", 2] == 3.0 and got["n", 0] == 2.0 and max(k for n, k in got if n == "a") == 4
     assert S.rate_jitter(d.limit(0), ["s"]).count() == 0
+
+
+def test_running_sums_runs_and_sessions_across_chunks(spark):
+    r = random.Random(8)
+    rows = [("hot" if i % 10 else None, round(r.uniform(-20, 300), 2), i, r.randrange(3)) for i in range(400)]
+    d = spark.createDataFrame([(*x, "clash") for x in rows], "k string, t double, i int, v int, session string").drop("session")
+    got = {x["i"]: x["s"] for x in S.running(d, ["k"], ["t", "i"], "v", "s", width=7.0).collect()}
+    for k in ("hot", None):
+        total, new, before = 0, 0, None
+        sessions = {x["i"]: x["session"] for x in S.sessions(d, ["k"], ["t", "i"], 1.5).collect()}
+        for t, i, v in sorted((t, i, v) for kk, t, i, v in rows if kk == k):
+            total += v
+            new += before is not None and t - before > 1.5
+            before = t
+            assert got[i] == total and sessions[i] == new
+    runs = S.runs(d, ["k"], ["t", "i"], F.col("v") > 0).collect()
+    want = 0
+    for k in ("hot", None):
+        states = [v > 0 for t, i, v in sorted((t, i, v) for kk, t, i, v in rows if kk == k)]
+        want += sum(a != b for a, b in zip([None, *states], states))
+    assert len(runs) == want and sum(x["n"] for x in runs) == 400
