@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.batches import by_groups, whole_groups
-from lodestrata.operators.rotations import IDENTITY, UP, conjugate, dot, exponential, geodesic, logarithm, multiply, norm, rotate, shortest, skew, slerp, unit
+from lodestrata.operators.rotations import IDENTITY, UP, conjugate, dot, exponential, logarithm, multiply, norm, rotate, shortest, skew, slerp, unit
 
 G = 9.80665
 #: Rows that are stepped together at least.
