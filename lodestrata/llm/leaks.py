@@ -10,7 +10,6 @@ price for what is left out, decides.
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
