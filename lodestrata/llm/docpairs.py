@@ -25,6 +25,9 @@ from lodestrata.session import Workspace, spread
 _COLUMNS = {"file_path": "string", "ver": "long", "parsed_at": "timestamp_ntz", "digest": "string", "valid": "boolean", "language": "string", "pos": "long", "kind": "string", "name": "string", "node_type": "string", "line": "int", "end_line": "int", "top": "int", "inner": "string", "text": "string"}
 _ROW = ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())
 
+# How comments begin that direct a tool.
+DIRECTIVE = r"^//[ ]*(@ts-|ts-|eslint|tslint|prettier|biome|deno-lint|istanbul|c8 |v8 |noinspection|nolint|NOSONAR|checkstyle|spotless|go:)"
+
 
 # ---------------------------------------------------------------- tokens of Python
 
@@ -72,14 +75,17 @@ def python_tokens(text: str) -> Iterator[tuple]:
 
         def doc(start: int, line: int, end: int = end) -> Iterator[tuple]:
             """The docstring that begins at a place, if a statement of nothing but strings does."""
-            if not (m := _PY_DOC.match(text, start)):
+            if not (m := _PY_DOC.match(text, start)) and text[start] != "(":
                 return
-            q, z, tail = m.end(), start, start
+            q, z, tail = m.end() if m else -1, start, start
+            if q < 0 and start in close and _is_string(text[start : close[start] + 1]):
+                z = close[start] + 1
+                tail = _PY_BLANK.match(text, z).end()
             while q in strings:
                 z = tail = strings[q]
                 tail = _PY_BLANK.match(text, tail).end()
                 q = m.end() if (m := _PY_DOC.match(text, tail)) else -1
-            if text[tail] in "\r\n#;":
+            if z > start and text[tail] in "\r\n#;":
                 yield "s", next(no), None, None, line, line + text.count("\n", start, z), None, None, text[start:z]
 
         if body:
@@ -109,6 +115,13 @@ def python_tokens(text: str) -> Iterator[tuple]:
         yield "de", next(no), None, None, line, line, None, None, None
 
 
+def _is_string(code: str) -> bool:
+    try:
+        return isinstance(ast.literal_eval(code), str)
+    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return False
+
+
 def _words_of(text: str, a: int, b: int, skip: list[tuple[int, int]]) -> Iterator[str]:
     """The names between two places, without strings and comments."""
     k = bisect_left(skip, (a, 0))
@@ -124,45 +137,37 @@ def _words_of(text: str, a: int, b: int, skip: list[tuple[int, int]]) -> Iterato
 def brace_tokens(text: str, language: str) -> Iterator[tuple]:
     """(kind, pos, name, node_type, line, end_line, top, inner, text): headers 'h', braces '{' and '}', comments 'c' on lines of their own."""
     d = tokenize(text, language)
-    found = Headers(d, language)
+    found = Headers(d, language, values=True)
     line, at = 1, 0
     lines = []
     for a in d.start:
         line, at = line + text.count("\n", at, a), a
         lines.append(line)
-    # the line to which a comment of a declaration belongs: that where its annotations begin
-    tops, top, run, until, before = [], 0, 0, 0, 0
-    for i, n in enumerate(lines):
-        if n != before:
-            before = n
-            if n > until:
-                if d.text[i] == "@" and d.text[i + 1 : i + 2] != ["interface"]:
-                    run = run or n
-                    x = i + 2
-                    while x + 1 < len(d.text) and d.text[x] == ".":
-                        x += 2
-                    until = lines[found.pair.get(x, x)] if x < len(d.text) and d.text[x] == "(" and not d.newline[x] else n
-                    top = run
-                else:
-                    top, run = run or n, 0
-            elif n == until and run:
-                top = run
-        tops.append(top)
+    headers, tops, owner = list(found.find()), [], {}
+    for _, n, *_ in headers:
+        first, places = found.begin(n)
+        tops.append(lines[first])
+        # the declaration to which a comment right above a line belongs: annotations and modifiers may stand on lines of their own
+        owner |= {lines[i]: lines[first] for i in places if i == 0 or lines[i - 1] < lines[i]}
     line, at = 1, 0
     for a, z in d.comments:
         line, at = line + text.count("\n", at, a), a
-        if not text[text.rfind("\n", 0, a) + 1 : a].strip():
-            yield "c", 2 * a, None, None, line, line + text.count("\n", a, z), None, None, text[a:z]
+        i = bisect_left(d.start, z)
+        end = line + text.count("\n", a, z)
+        if not text[text.rfind("\n", 0, a) + 1 : a].strip() and not (i < len(lines) and lines[i] == end):
+            yield "c", 2 * a, None, None, line, end, owner.get(end + 1, end + 1), None, text[a:z]
     for i, (s, k) in enumerate(zip(d.text, d.kind)):
         if k == "o" and s in ("{", "}"):
             yield s, 2 * d.start[i], None, None, lines[i], lines[i], None, None, None
-    for node_type, n, j, body, inner in found.find():
+    for (node_type, n, j, body, inner), top in zip(headers, tops):
         pos = 2 * d.start[body] - 1 if body is not None else 2 * d.start[j] + 1
-        yield "h" if body is not None else "d", pos, d.text[n], node_type, lines[n], lines[j], tops[n], inner, None
+        e = j if body is not None else found.end(j)
+        end = lines[e] + text.count("\n", d.start[e], d.end[e])
+        yield "h" if body is not None else "d", pos, d.text[n], node_type, lines[n], end, top, inner, None
 
 
 def token_rows(files: DataFrame) -> DataFrame:
-    """The tokens of the valid files of files(file_path, parsed_at, content) as rows, beside a row 'v' for every version of a file.
+    """The tokens of files(file_path, parsed_at, content) not known to be invalid as rows, beside a row 'v' for every version of a file with a content.
 
     Validity and tokens are found in one pass over the texts, which are not shuffled. Tokens of a version carry its number ver.
     """
@@ -171,12 +176,12 @@ def token_rows(files: DataFrame) -> DataFrame:
         for b in batches:
             rows: list[tuple] = []
             for path, at, digest, text, language, ver in zip(b["file_path"], b["parsed_at"], b["digest"], b["content"], b["language"], b["ver"]):
-                valid = False
-                if text and language:
-                    m, grammar = parsing.examine(text, language, path)
-                    valid = bool(grammar) and lexing.balanced([m], language)
+                if text is None or not language:
+                    continue
+                m, grammar = parsing.examine(text, language, path)
+                valid = grammar if lexing.balanced([m], language) else False
                 rows.append((path, ver, at, digest, valid, language, -1, "v", *[None] * 7))
-                if valid:
+                if valid is not False:
                     if parsing.has_markup(path):
                         text = grammars.jsx_as_arrays(text)
                     found = python_tokens(text.removeprefix("\ufeff")) if language == "python" else brace_tokens(text, language)
@@ -194,21 +199,27 @@ def token_rows(files: DataFrame) -> DataFrame:
 
 
 def comment_blocks(tokens: DataFrame) -> DataFrame:
-    """(file_path, ver, top, doc): islands of comments of a kind on successive lines, at the line right below."""
+    """(file_path, ver, top, doc): islands of comments of a kind on successive lines, at the declaration right below, else at the line; directives to tools join what is above."""
     over = "over (partition by file_path, ver order by pos)"
-    c = tokens.where("kind = 'c'").selectExpr("file_path", "ver", "pos", "line", "end_line", "text", "substr(text, 1, 2) as style").repartition("file_path")
+    c = tokens.where("kind = 'c'").selectExpr("file_path", "ver", "pos", "line", "end_line", "top", "text", "substr(text, 1, 2) as style").repartition("file_path")
     c = c.selectExpr("*", f"lag(struct(pos, end_line, style)) {over} as p").where("p is null or p.pos <> pos")
-    c = c.selectExpr("*", f"sum(case when p.end_line + 1 = line and p.style = style then 0 else 1 end) {over} as island")
-    return c.groupBy("file_path", "ver", "island").agg((F.max("end_line") + 1).cast("int").alias("top"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("doc")).drop("island")
+    c = c.selectExpr("*", f"sum(case when p.end_line + 1 = line and (p.style = style or text rlike '{DIRECTIVE}') then 0 else 1 end) {over} as island")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+    c = c.groupBy("file_path", "ver", "island").agg(F.max_by("top", "pos").alias("top"), F.min("pos").alias("pos"), lines.alias("text"))
+    return c.groupBy("file_path", "ver", "top").agg(lines.alias("doc"))
 
 
 def documented_functions(tokens: DataFrame) -> DataFrame:
-    """(file_path, language, name, node_type, start_line, end_line, inner, doc) of named functions with any documentation, of the last version of each file."""
-    over = "over (partition by file_path, ver order by pos)"
+    """(file_path, language, name, node_type, start_line, end_line, inner, doc) of all named functions with any documentation, of the last version of each file.
+
+    A file whose last version of known validity is invalid gives nothing, as p1 has it.
+    """
+    over = "over (partition by file_path, ver order by pos, kind, line, name)"
+    version = "coalesce(parsed_at, timestamp_ntz'0001-01-01') as at, digest, ver"
     d = tokens.where("kind <> 'c'").repartition("file_path")
-    d = d.selectExpr("*", "max(case when kind = 'v' then struct(coalesce(parsed_at, timestamp_ntz'0001-01-01') as at, digest, ver, valid) end) over (partition by file_path) as latest")
-    d = d.where("latest.valid and latest.ver = ver and kind <> 'v'").drop("latest", "parsed_at", "digest", "valid")
-    d = d.selectExpr("*", f"lag(struct(pos, kind)) {over} as p").where("p is null or p.pos <> pos or p.kind <> kind")
+    d = d.selectExpr("*", f"max(case when kind = 'v' then struct({version}) end) over (partition by file_path) as latest", f"max(case when kind = 'v' and valid is not null then struct({version}, valid) end) over (partition by file_path) as known")
+    d = d.where("coalesce(known.valid, true) and latest.ver = ver and kind <> 'v'").drop("latest", "known", "parsed_at", "digest", "valid")
+    d = d.selectExpr("*", f"lag(struct(pos, kind, line, name)) {over} as p").where("p is null or not p <=> struct(pos, kind, line, name)")
     d = d.selectExpr("*", f"sum(case when kind in ('{{', 'in') then 1 when kind in ('}}', 'de') then -1 else 0 end) {over} as depth", f"lead(struct(kind, text, end_line), 1) {over} as x1", f"lead(struct(kind, text), 2) {over} as x2")
     level = "case when kind in ('{', 'in') then depth - 1 else depth end"
     by = f"over (partition by file_path, ver, {level} order by pos)"
@@ -224,9 +235,7 @@ def documented_functions(tokens: DataFrame) -> DataFrame:
     both = both.selectExpr("*", "last(case when part = 0 then struct(top, doc) end, true) over (partition by file_path, ver order by top, part) as above")
     braces = both.where("part = 1 and above.top = top").selectExpr("file_path", "h.*", "above.doc as doc")
     python = h.where("own is not null").selectExpr("file_path", "language", "name", "node_type", "start_line", "end_line", "inner", "own as doc")
-    # of a name that is repeated, the first counts
-    w = Window.partitionBy("file_path", "name").orderBy("start_line")
-    return python.unionByName(braces).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    return python.unionByName(braces)
 
 
 # ---------------------------------------------------------------- what a documentation says
@@ -292,10 +301,10 @@ def informative(doc: str | None, language: str, name: str, inner: str | None) ->
 def function_docs(files: DataFrame, ws: Workspace | None = None) -> DataFrame:
     """(file_path, language, name, node_type, start_line, end_line, doc) of the functions and methods whose documentation informs.
 
-    files has file_path, parsed_at and content; of each file the last version counts, and nothing if that is not valid.
-    Nested, async and arrow functions bound to a name count, classes and constructors do not. Null and empty contents,
-    unknown extensions and empty input give nothing; repeated rows count once; of a name that is repeated in a file the
-    first counts.
+    files has file_path, parsed_at and content; of each file the last version with a content counts, and nothing if the
+    last of known validity is invalid. Nested, async and arrow functions bound to a name count, values of properties
+    included, classes and constructors do not. Null and empty contents, unknown extensions and empty input give nothing;
+    repeated rows count once; functions that share a name in a file have a row each.
     """
 
     @F.pandas_udf("boolean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm import docpairs, leaks, nearest_time, packing, parsing, percentiles, pii
@@ -33,14 +33,17 @@ def _documented(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return _documented(spark, d).select("file_path", "name")
+    return _documented(spark, d).select("file_path", "name").distinct()
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each documented function with its code, its documentation and what the symbol table has of it."""
-    files = parsing.versions(table(spark, d, "files")).groupBy("file_path").agg(F.max_by("content", parsing.last_version()).alias("content"))
-    s = table(spark, d, "symbols").where("node_type <> 'class'").groupBy("file_path", "name").agg(F.max("node_type").alias("kind"), F.max("signature").alias("signature"))
-    p = _documented(spark, d).join(files, "file_path").join(s, ["file_path", "name"], "left")
+    """Each documented function with its code, its documentation and what the symbol table has of it: of those that share a name, that of its line."""
+    files = parsing.versions(table(spark, d, "files")).where("content is not null").groupBy("file_path").agg(F.max_by("content", parsing.last_version()).alias("content"))
+    s = table(spark, d, "symbols").where("node_type <> 'class'").groupBy("file_path", "name").agg(F.collect_set(F.struct("start_line", "node_type", "signature")).alias("symbols"))
+    f = _documented(spark, d).withColumn("shared", F.count("*").over(Window.partitionBy("file_path", "name")) > 1)
+    p = f.join(files, "file_path").join(s, ["file_path", "name"], "left")
+    p = p.withColumn("here", F.expr("filter(symbols, x -> x.start_line = start_line)")).withColumn("here", F.expr("case when shared or size(here) > 0 then here else symbols end"))
+    p = p.withColumns({"kind": F.array_max("here.node_type"), "signature": F.array_max("here.signature")})
     code = F.array_join(F.slice(F.split("content", "\n"), F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(1))), "\n")
     return p.select("file_path", "name", "language", F.coalesce("kind", "node_type", F.lit("function")).alias("node_type"), "signature", code.alias("code"), F.col("doc").alias("documentation"))
 
